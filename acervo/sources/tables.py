@@ -86,16 +86,14 @@ _SCHEMAS = {
                      "is_active boolean",
     "session_memory": "id string, session_id string, key string, value string",
 }
-SCHEMAS: dict[str, T.StructType] = {
-    name: T.StructType.fromDDL(f"{columns}, {_TIMES}") for name, columns in _SCHEMAS.items()
-}
+SCHEMAS: dict[str, str] = {name: f"{columns}, {_TIMES}" for name, columns in _SCHEMAS.items()}
 # Tables that grow with time are stored by day; a read of recent days then skips the rest.
 DAILY = {"messages", "query_logs", "reflection_logs"}
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Columns, order and types of ``table``; missing columns become null."""
-    fields = SCHEMAS[table].fields
+    fields = T.StructType.fromDDL(SCHEMAS[table]).fields
     return df.select(
         *[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
     )
@@ -110,8 +108,7 @@ def append_table(df: DataFrame, root: str, table: str) -> None:
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
-    schema = T.StructType(SCHEMAS[table].fields + ([T.StructField("day", T.DateType())] if table in DAILY else []))
-    return spark.read.schema(schema).parquet(f"{root}/{table}")
+    return spark.read.schema(SCHEMAS[table] + (", day date" if table in DAILY else "")).parquet(f"{root}/{table}")
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, *, key: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
