@@ -33,7 +33,9 @@ def min_chunk_length(df: DataFrame, n: int = MIN_CHUNK, text: str = "text") -> D
 
 def number_chunks(df: DataFrame, chunks: str = "chunks") -> DataFrame:
     """Explode an array of chunk texts to (…, chunk_index, text); 0-based per row."""
-    return df.select("*", F.posexplode(chunks).alias("chunk_index", "_chunk")).drop(chunks, "text").withColumnRenamed("_chunk", "text")
+    # the outer form: a plain explode adds a filter on the array and runs the splitter twice
+    rows = df.select("*", F.posexplode_outer(chunks).alias("chunk_index", "_chunk")).filter(F.col("_chunk").isNotNull())
+    return rows.drop(chunks, "text").withColumnRenamed("_chunk", "text")
 
 
 def adaptive_chunk(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from acervo.operators.ranking import first_wins, top_k
 from acervo.operators.vector import knn
+from acervo.session import cut_lineage
 
 K_SUMMARIES, K_CHUNKS = 4, 8  # fixed values
 
@@ -40,6 +41,7 @@ def hierarchical_search(
         .withColumnRenamed("rank", "lead")
         .join(queries.select("query_id", "embedding"), "query_id")
     )
+    leads = cut_lineage(leads)  # at most k_summaries rows per query, read by three tiers
 
     def tier(number: int, column: str) -> DataFrame:
         """Hits of each lead among the rows that share its ``column``."""

@@ -3,9 +3,9 @@
 The vectors stay where they are: each task streams its Arrow batches past a
 block of queries with one matrix product per tile and keeps k hits per query,
 so the only shuffle moves k rows per query and task.  A block is at most
-``QUERY_BLOCK_BYTES`` of query vectors, and the driver never holds more than one
-block: a larger query table is written to the shared folder in blocks and the
-vectors are scanned once per block, which gives the same rows.
+``QUERY_BLOCK`` queries, and the driver never holds more than one block: a larger
+query table is written to the shared folder in blocks and the vectors are
+scanned once per block, which gives the same rows.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from acervo.functions.vectors import similarity
 from acervo.operators.ranking import top_k
 from acervo.session import scratch_path
 
-QUERY_BLOCK_BYTES = 64 * 1024 * 1024
+QUERY_BLOCK = 16_384  # queries sent to the tasks at a time; 100 MB at 1536 dimensions
 TILE_CELLS = 4_000_000  # cells of one distance tile
 PLACES = 9  # distances are rounded, so equal vectors tie and the id decides
 
@@ -168,7 +168,7 @@ def knn(
     filters: str | None = None,
     filter_columns: tuple[str, ...] = (),
     metric: str = "l2sq",
-    block_bytes: int = QUERY_BLOCK_BYTES,
+    block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """(query_id, doc_id, distance, rank): the ``k`` nearest rows of every query.
 
@@ -187,26 +187,22 @@ def knn(
     schema = f"{query_id} {id_types[0].simpleString()}, {doc_id} {id_types[1].simpleString()}, distance double"
     arrow = pa.schema([(query_id, _arrow_type(id_types[0])), (doc_id, _arrow_type(id_types[1])), ("distance", pa.float64())])
 
-    def search(block: pa.Table) -> DataFrame:
-        shared = spark.sparkContext.broadcast(_load_block(block))
+    def search(part: pa.Table) -> DataFrame:
+        shared = spark.sparkContext.broadcast(_load_block(part))
         hits = scanned.mapInArrow(_scan(shared, k, metric, arrow, list(filter_columns)), schema)
         return top_k(hits, [query_id], [F.col("distance"), F.col(doc_id)], k)
 
-    sizing = asked.agg(F.count("*"), F.max(F.size(query_vector))).first()
-    rows, width = sizing[0], max(sizing[1] or 1, 1)
-    limit = max(1, block_bytes // (8 * width))
-    if rows <= limit:
-        return search(asked.toArrow())
+    first = asked.limit(block + 1).toArrow()
+    if first.num_rows <= block:
+        return search(first)
 
     # Too many queries for one block: cut them by hash into parts below the limit, one scan each.
-    blocks = math.ceil(rows / limit)
     parts, found = scratch_path(spark, "knn-queries"), scratch_path(spark, "knn-hits")
-    block_of = F.pmod(F.xxhash64(query_id), F.lit(blocks * 2))
-    asked.withColumn("_block", block_of).write.partitionBy("_block").parquet(parts)
+    cuts = 2 * math.ceil(asked.count() / block)
+    asked.withColumn("_block", F.pmod(F.xxhash64(query_id), F.lit(cuts))).write.partitionBy("_block").parquet(parts)
     stored = spark.read.parquet(parts)
-    for number in range(blocks * 2):
-        part = stored.filter(F.col("_block") == number).drop("_block")
-        search(part.toArrow()).write.mode("append").parquet(found)
+    for number in range(cuts):
+        search(stored.filter(F.col("_block") == number).drop("_block").toArrow()).write.mode("append").parquet(found)
     return spark.read.parquet(found)
 
 

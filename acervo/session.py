@@ -26,7 +26,18 @@ def build_session(app: str = "acervo", master: str | None = None, **conf: str) -
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return prepare(builder.getOrCreate())
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings the operators rely on, for sessions made elsewhere.
+
+    Spark 4.1 may plan a union as if it kept its inputs' partitioning and then
+    fail ("Can't zip RDDs with unequal numbers of partitions") once adaptive
+    execution has changed one input; a union of ranked lists is where it shows.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -84,8 +84,8 @@ def session_memory_stream(operations: DataFrame) -> DataFrame:
                     memory[name] = (int(seq), value)
         memory = {k: v for k, v in memory.items() if v[0] > cleared}
         state.update((cleared, list(memory), [v for _, v in memory.values()], [s for s, _ in memory.values()]))
-        rows = [(key[0], None, None, cleared, True)] if cleared > was_cleared else []
-        rows += [(key[0], k, v, s, False) for k, (s, v) in memory.items() if before.get(k) != (s, v)]
+        rows = [(str(key[0]), None, None, cleared, True)] if cleared > was_cleared else []
+        rows += [(str(key[0]), k, v, s, False) for k, (s, v) in memory.items() if before.get(k) != (s, v)]
         yield pd.DataFrame(rows, columns=["session_id", "key", "value", "seq", "cleared"])
 
     return operations.groupBy("session_id").applyInPandasWithState(
@@ -150,7 +150,7 @@ def compaction_stream(messages: DataFrame, *, keep: int = KEEP_LAST, threshold:
             tokens = sum(size for _, size in held) // CHARS_PER_TOKEN
             if tokens > threshold and len(held) > keep:
                 gone, held = held[:-keep], held[-keep:]
-                events.append((key[0], message[0], tokens, [s for s, _ in gone]))
+                events.append((str(key[0]), message[0], tokens, [s for s, _ in gone]))
         state.update(([s for s, _ in held], [n for _, n in held]))
         yield pd.DataFrame(events, columns=["session_id", "seq", "estimated_tokens", "removed"])
 

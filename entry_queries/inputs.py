@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from acervo.functions.metadata import query_hash
 from acervo.functions.tokens import PLAIN_TOKEN_PATTERN, STOPWORDS
+from acervo.session import prepare
 from acervo.sources.tables import spread
 
 REF_TS = "2024-01-31"
@@ -18,7 +19,7 @@ WIDE = {"documents", "pages", "conversations", "lineitem", "events", "orders"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return spread(df) if name in WIDE else df
 
 
@@ -286,7 +287,10 @@ page_rows AS (SELECT page_id // 20 AS doc_id, page_id % 20 + 1 AS page_no,
 
 def query_logs(spark: SparkSession, sf: str) -> DataFrame:
     """Events as query logs."""
-    ev = table(spark, sf, "events")
+    return logs_of(table(spark, sf, "events"))
+
+
+def logs_of(ev: DataFrame) -> DataFrame:
     text = F.concat(F.lit(" "), F.initcap("event_type"), F.lit(" "), F.col("props"))
     return ev.select(
         F.col("event_id").alias("log_id"),
@@ -314,7 +318,11 @@ logs AS (SELECT event_id AS log_id, user_id AS session_id, query_text, md5(trim(
 
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").select(
+    return messages_of(table(spark, sf, "conversations"))
+
+
+def messages_of(conversations: DataFrame) -> DataFrame:
+    return conversations.select(
         F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content")
     )
 
@@ -344,7 +352,11 @@ sessions AS (SELECT c_custkey AS session_id, c_mktsegment AS user_identifier, c_
 
 def memory_operations(spark: SparkSession, sf: str) -> DataFrame:
     """Events as operations on session memory: errors clear, the rest save."""
-    return table(spark, sf, "events").select(
+    return operations_of(table(spark, sf, "events"))
+
+
+def operations_of(ev: DataFrame) -> DataFrame:
+    return ev.select(
         F.col("user_id").cast("string").alias("session_id"),
         F.when(F.col("event_type") == "error", "clear").otherwise("save").alias("op"),
         F.when(F.col("event_type") != "error", F.concat("event_type", F.col("event_id") % 5)).alias("key"),

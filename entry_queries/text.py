@@ -523,7 +523,8 @@ _HEADED_SQL = "replace(replace(replace(text, '. ', '.' || chr(10) || 'Capítulo
 @query(
     "segment_by_headers",
     rf"""WITH h AS (SELECT doc_id, {_HEADED_SQL} AS t FROM documents),
-      cut AS (SELECT doc_id, string_split(regexp_replace(t, '(\n(?:#+\s[\p{{L}}\p{{N}}_]|(?:CAPÍTULO|SECCIÓN|PARTE)(?:[^\p{{L}}\p{{N}}_]|$)))', chr(1) || '\1', 'gi'), chr(1)) AS parts FROM h)
+      words AS (SELECT doc_id, regexp_replace(t, '(\n(?:CAPÍTULO|SECCIÓN|PARTE)\b)', chr(1) || '\1', 'gi') AS t FROM h),
+      cut AS (SELECT doc_id, string_split(regexp_replace(t, '(\n#+\x01?\s[\p{{L}}\p{{N}}_])', chr(1) || '\1', 'g'), chr(1)) AS parts FROM words)
       SELECT doc_id, len(p) AS segments, md5(array_to_string(p, '|')) AS text FROM (SELECT doc_id, list_filter(parts, lambda s: trim(s, {WS_TRIM}) <> '') AS p FROM cut)""",
 )
 def segments(spark, sf):
