@@ -15,15 +15,28 @@ def _let(value: Column, body) -> Column:
 
 
 def _longest_seam(tail: Column, head: Column) -> Column:
-    """Largest n in [21, …] where the last n of ``tail`` equal the first n of ``head``; else null."""
+    """Largest n in [21, …] where the last n of ``tail`` equal the first n of ``head``; else null.
+
+    A seam starts where the first 21 characters of ``head`` occur in ``tail``, and
+    the first such place gives the longest one.  Only when that place is no seam
+    are all sizes tried.
+    """
     longest = F.least(F.length(tail), F.length(head))
     sizes = F.filter(
         F.sequence(F.greatest(longest, F.lit(MIN_OVERLAP)), F.lit(MIN_OVERLAP), F.lit(-1)),
         lambda n: F.right(tail, n) == F.left(head, n),
     )
-    # A seam of 21 or more needs the first 21 characters inside the tail: a cheap test first.
-    possible = (longest >= MIN_OVERLAP) & F.contains(tail, F.left(head, F.lit(MIN_OVERLAP)))
-    return F.when(possible, F.get(sizes, F.lit(0)))
+    size_at = lambda place: F.length(tail) - place + 1
+    is_seam = lambda place: (size_at(place) <= longest) & (
+        F.right(tail, size_at(place)) == F.left(head, size_at(place))
+    )
+    found = _let(
+        F.instr(tail, F.left(head, F.lit(MIN_OVERLAP))),
+        lambda place: F.when(place == 0, F.lit(None).cast("int"))
+        .when(is_seam(place), size_at(place))
+        .otherwise(F.get(sizes, F.lit(0))),
+    )
+    return F.when(longest >= MIN_OVERLAP, found)
 
 
 def concat_dedup_overlap(texts: Column, max_overlap: int = CHUNK_OVERLAP) -> Column:

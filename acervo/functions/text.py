@@ -23,8 +23,8 @@ def trim_ws(c: Column | str) -> Column:
 
 
 def words(c: Column | str) -> Column:
-    """``str.split()``: runs of non-white characters."""
-    return F.filter(F.split(col(c), r"(?U)\s+"), lambda w: w != "")
+    """``str.split()``: runs of non-white characters (Python also splits at \\x1c to \\x1f)."""
+    return F.filter(F.split(col(c), r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
 
 
 def word_count(c: Column | str) -> Column:

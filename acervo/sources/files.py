@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acervo.functions.classify import UPLOAD_SUFFIXES, detect_mime, file_stem, file_suffix
+from acervo.functions.text import blank
 
 SEARCH_CHARS = 500  # fixed value
 
@@ -17,28 +18,38 @@ def read_binary(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
     )
 
 
-def read_files(spark: SparkSession, path: str, pattern: str = "*", *, stop_on_first_error: bool = False) -> DataFrame:
-    """One result row per file: (path, mime, text, errors, success, loader).
+def read_files(
+    spark: SparkSession, path: str, pattern: str = "*", *, expected: DataFrame | None = None, stop_on_first_error: bool = False
+) -> DataFrame:
+    """One result row per file: (path, mime, text, loader, errors, success).
 
-    Text files come with their text.  An empty, undecodable or unsupported file
+    Text files come with their text.  A blank, undecodable or unsupported file
     becomes an error row; ``stop_on_first_error`` fails the job instead.
+    ``expected`` is a table of paths that should be there (as Spark spells them,
+    ``file:/…``): a missing one also becomes an error row.  Spark does not list
+    files of zero bytes, so those show up only as missing.
     """
     files = read_binary(spark, path, pattern).withColumn("mime", detect_mime("content"))
     plain = F.col("path").rlike(r"(?i)\.(md|txt|csv|json|html?)$")
-    text = F.when(plain & F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
+    content = F.col("content").cast("string")
+    text = F.when(plain & F.is_valid_utf8(content), content)
     loader = (
         F.when(plain, "text").when(F.col("mime.is_pdf"), "pdf").when(F.col("mime.is_word"), "word")
         .when(F.col("mime.is_excel"), "excel").when(F.col("mime.is_image"), "ocr")
     )
+    rows = files.select("path", "mime", text.alias("text"), loader.alias("loader"), plain.alias("_plain"), F.lit(True).alias("_there"))
+    if expected is not None:
+        rows = expected.select("path").distinct().join(rows, "path", "full")
     problem = (
-        F.when(F.col("length") == 0, F.concat(F.lit("Documento vacío o no legible: "), "path"))
-        .when(plain & text.isNull(), F.concat(F.lit("Texto no decodificable: "), "path"))
-        .when(loader.isNull(), F.concat(F.lit("Formato no soportado: "), F.col("mime.label"), F.lit(" "), F.col("path")))
+        F.when(F.col("_there").isNull(), F.concat(F.lit("Archivo no encontrado o vacío: "), "path"))
+        .when(F.col("_plain") & F.col("text").isNull(), F.concat(F.lit("Texto no decodificable: "), "path"))
+        .when(F.col("_plain") & blank("text"), F.concat(F.lit("Documento vacío o no legible: "), "path"))
+        .when(F.col("loader").isNull(), F.concat(F.lit("Formato no soportado: "), F.col("mime.label"), F.lit(" "), F.col("path")))
     )
     if stop_on_first_error:
         problem = F.when(problem.isNotNull(), F.raise_error(problem)).otherwise(problem)
-    rows = files.withColumn("text", text).withColumn("loader", loader).withColumn("_problem", problem)
-    return rows.select(
+    judged = rows.withColumn("_problem", problem)
+    return judged.select(
         "path", "mime", "text", "loader",
         F.filter(F.array("_problem"), lambda e: e.isNotNull()).alias("errors"),
         F.col("_problem").isNull().alias("success"),
