@@ -13,7 +13,8 @@ def evaluate_retrieval(queries: DataFrame, hits: DataFrame, labels: DataFrame) -
 
     ``hits`` has (query_id, doc_id, rank); ``labels`` the relevant (query_id, doc_id).
     """
-    first = hits.join(labels, ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("first"))
+    # an inner join lets the small hits be the broadcast side; repeated labels do not change a minimum
+    first = labels.select("query_id", "doc_id").join(hits, ["query_id", "doc_id"]).groupBy("query_id").agg(F.min("rank").alias("first"))
     returned = hits.groupBy("query_id").agg(F.count("*").alias("docs"))
     each = queries.select("query_id").join(first, "query_id", "left").join(returned, "query_id", "left")
     n = F.count("*")

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from acervo.functions.tokens import TOKEN_PATTERN
 from acervo.operators.lexical import LexicalIndex, bm25_search
-from acervo.operators.ranking import first_wins, rank_in_list, top_k
+from acervo.operators.ranking import HIT_ROWS, first_wins, rank_in_list, top_k
 from acervo.operators.vector import knn
+from acervo.session import at_most
 
 RRF_K = 60  # fixed value
 FETCH = 3  # each side of a hybrid search fetches this many times k
@@ -78,7 +79,8 @@ def hybrid_search(
         used.append(weights[1])
     if not lists:
         raise ValueError("hybrid_search needs vectors, an index, or both")
-    return rrf_fuse(lists, k, used)
+    fused = rrf_fuse(lists, k, used)
+    return F.broadcast(fused) if at_most(queries, HIT_ROWS // max(k, 1)) else fused
 
 
 def multi_query_union(hits: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acervo.functions.vectors import similarity
-from acervo.operators.ranking import top_k
+from acervo.operators.ranking import small_hits, top_k
 from acervo.session import scratch_path
 
 QUERY_BLOCK = 16_384  # queries sent to the tasks at a time; 100 MB at 1536 dimensions
@@ -194,7 +194,7 @@ def knn(
 
     first = asked.limit(block + 1).toArrow()
     if first.num_rows <= block:
-        return search(first)
+        return small_hits(search(first), first.num_rows, k)
 
     # Too many queries for one block: cut them by hash into parts below the limit, one scan each.
     parts, found = scratch_path(spark, "knn-queries"), scratch_path(spark, "knn-hits")

@@ -33,7 +33,7 @@ def ingest(documents: DataFrame, collection: DataFrame | None = None, profile: C
     """
     empty = blank("text")
     chunks = prepare_chunks(documents.filter(~empty), profile)
-    snapshot = chunks if collection is None else upsert(collection, chunks, arrival=F.col("chunk_index"))
+    snapshot = chunks if collection is None else upsert(collection, chunks, arrival=F.col("doc_id"))
     counts = chunks.groupBy("doc_id").agg(
         F.count("*").alias("chunk_count"),
         F.first("document_type").alias("document_type"),
@@ -57,16 +57,24 @@ def ingest(documents: DataFrame, collection: DataFrame | None = None, profile: C
 def batch_prompts(chunks: DataFrame, questions: int = QUESTIONS, batch: int = BATCH, key: str = "doc_id") -> DataFrame:
     """(key, batch_no, prompt, members): chunks of a document in groups of ``batch``, each cut to 1500 characters.
 
-    chunk_index is dense from 0 per document, so a group is an integer division.
+    chunk_index is dense from 0 per document, so a group is an integer division
+    and holds at most ``batch`` chunks; ``members`` carries their rows.
     """
     group = F.floor(F.col("chunk_index") / batch).cast("int").alias("batch_no")
     local = F.pmod("chunk_index", F.lit(batch)).cast("int")
     snippet = F.translate(F.substring("text", 1, PROMPT_CHARS), "\n", " ")
-    row = F.struct(local.alias("local"), F.col("chunk_index"), F.format_string("\n[CHUNK %d]\n%s", local, snippet).alias("body"))
-    gathered = chunks.groupBy(key, group).agg(F.array_sort(F.collect_list(row)).alias("members"))
+    row = F.struct(
+        local.alias("local"), F.format_string("\n[CHUNK %d]\n%s", local, snippet).alias("body"),
+        F.struct(*[c for c in chunks.columns if c != key]).alias("row"),
+    )
+    gathered = chunks.groupBy(key, group).agg(F.array_sort(F.collect_list(row), _by_local).alias("members"))
     head = F.format_string(f"Genera exactamente {questions} preguntas para cada uno de los siguientes %d fragmentos.", F.size("members"))
     body = F.array_join(F.concat(F.array(head), F.transform("members", lambda m: m["body"])), "\n")
-    return gathered.select(key, "batch_no", body.alias("prompt"), F.transform("members", lambda m: m["chunk_index"]).alias("members"))
+    return gathered.select(key, "batch_no", body.alias("prompt"), F.transform("members", lambda m: m["row"]).alias("members"))
+
+
+def _by_local(a: Column, b: Column) -> Column:
+    return a["local"] - b["local"]
 
 
 def explode_questions(chunks: DataFrame, fn: TextFunction, questions: int = QUESTIONS, batch: int = BATCH, key: str = "doc_id") -> DataFrame:
@@ -77,10 +85,9 @@ def explode_questions(chunks: DataFrame, fn: TextFunction, questions: int = QUES
     asked = batch_prompts(chunks, questions, batch, key)
     replies = asked.withColumn("_reply", model_map("prompt", fn)).filter(F.col("_reply").isNotNull())
     answers = replies.select(key, "members", F.explode(parse_batch_json("_reply")).alias("_local", "_questions"))
-    placed = answers.withColumn("chunk_index", F.get("members", F.col("_local"))).filter(F.col("chunk_index").isNotNull())
-    rows = placed.select(key, "chunk_index", F.posexplode("_questions").alias("question_no", "_question"))
+    rows = answers.select(key, F.get("members", F.col("_local")).alias("_row"), F.posexplode("_questions").alias("question_no", "_question"))
     return (
-        chunks.join(rows, [key, "chunk_index"])
+        rows.filter(F.col("_row").isNotNull()).select(key, "_row.*", "question_no", "_question")
         .withColumn("text", F.col("_question"))
         .withColumn("augmentation_type", F.lit("question"))
         .withColumn("parent_chunk_index", F.col("chunk_index"))

@@ -10,10 +10,13 @@ from acervo.functions.metadata import chunk_id
 from acervo.session import scratch_path
 
 
-def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Use all cores on an input of few files; leave an input of many files alone."""
-    wanted = partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if len(df.inputFiles()) < wanted else df
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input that has fewer splits than cores; leave any larger input as it is scanned.
+
+    Such an input is below ``spark.sql.files.maxPartitionBytes`` per core, so moving it is cheap.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 # ── Collections of chunks ─────────────────────────────────────────────────────
@@ -23,8 +26,14 @@ def with_chunk_id(chunks: DataFrame) -> DataFrame:
 
 
 def latest_per_key(rows: DataFrame, key: str, arrival: Column) -> DataFrame:
-    """One row per key, the last to arrive.  An aggregate, so copies of a key combine before the shuffle."""
-    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), arrival).alias("_row")).select(key, "_row.*")
+    """One row per key, the last to arrive.  An aggregate, so copies of a key combine before the shuffle.
+
+    Rows that arrive together are ordered by a hash of their values, so reruns agree.
+    """
+    body = [c for c in rows.columns if c != key]
+    hashable = [f.name for f in rows.schema if f.name in body and "map<" not in f.dataType.simpleString()]
+    order = F.struct(arrival.alias("at"), F.xxhash64(*hashable).alias("tie")) if hashable else arrival
+    return rows.groupBy(key).agg(F.max_by(F.struct(*body), order).alias("_row")).select(key, "_row.*")
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, *, key: str = "id", arrival: Column | None = None, dedup: bool = True) -> DataFrame:
@@ -48,6 +57,22 @@ def replace_table(df: DataFrame, path: str) -> None:
     spark.read.parquet(staged).write.mode("overwrite").parquet(path)
 
 
+def append_delta(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Add a batch to a collection kept as deltas; writing the same batch again replaces it."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def read_collection(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
+    """A collection kept as deltas: per key the row of the newest batch."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    return latest_per_key(rows, key, F.col("batch"))
+
+
+def compact_collection(spark: SparkSession, path: str, target: str, key: str = "id") -> None:
+    """Write the current rows of a delta collection as one table elsewhere."""
+    read_collection(spark, path, key).drop("batch").write.mode("overwrite").parquet(target)
+
+
 def list_sources(chunks: DataFrame) -> DataFrame:
     """(source, chunks, total_chunks), one row per distinct source in order; a missing source is "unknown"."""
     total = chunks.agg(F.count("*")).scalar()

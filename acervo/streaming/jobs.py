@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from acervo.operators.logs import quality_aggregates
 from acervo.operators.sessions import CHARS_PER_TOKEN, KEEP_LAST, THRESHOLD_TOKENS
 from acervo.plans.ingest import prepare_chunks
-from acervo.sources.tables import replace_table, upsert
+from acervo.sources.tables import append_delta, latest_per_key
 
 
 def file_stream(spark: SparkSession, schema, path: str, *, fmt: str = "parquet", per_trigger: int = 1000, **options: str) -> DataFrame:
@@ -37,29 +37,22 @@ def run_available(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame,
 
 def ingest_stream(documents: DataFrame, collection: str, checkpoint: str, *, arrived: str = "arrived_at",
                   delay: str = "7 days") -> StreamingQuery:
-    """Documents (doc_id, source, text, arrived_at) → chunks merged into the table at ``collection``.
+    """Documents (doc_id, source, text, arrived_at) → chunks in the collection at ``collection``.
 
-    A copy (same session and content hash) that comes within ``delay`` is dropped.
+    A copy (same content hash) that comes within ``delay`` is dropped.  Each
+    micro-batch adds its own delta, so the cost follows the new documents and not
+    the collection; ``read_collection`` lets the newest batch win per chunk id.
     """
     hashed = documents.withColumn("file_hash", F.sha2("text", 256)).withWatermark(arrived, delay)
     once = hashed.dropDuplicatesWithinWatermark(["file_hash"])
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        chunks = prepare_chunks(batch).drop(arrived)
-        if not _exists(spark, collection):
-            upsert(chunks.limit(0), chunks, arrival=F.col("chunk_index")).write.parquet(collection)
-        else:
-            replace_table(upsert(spark.read.parquet(collection), chunks, arrival=F.col("chunk_index")), collection)
+        chunks = prepare_chunks(batch)
+        append_delta(latest_per_key(chunks, "id", F.struct(arrived, "doc_id")), collection, batch_id)
 
     return run_available(once, checkpoint, merge)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-
-
 # ── Session memory ────────────────────────────────────────────────────────────
 
 MEMORY_OUTPUT = "session_id string, key string, value string, seq bigint, cleared boolean"

@@ -202,7 +202,8 @@ def rrf(spark, sf):
 def ranks(spark, sf):
     """W1 over every event of every user."""
     ev = table(spark, sf, "events")
-    return rank_in_list(ev, ["user_id"], [F.col("value").desc(), F.col("event_id")]).select("user_id", "event_id", "rank")
+    order = [F.col("value").desc(), F.col("event_id")]
+    return rank_in_list(ev, ["user_id"], order, bucket=-F.floor("value")).select("user_id", "event_id", "rank")
 
 
 @query(

@@ -14,6 +14,7 @@ from acervo.operators.hierarchy import hierarchical_search
 from acervo.operators.lookup import article_lookup
 from acervo.operators.models import candidate_budget, rerank
 from acervo.operators.parents import link_parents, parents_of_hits
+from acervo.operators.ranking import rank_in_list
 from acervo.operators.routing import centroids, semantic_route
 from acervo.operators.vector import knn, knn_scored
 
@@ -233,3 +234,18 @@ def test_evaluation(spark):
     labels = spark.createDataFrame([(1, "b"), (2, "z")], "query_id bigint, doc_id string")
     row = evaluate_retrieval(asked, hits, labels).first()
     assert row.asDict() == {"total_queries": 3, "hit_rate": 0.3333, "mrr": 0.1667, "mean_docs_returned": 1.0}
+
+
+def test_many_queries_plan_gives_the_same_hits(spark):
+    index = lexical.build_index(frame(spark, TEXTS, "doc_id"))
+    terms = lexical.query_terms(frame(spark, QUERIES, "query_id"))
+    few, many = (sorted(map(tuple, lexical.bm25_scores(terms, index, many=m).select("query_id", "doc_id", F.round("_score", 9)).collect()))
+                 for m in (False, True))
+    assert few == many and few
+
+
+def test_rank_in_buckets_equals_plain_rank(spark):
+    df = spark.range(200).select((F.col("id") % 2).alias("k"), (F.col("id") * 7 % 31).alias("v"), "id")
+    order = [F.col("v").desc(), F.col("id")]
+    plain = rank_in_list(df, ["k"], order).select("id", "rank")
+    assert rank_in_list(df, ["k"], order, bucket=-F.floor(F.col("v") / 5)).select("id", "rank").exceptAll(plain).count() == 0
