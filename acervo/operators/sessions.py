@@ -133,7 +133,7 @@ def context_keys(memory: DataFrame) -> DataFrame:
 # ── Changes to the tables: each returns the new snapshot ──────────────────────
 
 def insert_rows(table: DataFrame, rows: DataFrame, defaults: dict[str, Column]) -> DataFrame:
-    """Append; missing columns take their default."""
+    """Append; missing columns take their default (``F.expr("uuid()")`` for ids, say)."""
     filled = rows
     for name, value in defaults.items():
         given = F.coalesce(F.col(name), value) if name in rows.columns else value

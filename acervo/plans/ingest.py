@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acervo.functions.cleaning import clean
@@ -12,6 +12,7 @@ from acervo.functions.text import blank
 from acervo.operators.chunking import adaptive_chunk
 from acervo.operators.filters import union_augmented
 from acervo.operators.models import TextFunction, model_map
+from acervo.sources.files import read_files
 from acervo.sources.tables import upsert, with_chunk_id
 
 QUESTIONS, BATCH, PROMPT_CHARS = 3, 5, 1500  # fixed values
@@ -54,6 +55,27 @@ def ingest(documents: DataFrame, collection: DataFrame | None = None, profile: C
     )
 
 
+def ingest_files(spark: SparkSession, path: str, collection: DataFrame | None = None, *, pattern: str = "*",
+                 profile: Column | str = "default") -> tuple[DataFrame, DataFrame]:
+    """Files below ``path`` → (collection snapshot, one result row per file).
+
+    Files of text are ingested; files that need a parser, or cannot be read,
+    come out as failed rows with their error.
+    """
+    files = read_files(spark, path, pattern)
+    texts = files.filter("success AND text IS NOT NULL").select(
+        F.col("path").alias("doc_id"), F.substring_index("path", "/", -1).alias("source"), "text"
+    )
+    snapshot, results = ingest(texts, collection, profile)
+    done = results.select(F.col("doc_id").alias("path"), "success", "chunk_count", "document_type", "confidence", "errors")
+    no_text = F.array(F.concat(F.lit("Sin texto; requiere el loader "), F.coalesce("loader", F.lit("?"))))
+    rest = files.filter("NOT success OR text IS NULL").select(
+        "path", F.lit(False).alias("success"), F.lit(0).cast("long").alias("chunk_count"),
+        F.when(F.size("errors") > 0, F.col("errors")).otherwise(no_text).alias("errors"),
+    )
+    return snapshot, done.unionByName(rest, allowMissingColumns=True)
+
+
 def batch_prompts(chunks: DataFrame, questions: int = QUESTIONS, batch: int = BATCH, key: str = "doc_id") -> DataFrame:
     """(key, batch_no, prompt, members): chunks of a document in groups of ``batch``, each cut to 1500 characters.
 

@@ -351,6 +351,19 @@ def neighbours_of_labels(spark, sf):
     return rows.select("source", "hit_index", "chunk_index", F.md5("text").alias("text"))
 
 
+@query(
+    "neighbour_window_counts",
+    f"""WITH {LINES_CTE}, n AS (SELECT l.source, l.chunk_index, count(*) AS n FROM lines l JOIN lines m ON l.source = m.source
+          AND m.chunk_index BETWEEN greatest(0, l.chunk_index - 2) AND l.chunk_index + 2 GROUP BY 1, 2)
+      SELECT source, chunk_index, n > 1 AS context_enriched, CASE WHEN n > 1 THEN 2 END AS context_window_size, CASE WHEN n > 1 THEN n END AS context_chunks_count FROM n""",
+)
+def neighbour_flags(spark, sf):
+    """What surrounds each line, without the folded text."""
+    lines = line_chunks(spark, sf)
+    wide = neighbour_window(lines, lines, 2)
+    return wide.select("source", "chunk_index", "context_enriched", "context_window_size", "context_chunks_count")
+
+
 @query("neighbour_window")
 def neighbour_texts(spark, sf):
     """Every line of every document with its surroundings folded in."""
@@ -394,7 +407,14 @@ def lookup(spark, sf):
 
 # ── Reranking and budgets ─────────────────────────────────────────────────────
 
-@query("rerank")
+@query(
+    "rerank",
+    f"""WITH {BM25_CTE}, {bm25_ranked_cte('b', 20)},
+      qd AS (SELECT query_id, list(term) AS asked FROM qt GROUP BY 1),
+      s AS (SELECT b.query_id, b.doc_id, b.rank, len(list_intersect(asked, toks)) / len(asked) AS s FROM b JOIN qd USING (query_id) JOIN docs_tok USING (doc_id))
+      SELECT query_id, doc_id, rank, round(s, 4) AS rerank_score FROM (
+        SELECT query_id, doc_id, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, rank) AS rank FROM s) WHERE rank <= 5""",
+)
 def reranked(spark, sf):
     """Keyword hits reordered by token overlap."""
     hits = bm25_search(text_queries(spark, sf), index_of(spark, sf), 20, pattern=P)
@@ -524,7 +544,13 @@ def enriched(spark, sf):
     return hits.select("query_id", "doc_id", "rank", "context_enriched", "context_chunks_count", F.md5("text").alias("text"))
 
 
-@query("multi_query_fusion")
+@query(
+    "multi_query_fusion",
+    f"""WITH {VECTOR_CTE}, {CHUNK_CTE}, rq AS (SELECT query_id, list_reverse(embedding) AS embedding FROM bq), {knn_cte('k0', 'bq', 'vc', 10)}, {knn_cte('k1', 'rq', 'vc', 10)},
+      hits AS (SELECT query_id, 0 AS variant_no, doc_id, rank FROM k0 UNION ALL SELECT query_id, 1, doc_id, rank FROM k1),
+      once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY variant_no, rank) AS r FROM hits) WHERE r = 1)
+      SELECT query_id, doc_id, variant_no, row_number() OVER (PARTITION BY query_id ORDER BY variant_no, rank) AS rank FROM once""",
+)
 def fused_variants(spark, sf):
     """Each benchmark text and a second variant of it, first variant wins."""
     asked = both_queries(spark, sf)

@@ -14,11 +14,11 @@ from acervo.plans.ingest import augment_and_index, ingest
 from acervo.session import scratch_path
 from acervo.sources import files, tables
 from entry_queries.inputs import (
-    LINES_CTE, LOGS_CTE, MEMORY_SQL, P, PAGES_CTE, REF_TS, SESSIONS_CTE, SHEET_COLUMNS, SHEET_CTE,
+    LINES_CTE, LOGS_CTE, MEMORY_SQL, VECTOR_CTE, knn_cte, P, PAGES_CTE, REF_TS, SESSIONS_CTE, SHEET_COLUMNS, SHEET_CTE,
     both_queries, documents, line_chunks, memory_operations, messages, now, page_rows, query_logs,
     sessions, sheet_rows, table, vector_queries, vectors,
 )
-from entry_queries.registry import query
+from entry_queries.registry import SQL, query
 from entry_queries.text import _pairs, question_model
 from acervo.operators.fusion import hybrid_search
 from acervo.operators.lexical import build_index
@@ -677,7 +677,7 @@ def ingested(spark, sf):
     return results.select("doc_id", "success", "chunk_count", "document_type", F.size("errors").alias("errors"))
 
 
-@query("augment_and_index")
+@query("augment_and_index", f"WITH {LINES_CTE} SELECT count(*) AS original_chunks, 2 * count(*) AS questions_added, 3 * count(*) AS total_indexed FROM lines")
 def augmented_index(spark, sf):
     """Counts of originals, questions and the sum."""
     chunks = line_chunks(spark, sf).withColumn("doc_id", F.col("source")).withColumn("id", F.concat_ws("::", "source", "chunk_index"))
@@ -710,7 +710,15 @@ def answered(spark, sf):
     return rows.select("query_id", "mode", "n_docs", F.md5("draft").alias("draft"), F.size("sources").alias("sources"), "verdict.is_valid", "reflection.route")
 
 
-@query("plan_query")
+_COMPLEXITY_SQL = SQL["assess_complexity"]
+
+
+@query(
+    "plan_query",
+    f"""WITH c AS ({_COMPLEXITY_SQL}), p AS (SELECT conv_id, turn, text, complexity, complexity <> 'simple' AS hard, length(text) % 5 = 0 AS fails FROM c JOIN conversations USING (conv_id, turn))
+      SELECT conv_id || '/' || turn AS query_id, complexity, CASE WHEN hard AND NOT fails THEN 'a|b|c' ELSE text END AS sub_queries,
+        CASE WHEN hard AND fails THEN 'full' ELSE 'hybrid' END AS strategy, hard AND NOT fails AS use_planner FROM p""",
+)
 def planned(spark, sf):
     """Hard messages get up to three sub-queries from the model; some calls fail."""
     def model(prompts):
@@ -723,7 +731,14 @@ def planned(spark, sf):
     return rows.select("query_id", "complexity", F.array_join("sub_queries", "|").alias("sub_queries"), "strategy", "use_planner")
 
 
-@query("corrective_loop")
+@query(
+    "corrective_loop",
+    f"""WITH {VECTOR_CTE}, r AS (SELECT vec_id * 10 + n AS query_id, list_transform(embedding, lambda x: (x * pow(0.5, n))::FLOAT) AS embedding FROM embeddings CROSS JOIN range(3) t(n)),
+      {knn_cte('k', 'r', 'vd', 5)},
+      s AS (SELECT query_id // 10 AS query_id, query_id % 10 AS n, greatest(0.0, 1.9 - distance) AS score FROM k WHERE rank = 5),
+      done AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n) AS first FROM s WHERE score > 0.7 OR n = 2)
+      SELECT query_id, n AS retries, CASE WHEN score > 0.7 THEN 'correct' WHEN score >= 0.3 THEN 'ambiguous' ELSE 'incorrect' END AS quality, round(score, 4) AS score, 5 AS hits FROM done WHERE first = 1""",
+)
 def corrected(spark, sf):
     """Nearest neighbours graded by distance; the rest is searched again with the nearest vector, at most twice."""
     docs = vectors(spark, sf)

@@ -40,6 +40,10 @@ RULE_SQL = {
 
 
 def sql_rule(rule: cleaning.Rule, text: str) -> str:
+    if rule is cleaning.OCR_L:  # no look-around in RE2: neighbours are put back, and a second pass takes "l l"
+        for _ in range(2):
+            text = f"regexp_replace({text}, '(^|[^\\p{{L}}\\p{{N}}_])l($|[^\\p{{L}}\\p{{N}}_])', '\\11\\2', 'g')"
+        return text
     if rule is cleaning.REPEATED_LETTERS:  # no back-reference in RE2: one replacement per letter
         for letter in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
             text = f"regexp_replace({text}, '{letter}{{5,}}', '{letter}', 'g')"
@@ -51,7 +55,7 @@ def sql_rule(rule: cleaning.Rule, text: str) -> str:
 
 def _rule_query(rule: cleaning.Rule) -> None:
     sql = None
-    if rule in RULE_SQL or rule is cleaning.REPEATED_LETTERS:
+    if rule in RULE_SQL or rule in (cleaning.REPEATED_LETTERS, cleaning.OCR_L):
         done = sql_rule(rule, "t")
         sql = f"WITH n AS (SELECT doc_id, {sql_noisy()} AS t FROM documents) SELECT doc_id, md5({done}) AS cleaned, length({done}) AS size FROM n"
 

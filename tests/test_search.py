@@ -124,6 +124,15 @@ def test_knn_matches_brute_force_in_one_or_many_blocks(spark, block):
     assert ranked(knn(asked, docs.repartition(5), 6, block=block)) == brute(rows[:40], rows, 6)
 
 
+def test_knn_without_queries_or_vectors(spark):
+    docs, _ = vectors(spark, 9)
+    asked = docs.select(F.col("doc_id").alias("query_id"), "embedding", F.create_map(F.lit("grp"), F.col("grp")).alias("f"))
+    assert knn(asked.limit(0), docs, 3).count() == 0
+    assert knn(asked, docs.limit(0), 3).count() == 0
+    assert knn(asked.limit(0), docs, 3, filters="f", filter_columns=("grp",)).count() == 0
+    assert knn(asked, docs.withColumn("grp", F.lit(None).cast("string")), 3, filters="f", filter_columns=("grp",)).count() == 0
+
+
 def test_knn_filters_before_ranking(spark):
     docs, rows = vectors(spark, 90)
     asked = docs.select(F.col("doc_id").alias("query_id"), "embedding", F.create_map(

@@ -154,6 +154,16 @@ def test_ingest_reports_each_document(spark):
     assert rows[1]["success"] and not rows[2]["success"] and len(rows[2]["errors"]) == 1
 
 
+def test_ingest_files(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# Guía\nTexto de la guía")
+    (tmp_path / "b.pdf").write_bytes(b"%PDF-1.7")
+    (tmp_path / "c.bin").write_bytes(b"\x00")
+    snapshot, results = ingest.ingest_files(spark, str(tmp_path))
+    assert [r["id"] for r in snapshot.collect()] == ["a.md::0"]
+    rows = {r["path"].rsplit("/", 1)[-1]: (r["success"], len(r["errors"])) for r in results.collect()}
+    assert rows == {"a.md": (True, 0), "b.pdf": (False, 1), "c.bin": (False, 1)}
+
+
 def test_questions_belong_to_their_chunk(spark):
     chunks = spark.createDataFrame([(1, i, f"c{i}", f"1::{i}") for i in range(7)], "doc_id bigint, chunk_index bigint, text string, id string")
 
