@@ -79,7 +79,20 @@ def build_context(documents: DataFrame) -> DataFrame:
 
     Search results are at most k rows per query, which bounds what is gathered.
     """
-    piece = F.concat(
+    gathered = documents.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", context_piece().alias("piece")))).alias("_rows")
+    )
+    return gathered.select("query_id", joined_context(F.col("_rows")).alias("context"))
+
+
+def joined_context(rows: Column) -> Column:
+    """Pieces of an array of structs, in order, as one text."""
+    return F.array_join(F.transform(rows, lambda r: r["piece"]), "\n\n---\n\n")
+
+
+def context_piece() -> Column:
+    """One document of a context with its header line."""
+    return F.concat(
         F.lit("[Documento "), F.col("rank").cast("string"), F.lit(" — "),
         F.concat_ws(
             " | ",
@@ -90,8 +103,6 @@ def build_context(documents: DataFrame) -> DataFrame:
         ),
         F.lit("]\n"), F.col("text"),
     )
-    gathered = documents.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", piece.alias("piece")))).alias("_rows"))
-    return gathered.select("query_id", F.array_join(F.transform("_rows", lambda r: r["piece"]), "\n\n---\n\n").alias("context"))
 
 
 def grading_prompt(documents: DataFrame, n: int = 5, chars: int = 500) -> DataFrame:

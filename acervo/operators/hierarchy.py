@@ -32,39 +32,36 @@ def hierarchical_search(
     plain = knn(queries, details, k_chunks, metric=metric).select("query_id", "doc_id", "rank")
     if summaries is None:
         return plain
+    # The lists below are at most a few rows per query and each is read several times:
+    # a checkpoint keeps one scan of the vectors from becoming several.
+    plain = cut_lineage(plain)
     found = knn(queries, summaries, k_summaries, metric=metric).select("query_id", F.col("doc_id").alias("summary_id"), "rank")
     keys = summaries.select(F.col("doc_id").alias("summary_id"), "article_number", "page")
     share = F.greatest(F.lit(1), F.floor(k_chunks / F.count("*").over(Window.partitionBy("query_id"))))
-    leads = (
+    leads = cut_lineage(
         found.join(keys, "summary_id")
         .withColumn("share", share)
         .withColumnRenamed("rank", "lead")
         .join(queries.select("query_id", "embedding"), "query_id")
     )
-    leads = cut_lineage(leads)  # at most k_summaries rows per query, read by three tiers
-
-    def tier(number: int, column: str) -> DataFrame:
-        """Hits of each lead among the rows that share its ``column``."""
-        asked = leads.filter(F.coalesce(F.col(column).cast("string"), F.lit("")) != "").select(
-            F.concat_ws("|", "query_id", "lead").alias("lead_key"),
-            "embedding",
-            F.create_map(F.lit(column), F.col(column).cast("string")).alias("filters"),
-        )
-        hits = knn(asked, details, k_chunks, query_id="lead_key", filters="filters", filter_columns=(column,), metric=metric)
-        return hits.select("lead_key", "doc_id", "rank").withColumn("tier", F.lit(number))
-
-    lead_rows = leads.select("query_id", "lead", "share", F.concat_ws("|", "query_id", "lead").alias("lead_key"))
-    any_hit = lead_rows.join(plain, "query_id").select("lead_key", "doc_id", "rank").withColumn("tier", F.lit(3))
-    tiers = tier(1, "article_number").unionByName(tier(2, "page")).unionByName(any_hit)
-    best_tier = F.min("tier").over(Window.partitionBy("lead_key"))
-    chosen = (
-        tiers.withColumn("_best", best_tier)
-        .filter(F.col("tier") == F.col("_best"))
-        .join(lead_rows, "lead_key")
-        .filter(F.col("rank") <= F.col("share"))
-        .select("query_id", "doc_id", "lead", "rank")
+    # Two questions per lead, asked in one scan: rows of its article, rows of its page.
+    tiers = F.explode(F.array(*[
+        F.struct(F.lit(n).alias("tier"), F.lit(name).alias("column"), F.coalesce(F.col(name).cast("string"), F.lit("")).alias("wanted"))
+        for n, name in ((1, "article_number"), (2, "page"))
+    ]))
+    asked = leads.select("query_id", "lead", "share", "embedding", tiers.alias("t")).filter("t.wanted <> ''").select(
+        F.concat_ws("|", "query_id", "lead", "t.tier").alias("key"), "query_id", "lead", "share", "embedding",
+        F.col("t.tier").alias("tier"), F.create_map("t.column", "t.wanted").alias("filters"),
     )
-    chosen = first_wins(chosen, ["query_id", "doc_id"], [F.col("lead"), F.col("rank")])
+    own = knn(asked, details, k_chunks, query_id="key", filters="filters", filter_columns=("article_number", "page"), metric=metric)
+    names = asked.select("key", "query_id", "lead", "share", "tier")
+    columns = ["query_id", "lead", "share", "tier", "doc_id", "rank"]
+    anywhere = leads.select("query_id", "lead", "share").join(plain, "query_id").withColumn("tier", F.lit(3))
+    candidates = own.join(names, "key").select(columns).unionByName(anywhere.select(columns))
+    best_tier = F.min("tier").over(Window.partitionBy("query_id", "lead"))
+    first = candidates.withColumn("_best", best_tier).filter((F.col("tier") == F.col("_best")) & (F.col("rank") <= F.col("share")))
+    chosen = first_wins(first.select("query_id", "doc_id", "lead", "rank"), ["query_id", "doc_id"], [F.col("lead"), F.col("rank")])
+    chosen = cut_lineage(chosen)
     short = chosen.groupBy("query_id").agg(F.count("*").alias("_have"))
     extra = (
         plain.join(short, "query_id", "left")

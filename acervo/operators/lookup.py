@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from acervo.functions.metadata import article_key
 from acervo.operators.vector import knn
 
-K_EXACT, K_FALLBACK = 3, 5  # rows fetched per tier; the best one is returned
+K_FALLBACK = 5  # rows fetched per tier; the best one is returned
 
 
 def article_lookup(requests: DataFrame, chunks: DataFrame, *, metric: str = "l2sq") -> DataFrame:
@@ -20,18 +20,16 @@ def article_lookup(requests: DataFrame, chunks: DataFrame, *, metric: str = "l2s
     """
     keyed = chunks.withColumn("article_key", article_key("article_number"))
     source = F.coalesce(F.col("source"), F.lit(""))
-    exact = requests.withColumn(
-        "filters", F.create_map(F.lit("article_key"), article_key("article_number"), F.lit("source"), source)
+    exact = F.create_map(F.lit("article_key"), article_key("article_number"), F.lit("source"), source)
+    loose = F.create_map(F.lit("source"), source)
+    tiers = F.explode(F.array(F.struct(F.lit(1).alias("tier"), exact.alias("filters")), F.struct(F.lit(2).alias("tier"), loose.alias("filters"))))
+    # both tiers are asked in one scan of the chunks
+    asked = requests.select("query_id", "embedding", tiers.alias("t")).select(
+        F.concat_ws("|", "query_id", "t.tier").alias("key"), "query_id", "embedding", "t.tier", "t.filters"
     )
-    loose = requests.withColumn("filters", F.create_map(F.lit("source"), source))
-
-    def tier(asked: DataFrame, k: int, number: int) -> DataFrame:
-        hits = knn(asked, keyed, k, filters="filters", filter_columns=("article_key", "source"), metric=metric)
-        return hits.select("query_id", "doc_id", "rank").withColumn("tier", F.lit(number))
-
+    hits = knn(asked, keyed, K_FALLBACK, query_id="key", filters="filters", filter_columns=("article_key", "source"), metric=metric)
     best = (
-        tier(exact, K_EXACT, 1)
-        .unionByName(tier(loose, K_FALLBACK, 2))
+        hits.join(asked.select("key", "query_id", "tier"), "key")
         .groupBy("query_id")
         .agg(F.min_by("doc_id", F.struct("tier", "rank")).alias("doc_id"))
     )

@@ -19,7 +19,7 @@ from acervo.functions.answers import (
 )
 from acervo.functions.questions import assess_complexity, distinct_articles
 from acervo.functions.replies import parse_fenced_json
-from acervo.operators.evaluate import build_context
+from acervo.operators.evaluate import context_piece, joined_context
 from acervo.operators.models import TextFunction, model_map
 from acervo.session import cut_lineage
 
@@ -93,15 +93,12 @@ def answer_batch(queries: DataFrame, documents: DataFrame, fn: TextFunction) ->
     A query above 0.8 takes one model pass, the others two, and those without
     documents none.
     """
-    contexts = build_context(documents)
-    first = (
-        documents.filter(F.col("rank") <= 3)
-        .groupBy("query_id")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "source", "article_number", "page"))).alias("documents"))
-    )
-    counts = documents.groupBy("query_id").agg(F.count("*").alias("n_docs"))
-    rows = queries.join(contexts, "query_id", "left").join(first, "query_id", "left").join(counts, "query_id", "left")
-    rows = rows.withColumn("n_docs", F.coalesce("n_docs", F.lit(0))).withColumn("mode", generation_mode("score", "n_docs"))
+    row = F.struct("rank", "source", "article_number", "page", context_piece().alias("piece"))
+    gathered = documents.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("documents"))
+    # one pass over the hits gives the context, the first documents and their number
+    rows = queries.join(gathered, "query_id", "left").withColumn("context", joined_context(F.col("documents")))
+    rows = rows.withColumn("n_docs", F.greatest(F.size("documents"), F.lit(0)))
+    rows = rows.withColumn("mode", generation_mode("score", "n_docs"))
     prompt = F.concat(F.lit("Consulta: "), F.col("text"), F.lit("\n\nContexto:\n"), F.col("context"))
     two_pass = F.col("mode").startswith("rethinking")
     passages = model_map(F.when(two_pass, prompt), _optional(fn))
@@ -125,8 +122,7 @@ def answer_batch(queries: DataFrame, documents: DataFrame, fn: TextFunction) ->
 
 def _sources(draft: Column) -> Column:
     return F.when(F.col("mode") == "no_docs", extract_sources(F.lit(""))).otherwise(
-        extract_sources(draft, F.coalesce("documents", F.array().cast(
-            "array<struct<rank:int,source:string,article_number:string,page:string>>")))
+        extract_sources(draft, F.col("documents"))
     )
 
 

@@ -24,6 +24,7 @@ from acervo.operators.models import candidate_budget
 from acervo.operators.neighbours import neighbour_window
 from acervo.operators.parents import parent_child_search
 from acervo.operators.vector import knn, knn_scored
+from acervo.session import cut_lineage
 
 TOP_K, FETCH_FACTOR = 10, 2  # fixed values
 STRATEGIES = ["vector", "bm25", "hybrid", "hierarchical", "full", "parent_child", "auto"]
@@ -94,7 +95,7 @@ def search(
 
 def enriched_search(queries: DataFrame, corpus: Corpus, strategy: str = "auto", *, window: int = 2, **options) -> DataFrame:
     """Search, then each hit with its neighbouring chunks folded in."""
-    hits = search(queries, corpus, strategy, **options)
+    hits = cut_lineage(search(queries, corpus, strategy, **options))  # k rows per query, read twice
     placed = hits.join(corpus.chunks.select("doc_id", "source", "chunk_index", "text"), "doc_id")
     wide = neighbour_window(placed.select("source", "chunk_index", "text"), corpus.chunks, window)
     return placed.drop("text").join(wide, ["source", "chunk_index"])
