@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from acervo.operators.logs import quality_aggregates
 from acervo.operators.sessions import CHARS_PER_TOKEN, KEEP_LAST, THRESHOLD_TOKENS
 from acervo.plans.ingest import prepare_chunks
-from acervo.sources.tables import append_delta, latest_per_key
+from acervo.sources.tables import append_delta, latest_per_key, read_collection
 
 
 def file_stream(spark: SparkSession, schema, path: str, *, fmt: str = "parquet", per_trigger: int = 1000, **options: str) -> DataFrame:
@@ -36,21 +36,38 @@ def run_available(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame,
 # ── New documents ─────────────────────────────────────────────────────────────
 
 def ingest_stream(documents: DataFrame, collection: str, checkpoint: str, *, arrived: str = "arrived_at",
-                  delay: str = "7 days") -> StreamingQuery:
+                  days: int = 7) -> StreamingQuery:
     """Documents (doc_id, source, text, arrived_at) → chunks in the collection at ``collection``.
 
-    A copy (same content hash) that comes within ``delay`` is dropped.  Each
-    micro-batch adds its own delta, so the cost follows the new documents and not
-    the collection; ``read_collection`` lets the newest batch win per chunk id.
+    A copy (same content hash, and session_id where there is one) of a document
+    that arrived within ``days`` is dropped.  Copies inside a micro-batch combine
+    on the map side, and earlier ones are found by an anti-join with the stored
+    hashes, so a much-copied document does not pile up in one task or state
+    partition.  Each micro-batch adds its own delta, so the cost follows the new
+    documents and not the collection; a batch that is run again replaces its
+    delta; ``read_collection`` lets the newest batch win per chunk id.
     """
-    hashed = documents.withColumn("file_hash", F.sha2("text", 256)).withWatermark(arrived, delay)
-    once = hashed.dropDuplicatesWithinWatermark(["file_hash"])
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        chunks = prepare_chunks(batch)
-        append_delta(latest_per_key(chunks, "id", F.struct(arrived, "doc_id")), collection, batch_id)
-
-    return run_available(once, checkpoint, merge)
+    keys = [c for c in ("session_id", "file_hash") if c == "file_hash" or c in documents.columns]
+    seen, chunks = f"{collection}/hashes", f"{collection}/chunks"
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        hashed = batch.withColumn("file_hash", F.sha2("text", 256))
+        body = [c for c in hashed.columns if c not in keys]
+        once = hashed.groupBy(*keys).agg(F.min_by(F.struct(*body), F.struct(arrived, "doc_id")).alias("_doc")).select(*keys, "_doc.*")
+        if batch_id > 0:
+            earliest = batch.agg(F.min(arrived) - F.make_dt_interval(F.lit(days))).scalar()
+            known = batch.sparkSession.read.option("basePath", seen).parquet(f"{seen}/batch=*")
+            recent = known.filter((F.col("batch") < batch_id) & (F.col(arrived) >= earliest))
+            once = once.join(recent.select(*keys), keys, "left_anti")
+        append_delta(latest_per_key(prepare_chunks(once), "id", F.struct(arrived, "doc_id")), chunks, batch_id)
+        append_delta(once.select(*keys, arrived), seen, batch_id)
+
+    return run_available(documents, checkpoint, add)
+
+
+def ingested_chunks(spark: SparkSession, collection: str) -> DataFrame:
+    """Current chunks of a collection filled by ``ingest_stream``."""
+    return read_collection(spark, f"{collection}/chunks")
 
 
 # ── Session memory ────────────────────────────────────────────────────────────

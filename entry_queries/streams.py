@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from acervo.session import prepare, scratch_path
-from acervo.sources.tables import read_collection
 from acervo.streaming import jobs
 from entry_queries.inputs import LOGS_CTE, MEMORY_SQL, logs_of, messages_of, operations_of
 from entry_queries.registry import query
@@ -77,5 +76,5 @@ def ingested(spark, sf):
     docs = _stream(spark, sf, "documents").select(
         "doc_id", "source", "text", F.timestamp_seconds(F.col("doc_id") + 1_700_000_000).alias("arrived_at"))
     jobs.ingest_stream(docs, out, checkpoint).awaitTermination()
-    chunks = read_collection(spark, out)
+    chunks = jobs.ingested_chunks(spark, out)
     return chunks.groupBy("source").agg(F.count_distinct("id").alias("ids"), F.count("*").alias("chunks"))

@@ -141,7 +141,7 @@ def test_ingest_stream_drops_copies_and_merges(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
     for _ in range(2):  # a second run finds nothing new
         jobs.ingest_stream(jobs.file_stream(spark, schema, source, per_trigger=1), out, checkpoint).awaitTermination()
-    found = {r["id"]: r["text"] for r in tables.read_collection(spark, out).collect()}
+    found = {r["id"]: r["text"] for r in jobs.ingested_chunks(spark, out).collect()}
     assert found == {"a::0": "Texto nuevo", "b::0": "Texto dos"}
 
 
@@ -259,3 +259,27 @@ def test_running_counters_cross_slots(spark):
     found = se.session_counters(changes).orderBy("change_id").collect()
     assert [r["total_messages"] for r in found] == list(range(1, 13))
     assert [r["total_documents"] for r in found] == [sum(j % 2 for j in range(i + 1)) for i in range(12)]
+
+
+def test_compaction_events(spark, tmp_path):
+    source, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+    schema = "session_id bigint, seq bigint, role string, content string"
+    for part in range(2):
+        rows = [(s, i, "human", "x" * 40) for s in (1, 2) for i in range(part * 6, part * 6 + (6 if s == 1 else 1))]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    events = jobs.compaction_stream(jobs.file_stream(spark, schema, source, per_trigger=1), keep=3, threshold=50)
+    jobs.write_stream(events, out, checkpoint).awaitTermination()
+    rows = spark.read.schema(jobs.COMPACTION_OUTPUT).parquet(out).orderBy("seq").collect()
+    # 10 tokens a message: the sixth passes 50 and leaves 3; three more make 60 again, and so on
+    assert [(r["session_id"], r["seq"], r["removed"]) for r in rows] == [("1", 5, [0, 1, 2]), ("1", 8, [3, 4, 5]), ("1", 11, [6, 7, 8])]
+
+
+def test_plugged_models(spark):
+    import numpy as np
+
+    rows = spark.createDataFrame([("ab", "abc"), ("x", "y")], "a string, b string")
+    vec = models.embed(lambda texts: np.array([[len(t), 1.0] for t in texts]))
+    pair = models.score_pair(lambda qs, ts: [len(q) / len(t) for q, t in zip(qs, ts)])
+    assert [tuple(r) for r in rows.select(vec("a"), F.round(pair("a", "b"), 3)).collect()] == [([2.0, 1.0], 0.667), ([1.0, 1.0], 1.0)]
+    size = rows.select(models.hashed_embedding("b", 16).alias("e")).first()["e"]
+    assert len(size) == 16 and abs(sum(x * x for x in size) - 1.0) < 1e-6
