@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 from acervo.functions.text import col
 from acervo.functions.tokens import TOKEN_PATTERN, is_term, tokenize
 from acervo.operators.ranking import small_hits, top_k
-from acervo.session import at_most
 
 # Okapi parameters.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 BROADCAST_ROWS = 500_000  # (query, term) rows; about 50 MB
-MANY_QUERIES, FEW_QUERIES = 64, 50_000
+MANY_QUERIES = 64
 PLACES = 9  # scores are compared rounded, so copies of a text tie and the id decides
 
 
@@ -96,9 +95,10 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "tex
     )
 
 
-def bm25_scores(terms: DataFrame, index: LexicalIndex, where: Column | None = None, *, many: bool = False) -> DataFrame:
+def bm25_scores(terms: DataFrame, index: LexicalIndex, where: Column | None = None, *, small: bool = True, many: bool = False) -> DataFrame:
     """(query_id, doc_id, score > 0) for query terms (query_id, term, qtf).
 
+    ``small`` says that the terms are known to be at most ``BROADCAST_ROWS`` rows.
     With few queries the (query, document) sums combine in the scan's own tasks.
     With ``many`` those pairs would outgrow the index, so the postings of the
     queried terms are put together by document first; the sums and the first cut
@@ -107,7 +107,7 @@ def bm25_scores(terms: DataFrame, index: LexicalIndex, where: Column | None = No
     avgdl = average_length(index)
     postings = index.postings if where is None else index.postings.filter(where)
     weighted = terms.join(term_stats(index), "term")
-    if at_most(terms, BROADCAST_ROWS):  # else both sides shuffle on term, and AQE splits hot terms
+    if small:  # else both sides shuffle on term, and AQE splits hot terms
         weighted = F.broadcast(weighted)
         if many:
             asked = F.broadcast(terms.select("term").distinct())
@@ -136,14 +136,16 @@ def bm25_search(
     ``where`` is a condition on the index's kept columns; it is applied before
     ranking, so filtered lists still fill up to ``k``.
     """
-    counted = queries.limit(FEW_QUERIES + 1).count()
-    scored = bm25_scores(query_terms(queries, query_id, text, pattern), index, where, many=counted > MANY_QUERIES)
+    terms = query_terms(queries, query_id, text, pattern)
+    rows, asked = terms.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.count_distinct("query_id")).first()
+    small = rows <= BROADCAST_ROWS
+    scored = bm25_scores(terms, index, where, small=small, many=asked > MANY_QUERIES)
     best = top_k(
         scored.withColumn("_score", F.round("_score", PLACES)),
         ["query_id"], [F.col("_score").desc(), F.col("doc_id")], k,
     )
     hits = best.select("query_id", "doc_id", F.round("_score", 4).alias("score"), "rank")
-    return small_hits(hits, counted, k) if counted <= FEW_QUERIES else hits
+    return small_hits(hits, asked, k) if small else hits
 
 
 def stringly_filter(filters: dict[str, str]) -> Column:

@@ -248,9 +248,10 @@ def test_evaluation(spark):
 def test_many_queries_plan_gives_the_same_hits(spark):
     index = lexical.build_index(frame(spark, TEXTS, "doc_id"))
     terms = lexical.query_terms(frame(spark, QUERIES, "query_id"))
-    few, many = (sorted(map(tuple, lexical.bm25_scores(terms, index, many=m).select("query_id", "doc_id", F.round("_score", 9)).collect()))
-                 for m in (False, True))
-    assert few == many and few
+    plans = [{"many": False}, {"many": True}, {"small": False}]
+    few, many, large = (
+        sorted(map(tuple, lexical.bm25_scores(terms, index, **p).select("query_id", "doc_id", F.round("_score", 9)).collect())) for p in plans)
+    assert few == many == large and few
 
 
 def test_rank_in_buckets_equals_plain_rank(spark):
