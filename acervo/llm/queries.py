@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acervo.llm import decontaminate, mixing, quality
+from acervo.llm import decontaminate, mixing, pii, quality, toxicity
 from acervo.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,3 +67,13 @@ def op2_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_template_decontamination")
 def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_pii_boosted_candidates")
+def op6_pii_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents"))
+
+
+@query("op8_toxicity_grammar")
+def op8_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
