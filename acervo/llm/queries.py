@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acervo.llm import decontaminate, mixing, neardup, pii, quality, toxicity
+from acervo.llm import decontaminate, mixing, neardup, pii, quality, repeats, toxicity
 from acervo.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,29 @@ def op8_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_near_duplicates")
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
+
+
+@query("op7_repeated_passages", sql="""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS h
+  FROM words, LATERAL (SELECT unnest(range(1, len(w) - 48)) AS p)
+), smallest AS (
+  SELECT h, min(doc_id) AS least FROM windows GROUP BY h
+), repeated AS (
+  SELECT doc_id, list(p) AS starts FROM windows JOIN smallest USING (h) WHERE doc_id > least GROUP BY doc_id
+), covered AS (
+  SELECT doc_id, list_distinct(flatten(list_transform(starts, lambda s: range(s, s + 50)))) AS gone FROM repeated
+), places AS (
+  SELECT w.doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM words w
+), lost AS (
+  SELECT doc_id, unnest(gone) AS p FROM covered
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM places ANTI JOIN lost USING (doc_id, p) GROUP BY doc_id
+)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM words w LEFT JOIN covered USING (doc_id) LEFT JOIN kept USING (doc_id)
+""")
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
