@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acervo.llm import decontaminate, mixing, neardup, pii, quality, repeats, toxicity
+from acervo.llm import decontaminate, fingerprints, mixing, neardup, pii, quality, repeats, toxicity
 from acervo.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,8 @@ FROM words w LEFT JOIN covered USING (doc_id) LEFT JOIN kept USING (doc_id)
 """)
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op1_order_minhash")
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
