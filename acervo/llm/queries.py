@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acervo.llm import decontaminate, fingerprints, mixing, neardup, pii, quality, repeats, toxicity
+from acervo.llm import decontaminate, fingerprints, mixing, neardup, pii, quality, repeats, toxicity, urls, warc
 from acervo.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +113,65 @@ def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_order_minhash")
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query("op3_url_language_models")
+def op3_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filtered(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+_ENTITIES = "".join(f", '{name}', '{value if value != chr(39) else chr(39) * 2}')" for name, value in warc.ENTITIES.items())
+_BASE32 = f"""'sha1:' || array_to_string(list_transform(range(32), lambda i: substr('{warc.BASE32}',
+  ((('0x' || substr(@, (i // 8) * 10 + 1, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT + 1, 1)), '')"""
+_UUID = "'<urn:uuid:' || substr(@, 1, 8) || '-' || substr(@, 9, 4) || '-' || substr(@, 13, 4) || '-' || substr(@, 17, 4) || '-' || substr(@, 21, 12) || '>'"
+
+
+def _unescaped(text: str) -> str:
+    """DuckDB expression of warc.unescaped."""
+    code = "chr(CASE WHEN (c > 0 AND c < 55296) OR (c > 57343 AND c <= 1114111) THEN c ELSE 65533 END)"
+    decimal, hexadecimal = "regexp_extract(x, '^([0-9]{1,7});', 1)", "regexp_extract(x, '^[xX]([0-9a-fA-F]{1,6});', 1)"
+    pieces = f"""array_to_string(list_transform(string_split({text}, '&#'), lambda x, i: CASE WHEN i = 1 THEN x
+      WHEN {decimal} <> '' THEN list_transform([{decimal}::INT], lambda c: {code})[1] || regexp_replace(x, '^[^;]*;', '')
+      WHEN {hexadecimal} <> '' THEN list_transform([('0x' || {hexadecimal})::INT], lambda c: {code})[1] || regexp_replace(x, '^[^;]*;', '')
+      ELSE '&#' || x END), '')"""
+    return "replace(" * (len(warc.ENTITIES) + 1) + pieces + _ENTITIES + ", '&amp;', '&')"
+
+
+@query("op4_warc_derivatives", sql=f"""
+WITH source AS (
+  SELECT page_id, url, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages
+), named AS (
+  SELECT *, md5('response ' || coalesce(page_id::VARCHAR, '') || ' ' || coalesce(url, '') || ' ' || h) AS m FROM source
+), response AS (
+  SELECT page_id, url, payload, {_BASE32.replace('@', 'h')} AS source_digest, {_UUID.replace('@', 'm')} AS refers_to FROM named
+), texts AS (
+  SELECT *, regexp_replace(regexp_replace(payload, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', '', 'g'),
+    '(?i)</?(?:{warc.BLOCKS})(?:[\\s/][^>]*)?>', chr(10), 'g') AS lined,
+    regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title', 1) AS titled FROM response
+), blocks AS (
+  SELECT page_id, url, source_digest, refers_to, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
+    array_to_string(list_concat(
+      ['source-payload-digest: ' || source_digest, 'source-payload-length: ' || strlen(payload), 'title: ' || trim(regexp_replace({_unescaped('titled')}, '[\\s]+', ' ', 'g')),
+       'source-header: HTTP/1.1 200 OK', 'source-header: Content-Type: text/html; charset=utf-8', 'source-header: Content-Length: ' || strlen(payload)],
+      list_transform(regexp_extract_all(payload, '(?i)href\\s*=\\s*"([^"\\r\\n]*)"', 1), lambda y: 'outlink: ' || {_unescaped('y')})), chr(13) || chr(10)) || chr(13) || chr(10) AS block
+  FROM texts
+  UNION ALL
+  SELECT page_id, url, source_digest, refers_to, 'conversion', 'text/plain; charset=utf-8',
+    regexp_replace(regexp_replace(regexp_replace({_unescaped("regexp_replace(lined, '<[^>]*>', '', 'g')")}, '[ \\t\\f\\r]+', ' ', 'g'), ' ?(?:\\n ?)+', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')
+  FROM texts
+), hashed AS (
+  SELECT *, md5(warc_type || ' ' || refers_to) AS m, sha1(block) AS h FROM blocks
+), digested AS (
+  SELECT *, {_UUID.replace('@', 'm')} AS record_id, {_BASE32.replace('@', 'h')} AS block_digest, strlen(block)::BIGINT AS content_length FROM hashed
+)
+SELECT page_id, warc_type, record_id, refers_to, url AS target_uri, content_length, block_digest, source_digest,
+  concat_ws(chr(13) || chr(10), 'WARC/1.1', 'WARC-Type: ' || warc_type, 'WARC-Record-ID: ' || record_id, 'WARC-Refers-To: ' || refers_to,
+    'WARC-Target-URI: ' || url, 'WARC-Date: 2024-01-01T00:00:00Z', 'WARC-Block-Digest: ' || block_digest,
+    'Content-Type: ' || content_type, 'Content-Length: ' || content_length) AS header
+FROM digested
+""")
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derived(warc.responses(table(spark, sf_dir, "pages"))).drop("block")
