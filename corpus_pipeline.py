@@ -1,5 +1,59 @@
-"""placeholder"""
-STAGES = []
+"""The corpus pipeline: five stages from raw documents to a weighted mix.
+
+Each stage works on all rows its predecessor kept and is written as Parquet before the
+next one reads it; every stage but the last returns the columns of ``documents``.  The last
+returns the plan of the mix: how many words of each remaining document are taken.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from acervo.llm import decontaminate, mixing, neardup, pii, quality
+from acervo.llm.common import table
+from acervo.session import written
+
+#: The byte network and the sketches are not SQL; the tests hold every stage against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones among ``docs``, does not reject."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group alike in five-word shingles."""
+    return neardup.deduplicated(docs, 5, 80)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind in brackets."""
+    return pii.redacted(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of each document."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("near-duplicates", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("personal data", pii_stage),
+    ("mixing", mixing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return docs
