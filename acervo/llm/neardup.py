@@ -10,8 +10,9 @@ candidates; candidates are linked only after their full shingle sets have been c
 
 Work stays linear in the rows of a band.  Documents with equal sets are one class.  First
 every class is compared with the smallest class of its bands.  Once these links have been
-contracted, only pairs of *different* components that share a band are left, and all of
-these are compared, so no candidate pair is lost.
+contracted, only pairs of *different* components that share a band are left.  All of these
+are compared, in blocks of members, inside the tasks; what leaves a task is a link between
+two components, so no candidate pair is lost and none is written out.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ ROWS, MISS = 7, 1e-6
 SLICE_WORDS = 400_000
 #: Members that share one copy of their pivot's text when pairs are verified.
 CHUNK = 256
+#: Members of a band outside its first component, and members of it, that meet in one block.
+OUTSIDE, INSIDE = 256, 512
 EMPTY = np.uint64(2**64 - 1)
 
 
@@ -182,6 +185,59 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return spread.mapInPandas(run, "a long, b long")
 
 
+def joined_components(shared: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between the roots of components that share a band and hold two documents that are alike.
+
+    ``shared``: key, rep, root.  In each band the members outside its first component are
+    compared with all members of other components, block by block.
+    """
+    first = shared.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last").select("key", "first")
+    members = shared.join(first, "key")
+    blocks = members.groupBy("key").agg(
+        F.ceil(F.count(F.when(F.col("root") != F.col("first"), 1)) / OUTSIDE).cast("int").alias("outs"), F.ceil(F.count(F.lit(1)) / INSIDE).cast("int").alias("ins"))
+    dealt = members.join(blocks, "key")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), F.col("rep")), F.col(n)).cast("int")
+    out = dealt.where("root <> first").select("key", own("outs", 1).alias("o"), every("ins").alias("i"), F.lit(0).alias("role"), "rep", "root")
+    inside = dealt.select("key", every("outs").alias("o"), own("ins", 2).alias("i"), F.lit(1).alias("role"), "rep", "root")
+    rows = out.unionByName(inside).join(texts, F.col("rep") == texts.doc_id).select("key", "o", "i", "role", "root", "text")
+
+    def block(outs: list, ins: list) -> set[tuple[int, int]]:
+        if not outs or not ins:
+            return set()
+        sizes = np.array([len(own) for _, own in ins])
+        roots = np.array([root for root, _ in ins])
+        known, index = np.unique(np.concatenate([own for _, own in ins]), return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+        flag = np.zeros(len(known), bool)
+        links = set()
+        for root, own in outs:
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            at = at[known[at] == own]
+            flag[at] = True
+            both = np.add.reduceat(flag[index], starts, dtype=np.int64)
+            flag[at] = False
+            like = (100 * both >= percent * (len(own) + sizes - both)) & (roots != root)
+            links.update((min(root, r), max(root, r)) for r in map(int, np.unique(roots[like])))
+        return links
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = WordHash()
+        group, sides = None, ([], [])
+        for batch in batches:
+            found = set()
+            for key, o, i, role, root, text in zip(batch["key"], batch["o"], batch["i"], batch["role"], batch["root"], batch["text"], strict=True):
+                if group != (key, o, i):
+                    found |= block(*sides)
+                    group, sides = (key, o, i), ([], [])
+                sides[role].append((int(root), shingle_sets([words_of(text)], k, cache)[0]))
+            yield pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+        yield pd.DataFrame(sorted(block(*sides)), columns=["a", "b"], dtype="int64")
+
+    spread = rows.repartition("key", "o", "i").sortWithinPartitions("key", "o", "i", "role")
+    return spread.mapInPandas(run, "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node reachable.
 
@@ -235,18 +291,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = written(verified(stars, texts, k, percent).union(versions), "near-links")
     first = components(links)
     named = shared.join(first, shared.rep == first.node, "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed_keys = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    sizes = known.select(F.col("doc_id").alias("rep"), "n_shingles").groupBy("rep").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-    left = written(named.join(mixed_keys, "key").join(sizes, "rep"), "near-mixed")
-    x, y = left.alias("x"), left.alias("y")
-    rest = (
-        x.join(y, F.expr("x.key = y.key and x.root < y.root"))
-        .where(f"100 * x.most >= {percent} * y.least and 100 * y.most >= {percent} * x.least")
-        .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-        .join(stars, ["a", "b"], "left_anti")
+    second = components(joined_components(written(named, "near-named"), texts, k, percent))
+    found = (
+        first.withColumnRenamed("root", "near").join(second.withColumnRenamed("node", "near"), "near", "left").select("node", F.coalesce("root", "near").alias("root"))
+        .unionByName(second.join(first, "node", "left_anti"))
     )
-    more = verified(written(rest, "near-rest"), texts, k, percent)
-    found = components(links.union(more))
     placed = known.select("doc_id", "set_key").distinct().join(classes, "set_key").join(found, F.col("rep") == F.col("node"), "left")
     placed = placed.groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("component_id"))
     out = rows.select("doc_id", "n_shingles").join(placed, "doc_id", "left")
