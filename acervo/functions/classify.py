@@ -171,9 +171,8 @@ def mime_info(mime: Column) -> Column:
 def detect_mime(content: Column | str) -> Column:
     """Type struct from the bytes themselves, never from the name."""
     head = F.hex(F.substring(col(content), 1, 12))
-    body = F.hex(col(content))
-    has = lambda text: F.instr(body, text.encode().hex().upper()) % 2 == 1
-    has_wide = lambda text: F.instr(body, text.encode("utf-16-le").hex().upper()) > 0
+    has = lambda text: F.contains(col(content), F.lit(text.encode()))
+    has_wide = lambda text: F.contains(col(content), F.lit(text.encode("utf-16-le")))
     mime = (
         F.when(head.startswith("25504446"), "application/pdf")
         .when(head.startswith("504B0304") & has("word/"), DOCX)
@@ -189,7 +188,7 @@ def detect_mime(content: Column | str) -> Column:
         .when(F.length(col(content)) == 0, "application/x-empty")
         .otherwise("application/octet-stream")
     )
-    return mime_info(mime)
+    return F.transform(F.array(mime), mime_info)[0]
 
 
 class LoaderRule(NamedTuple):

@@ -144,15 +144,21 @@ def _source_key(source: Column | str, chunk_index: Column | str, mark: str) -> C
     return F.when((col(source) != "") & (index != ""), F.concat(col(source), F.lit(mark), index))
 
 
-def chunk_id(source: Column | str, chunk_index: Column | str, text: Column | str) -> Column:
-    """Store id: ``source::index`` else MD5 of the text; made safe, 512 characters."""
-    raw = F.coalesce(_source_key(source, chunk_index, "::"), F.md5(col(text)))
-    return F.substring(F.translate(raw, " /\\", "___"), 1, 512)
+def chunk_id(source: Column | str, chunk_index: Column | str, text: Column | str, document: Column | str | None = None) -> Column:
+    """Store id: ``source::index`` else MD5 of the text, made safe.
+
+    Where several documents share a source, ``document`` keeps their chunks apart:
+    ``source::document::index``.  An id of more than 512 characters keeps its first 479 and
+    the MD5 of the whole, so long ids stay distinct.
+    """
+    key = source if document is None else F.concat_ws("::", F.when(col(source) != "", col(source)), col(document).cast("string"))
+    raw = F.translate(F.coalesce(_source_key(key, chunk_index, "::"), F.md5(col(text))), " /\\", "___")
+    return F.when(F.length(raw) > 512, F.concat(F.substring(raw, 1, 479), F.lit("_"), F.md5(raw))).otherwise(raw)
 
 
 def result_id(source: Column | str, chunk_index: Column | str, text: Column | str) -> Column:
-    """Id used when merging result lists: as above but MD5 of the first 200 characters."""
-    return F.coalesce(_source_key(source, chunk_index, "::"), F.md5(F.substring(col(text), 1, 200)))
+    """Id used when merging result lists: as above but unescaped, and of the whole text."""
+    return F.coalesce(_source_key(source, chunk_index, "::"), F.md5(col(text)))
 
 
 def uuid5_url(name: Column | str) -> Column:
@@ -170,12 +176,13 @@ def uuid5_url(name: Column | str) -> Column:
 
 
 def parent_id(
-    doc_id: Column | str, alt_id: Column | str, source: Column | str, chunk_index: Column | str, text: Column | str
+    doc_id: Column | str, alt_id: Column | str, source: Column | str, chunk_index: Column | str, text: Column | str,
+    prefix: int | None = None,
 ) -> Column:
-    """Given id, else ``source::chunk_n``, else UUIDv5 of the first 200 characters."""
+    """Given id, else ``source::chunk_n``, else UUIDv5 of the text, or of its first ``prefix`` characters."""
     given = [F.when(col(c).cast("string") != "", col(c).cast("string")) for c in (doc_id, alt_id)]
     return F.coalesce(
-        *given, _source_key(source, chunk_index, "::chunk_"), uuid5_url(F.substring(col(text), 1, 200))
+        *given, _source_key(source, chunk_index, "::chunk_"), uuid5_url(col(text) if prefix is None else F.substring(col(text), 1, prefix))
     )
 
 

@@ -62,12 +62,9 @@ def hierarchical_search(
     first = candidates.withColumn("_best", best_tier).filter((F.col("tier") == F.col("_best")) & (F.col("rank") <= F.col("share")))
     chosen = first_wins(first.select("query_id", "doc_id", "lead", "rank"), ["query_id", "doc_id"], [F.col("lead"), F.col("rank")])
     chosen = cut_lineage(chosen)
-    short = chosen.groupBy("query_id").agg(F.count("*").alias("_have"))
-    extra = (
-        plain.join(short, "query_id", "left")
-        .filter(F.col("rank") <= k_chunks - F.coalesce("_have", F.lit(0)))
-        .join(chosen.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-        .select("query_id", "doc_id", F.lit(k_summaries + 1).alias("lead"), "rank")
+    # The plain list has k_chunks rows, so without those already chosen it fills every shortfall.
+    extra = plain.join(chosen.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").select(
+        "query_id", "doc_id", F.lit(k_summaries + 1).alias("lead"), "rank"
     )
     everything = chosen.unionByName(extra).withColumnRenamed("rank", "_at")
     ranked = top_k(everything, ["query_id"], [F.col("lead"), F.col("_at"), F.col("doc_id")], k_chunks)

@@ -46,7 +46,7 @@ def neighbour_window(hits: DataFrame, chunks: DataFrame, window: int = 2, overla
         .agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("_rows"))
     )
     texts = F.transform("_rows", lambda r: r["text"])
-    own = hits.select("source", "chunk_index", "text").dropDuplicates(["source", "chunk_index"])
+    own = hits.groupBy("source", "chunk_index").agg(F.min("text").alias("text"))  # of several texts at one place the smallest
     joined = own.join(around.withColumnRenamed("hit_index", "chunk_index"), ["source", "chunk_index"], "left")
     several = F.coalesce(F.size("_rows") > 1, F.lit(False))
     return joined.select(

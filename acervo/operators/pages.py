@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from acervo.functions.text import blank, trim_ws
 
 # Fixed values.
-MAX_PAGES, TEXT_THRESHOLD, OCR_CONFIDENCE, LINE_TOLERANCE = 400, 50, 0.4, 0.015
+TEXT_THRESHOLD, OCR_CONFIDENCE, LINE_TOLERANCE = 50, 0.4, 0.015
 HEADING_STYLES = ["heading 1", "heading 2", "heading 3", "título 1", "título 2", "título 3", "estilo1", "estilo2"]
 LIST_STYLES = ["list paragraph", "list bullet", "list number", "párrafo de lista", "viñeta de lista"]
 BLOCKS_PER_PIECE = 2000
 
 
-def stitch_pages(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
+def stitch_pages(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     """(doc_id, page_no, text) → (doc_id, text, pages_processed).
 
-    The first ``max_pages`` pages, blank ones skipped, each under ``[Página n]``.
-    The page limit bounds what one document can gather.
+    All pages (those up to ``max_pages`` where that is given), blank ones skipped, each
+    under ``[Página n]``.  A document is put together as one value.
     """
-    kept = pages.filter((F.col("page_no") <= max_pages) & ~blank("text"))
+    kept = pages.filter(~blank("text") if max_pages is None else (F.col("page_no") <= max_pages) & ~blank("text"))
     marked = kept.select(
         "doc_id", F.struct("page_no", F.format_string("[Página %d]\n%s", "page_no", "text").alias("text")).alias("_page")
     )

@@ -142,8 +142,13 @@ def insert_rows(table: DataFrame, rows: DataFrame, defaults: dict[str, Column])
 
 
 def update_title(sessions: DataFrame, titles: DataFrame, now: Column) -> DataFrame:
-    """Set titles (session_id, new_title), cut to 500, on sessions that are not deleted."""
-    joined = sessions.join(titles, "session_id", "left")
+    """Set titles (session_id, new_title), cut to 500, on sessions that are not deleted.
+
+    Of several titles for a session the last by ``seq`` counts, or the greatest where there is no such column.
+    """
+    order = "seq" if "seq" in titles.columns else "new_title"
+    last = titles.groupBy("session_id").agg(F.max_by("new_title", order).alias("new_title"))
+    joined = sessions.join(last, "session_id", "left")
     hit = F.col("new_title").isNotNull() & F.col("deleted_at").isNull()
     return joined.withColumn("title", F.when(hit, F.substring("new_title", 1, TITLE_CHARS)).otherwise(F.col("title"))).withColumn(
         "updated_at", F.when(hit, now).otherwise(F.col("updated_at"))
@@ -174,13 +179,18 @@ def soft_delete(sessions: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
 
 
 def upsert_profiles(profiles: DataFrame, changes: DataFrame) -> DataFrame:
-    """Insert or update by user; of several changes the last (by seq) counts; the row becomes active."""
-    last = changes.groupBy("user_identifier").agg(
-        F.max_by(F.struct("preferred_profile", "custom_system_prompt"), "seq").alias("_new")
-    )
-    fresh = last.select("user_identifier", "_new.preferred_profile", "_new.custom_system_prompt", F.lit(True).alias("is_active"))
-    kept = profiles.join(last.select("user_identifier"), "user_identifier", "left_anti")
-    return kept.select(fresh.columns).unionByName(fresh)
+    """Insert or update by user; of several changes the last (by seq) counts; the row becomes active.
+
+    Columns of ``profiles`` that a change does not carry keep their values; new users have null there.
+    """
+    given = [c for c in changes.columns if c not in ("user_identifier", "seq", "is_active")]
+    last = changes.groupBy("user_identifier").agg(F.max_by(F.struct(*given), "seq").alias("_new"))
+    joined = profiles.join(last, "user_identifier", "full")
+    changed = F.col("_new").isNotNull()
+    value = lambda c: F.when(changed, F.col(f"_new.{c}")).otherwise(F.col(c)) if c in given else F.col(c)
+    return joined.select(*[
+        (changed | F.col("is_active") if c == "is_active" else value(c)).alias(c) for c in profiles.columns
+    ])
 
 
 def deactivate_profiles(profiles: DataFrame, users: DataFrame) -> DataFrame:
@@ -190,7 +200,7 @@ def deactivate_profiles(profiles: DataFrame, users: DataFrame) -> DataFrame:
 
 def preferred_or_default(users: DataFrame, profiles: DataFrame, default: str = DEFAULT_PROFILE) -> DataFrame:
     """Profile of each user; inactive or missing gives the default."""
-    active = profiles.filter("is_active").select("user_identifier", "preferred_profile")
+    active = profiles.filter("is_active").groupBy("user_identifier").agg(F.max("preferred_profile").alias("preferred_profile"))
     joined = users.join(active, "user_identifier", "left")
     return joined.withColumn("preferred_profile", F.coalesce("preferred_profile", F.lit(default)))
 

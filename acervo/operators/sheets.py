@@ -1,7 +1,8 @@
 """Spreadsheet rows to text chunks.
 
-Sheets are tables of string cells: (sheet, row_no, cells…).  A sheet is capped
-at 10 000 rows by definition, which bounds every per-sheet window here.
+Sheets are tables of string cells: (sheet, row_no, cells…).  A sheet may be of any
+length: positions are counted in slots of row numbers and put together from the sums of
+the slots before, so no window holds more than a slot of a sheet.
 """
 
 from __future__ import annotations
@@ -12,21 +13,34 @@ from pyspark.sql import functions as F
 from acervo.functions.metadata import extract_metadata
 from acervo.functions.text import blank, trim_ws
 
-MAX_ROWS, ROWS_PER_CHUNK, SHEET_STRIDE, HEADER_COLUMNS = 10_000, 20, 1000, 10  # fixed values
+ROWS_PER_CHUNK, SHEET_STRIDE, HEADER_COLUMNS = 20, 1000, 10  # fixed values
+SLOT = 4096  # consecutive row numbers that are counted together
+
+
+def positions(rows: DataFrame, slot: int = SLOT) -> DataFrame:
+    """Adds ``position`` (1-based per sheet, by row_no) and ``sheet_rows``."""
+    placed = rows.withColumn("_slot", F.floor(F.col("row_no") / slot))
+    counts = placed.groupBy("sheet", "_slot").agg(F.count("*").alias("_n"))
+    sheet = Window.partitionBy("sheet")
+    before = F.sum("_n").over(sheet.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(F.col("sheet").alias("_sheet"), F.col("_slot").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(sheet).alias("sheet_rows"))
+    inside = F.row_number().over(Window.partitionBy("sheet", "_slot").orderBy("row_no"))
+    joined = placed.withColumn("_inside", inside).join(offsets, F.col("sheet").eqNullSafe(F.col("_sheet")) & F.col("_slot").eqNullSafe(F.col("_of")))
+    return joined.withColumn("position", (F.col("_before") + F.col("_inside")).cast("int")).drop("_slot", "_of", "_sheet", "_before", "_inside")
 
 
 def read_sheet(rows: DataFrame, columns: list[str], *, sheet: str = "sheet", row_no: str = "row_no",
-               max_rows: int = MAX_ROWS, sheets: list[str] | None = None) -> DataFrame:
-    """First ``max_rows`` rows of each sheet as strings: nulls "", all-empty rows dropped."""
+               max_rows: int | None = None, sheets: list[str] | None = None) -> DataFrame:
+    """Rows of each sheet (its first ``max_rows`` where that is given) as strings: nulls "", all-empty rows dropped."""
     chosen = rows.filter(F.col(sheet).isin(sheets)) if sheets else rows
     strings = chosen.select(
         F.col(sheet).alias("sheet"),
         F.col(row_no).alias("row_no"),
         *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns],
     )
-    at = F.row_number().over(Window.partitionBy("sheet").orderBy("row_no"))
-    capped = strings.withColumn("_at", at).filter(F.col("_at") <= max_rows).drop("_at")
-    return capped.filter(F.concat(*columns) != "")
+    if max_rows is not None:
+        strings = positions(strings).filter(F.col("position") <= max_rows).drop("position", "sheet_rows")
+    return strings.filter(F.concat(*columns) != "")
 
 
 def rows_to_paragraph(columns: list[str]) -> Column:
@@ -66,13 +80,10 @@ def word_table(cells: Column) -> Column:
 
 def row_groups(sheet_rows: DataFrame, n: int = ROWS_PER_CHUNK) -> DataFrame:
     """Adds position (1-based, per sheet), block, row_start and row_end of blocks of ``n`` rows."""
-    order = Window.partitionBy("sheet").orderBy("row_no")
-    whole = Window.partitionBy("sheet")
-    placed = sheet_rows.withColumn("position", F.row_number().over(order))
     block = F.floor((F.col("position") - 1) / n).cast("int")
-    return placed.withColumn("block", block).withColumn("row_start", block * n + 1).withColumn(
-        "row_end", F.least(block * n + n, F.count("*").over(whole).cast("int"))
-    )
+    return positions(sheet_rows).withColumn("block", block).withColumn("row_start", block * n + 1).withColumn(
+        "row_end", F.least(block * n + n, F.col("sheet_rows").cast("int"))
+    ).drop("sheet_rows")
 
 
 def sheet_chunk_header(source: Column) -> Column:

@@ -93,7 +93,8 @@ def _near(queries: np.ndarray, rows: np.ndarray, limit: np.ndarray, k: int, metr
     """(query number, row number, exact distance) of every pair that may rank among the k best."""
     query_sq, row_sq = (queries**2).sum(axis=1), (rows**2).sum(axis=1)
     rough = query_sq[:, None] + row_sq[None, :] - 2.0 * (queries @ rows.T)
-    rough = rough / 2.0 if metric == "cosine" else rough
+    if metric == "cosine":  # a zero vector is at distance 1 of everything
+        rough = np.where((query_sq[:, None] > 0) & (row_sq[None, :] > 0), rough / 2.0, 1.0)
     if len(rows) > k:
         limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1])
     slack = 1e-9 * (1.0 + query_sq + row_sq.max())

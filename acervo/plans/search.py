@@ -6,6 +6,7 @@ strategy may need.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
@@ -48,7 +49,7 @@ def run_strategy(queries: DataFrame, corpus: Corpus, strategy: str, k: int) -> D
     if strategy == "bm25":
         return bm25_search(queries, corpus.index, k, pattern=corpus.pattern).select(columns)
     if strategy == "hierarchical":
-        return hierarchical_search(queries, corpus.summaries, corpus.chunks)
+        return hierarchical_search(queries, corpus.summaries, corpus.chunks, k_chunks=k)
     if strategy == "parent_child":
         found = parent_child_search(queries, corpus.chunks, corpus.parents, k)
         return found.select("query_id", F.col("parent_id").alias("doc_id"), "rank")
@@ -56,7 +57,7 @@ def run_strategy(queries: DataFrame, corpus: Corpus, strategy: str, k: int) -> D
     if strategy == "hybrid":
         return hybrid
     if strategy == "full":
-        return first_occurrence([hybrid, hierarchical_search(queries, corpus.summaries, corpus.chunks)])
+        return first_occurrence([hybrid, hierarchical_search(queries, corpus.summaries, corpus.chunks, k_chunks=k)])
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
@@ -89,16 +90,16 @@ def search(
         return found.filter(F.col("rank") <= k)
     asked = queries.select("query_id", F.col("text").alias("query_text"))
     texts = corpus.chunks.select("doc_id", "text")
-    candidates = found.join(asked, "query_id").join(texts, "doc_id")
+    candidates = found.join(asked, "query_id").join(texts, "doc_id", "left")  # a hit without a chunk stays, with null text
     return candidate_budget(candidates, score, k=k).select("query_id", "doc_id", "rank", "strategy", "rerank_score")
 
 
 def enriched_search(queries: DataFrame, corpus: Corpus, strategy: str = "auto", *, window: int = 2, **options) -> DataFrame:
-    """Search, then each hit with its neighbouring chunks folded in."""
+    """Search, then each hit with its neighbouring chunks folded in; a hit without a chunk stays, with nulls."""
     hits = cut_lineage(search(queries, corpus, strategy, **options))  # k rows per query, read twice
-    placed = hits.join(corpus.chunks.select("doc_id", "source", "chunk_index", "text"), "doc_id")
+    placed = hits.join(corpus.chunks.select("doc_id", "source", "chunk_index", "text"), "doc_id", "left")
     wide = neighbour_window(placed.select("source", "chunk_index", "text"), corpus.chunks, window)
-    return placed.drop("text").join(wide, ["source", "chunk_index"])
+    return placed.drop("text").join(wide, ["source", "chunk_index"], "left")
 
 
 def multi_query_fusion(variants: DataFrame, corpus: Corpus, strategy: str = "hybrid", *, window: int | None = 2, **options) -> DataFrame:
@@ -115,12 +116,20 @@ def multi_query_fusion(variants: DataFrame, corpus: Corpus, strategy: str = "hyb
     return multi_query_union(hits)
 
 
-def evaluate_strategies(queries: DataFrame, corpus: Corpus, labels: DataFrame, strategies: list[str], k: int = TOP_K) -> DataFrame:
-    """One row of search quality per strategy."""
-    rows = [
-        evaluate_retrieval(queries, search(queries, corpus, name, k=k), labels).withColumn("strategy", F.lit(name))
-        for name in strategies
-    ]
+def evaluate_strategies(
+    queries: DataFrame, corpus: Corpus, labels: DataFrame | Callable[[DataFrame], DataFrame], strategies: list[str], k: int = TOP_K
+) -> DataFrame:
+    """One row of search quality per strategy.
+
+    ``labels`` is a table of relevant (query_id, doc_id), or a function that picks the
+    relevant ones out of some hits, where a rule says what is relevant and the table of
+    all such pairs would be large.
+    """
+    rows = []
+    for name in strategies:
+        hits = cut_lineage(search(queries, corpus, name, k=k))  # k rows per query, read twice
+        relevant = labels if isinstance(labels, DataFrame) else labels(hits)
+        rows.append(evaluate_retrieval(queries, hits, relevant).withColumn("strategy", F.lit(name)))
     return reduce(DataFrame.unionByName, rows)
 
 
@@ -128,12 +137,18 @@ def evaluate_strategies(queries: DataFrame, corpus: Corpus, labels: DataFrame, s
 
 def _result_rows(hits: DataFrame, corpus: Corpus, score: str) -> DataFrame:
     body = corpus.chunks.select("doc_id", preview("text", 500).alias("content"), "source", F.col("article_number").alias("article"), "page")
-    return hits.join(body, "doc_id").select("query_id", "rank", "content", "source", "article", "page", score)
+    return hits.join(body, "doc_id", "left").select("query_id", "rank", "content", "source", "article", "page", score)
+
+
+def _checked(top_k: int, most: int) -> int:
+    if not 1 <= top_k <= most:
+        raise ValueError(f"top_k must be from 1 to {most}, not {top_k}")
+    return top_k
 
 
 def semantic_search_tool(requests: DataFrame, corpus: Corpus, top_k: int = 5) -> DataFrame:
     """Vector search with previews and scores; an optional ``source_filter`` column narrows each request."""
-    k = max(1, min(top_k, SEMANTIC_TOP_K))
+    k = _checked(top_k, SEMANTIC_TOP_K)
     if "source_filter" not in requests.columns:
         return _result_rows(knn_scored(requests, corpus.chunks, k), corpus, "score")
     filtered = requests.withColumn("filters", F.create_map(F.lit("source"), F.coalesce("source_filter", F.lit(""))))
@@ -142,7 +157,7 @@ def semantic_search_tool(requests: DataFrame, corpus: Corpus, top_k: int = 5) ->
 
 
 def hybrid_search_tool(requests: DataFrame, corpus: Corpus, top_k: int = 8) -> DataFrame:
-    k = max(1, min(top_k, HYBRID_TOP_K))
+    k = _checked(top_k, HYBRID_TOP_K)
     hits = hybrid_search(requests, k, vectors=corpus.chunks, index=corpus.index, pattern=corpus.pattern)
     return _result_rows(hits.withColumnRenamed("score", "rrf_score"), corpus, "rrf_score")
 

@@ -1,4 +1,4 @@
-"""Tables on a shared file system or behind JDBC."""
+"""Tables on a shared file system."""
 
 from __future__ import annotations
 
@@ -10,19 +10,11 @@ from acervo.functions.metadata import chunk_id
 from acervo.session import scratch_path
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input that has fewer splits than cores; leave any larger input as it is scanned.
-
-    Such an input is below ``spark.sql.files.maxPartitionBytes`` per core, so moving it is cheap.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 # ── Collections of chunks ─────────────────────────────────────────────────────
 
 def with_chunk_id(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumn("id", chunk_id("source", "chunk_index", "text"))
+    """Adds ``id``; chunks that carry a ``doc_id`` are kept apart by it, as indexes restart in every document."""
+    return chunks.withColumn("id", chunk_id("source", "chunk_index", "text", "doc_id" if "doc_id" in chunks.columns else None))
 
 
 def latest_per_key(rows: DataFrame, key: str, arrival: Column) -> DataFrame:
@@ -41,7 +33,7 @@ def upsert(existing: DataFrame, incoming: DataFrame, *, key: str = "id", arrival
     if not dedup:
         return existing.unionByName(incoming, allowMissingColumns=True)
     fresh = latest_per_key(incoming, key, arrival if arrival is not None else F.lit(0))
-    kept = existing.join(fresh.select(key), key, "left_anti")
+    kept = existing.join(incoming.select(key), key, "left_anti")
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 
@@ -134,14 +126,3 @@ def append_table(df: DataFrame, root: str, table: str) -> None:
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[table] + (", day date" if table in DAILY else "")).parquet(f"{root}/{table}")
-
-
-def read_jdbc(spark: SparkSession, url: str, table: str, *, key: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
-    """Table of a database, read by ``parts`` tasks over a numeric key."""
-    return spark.read.format("jdbc").options(
-        url=url, dbtable=table, partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts, **options
-    ).load()
-
-
-def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", **options: str) -> None:
-    df.write.format("jdbc").options(url=url, dbtable=table, **options).mode(mode).save()

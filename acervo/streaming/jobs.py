@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from acervo.operators.logs import quality_aggregates
 from acervo.operators.sessions import CHARS_PER_TOKEN, KEEP_LAST, THRESHOLD_TOKENS
 from acervo.plans.ingest import prepare_chunks
+from acervo.session import cut_lineage
 from acervo.sources.tables import append_delta, latest_per_key, read_collection
 
 
@@ -36,11 +37,11 @@ def run_available(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame,
 # ── New documents ─────────────────────────────────────────────────────────────
 
 def ingest_stream(documents: DataFrame, collection: str, checkpoint: str, *, arrived: str = "arrived_at",
-                  days: int = 7) -> StreamingQuery:
+                  days: int | None = None) -> StreamingQuery:
     """Documents (doc_id, source, text, arrived_at) → chunks in the collection at ``collection``.
 
-    A copy (same content hash, and session_id where there is one) of a document
-    that arrived within ``days`` is dropped.  Copies inside a micro-batch combine
+    A copy (same content hash, and session_id where there is one) of any document seen
+    before is dropped; with ``days``, of one that arrived within so many days.  Copies inside a micro-batch combine
     on the map side, and earlier ones are found by an anti-join with the stored
     hashes, so a much-copied document does not pile up in one task or state
     partition.  Each micro-batch adds its own delta, so the cost follows the new
@@ -55,10 +56,11 @@ def ingest_stream(documents: DataFrame, collection: str, checkpoint: str, *, arr
         body = [c for c in hashed.columns if c not in keys]
         once = hashed.groupBy(*keys).agg(F.min_by(F.struct(*body), F.struct(arrived, "doc_id")).alias("_doc")).select(*keys, "_doc.*")
         if batch_id > 0:
-            earliest = batch.agg(F.min(arrived) - F.make_dt_interval(F.lit(days))).scalar()
-            known = batch.sparkSession.read.option("basePath", seen).parquet(f"{seen}/batch=*")
-            recent = known.filter((F.col("batch") < batch_id) & (F.col(arrived) >= earliest))
-            once = once.join(recent.select(*keys), keys, "left_anti")
+            known = batch.sparkSession.read.option("basePath", seen).parquet(f"{seen}/batch=*").filter(F.col("batch") < batch_id)
+            if days is not None:
+                known = known.filter(F.col(arrived) >= batch.agg(F.min(arrived) - F.make_dt_interval(F.lit(days))).scalar())
+            once = once.join(known.select(*keys), keys, "left_anti")
+        once = cut_lineage(once)  # read for the chunks and for the hashes
         append_delta(latest_per_key(prepare_chunks(once), "id", F.struct(arrived, "doc_id")), chunks, batch_id)
         append_delta(once.select(*keys, arrived), seen, batch_id)
 

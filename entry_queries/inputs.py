@@ -11,16 +11,13 @@ from pyspark.sql import functions as F
 from acervo.functions.metadata import query_hash
 from acervo.functions.tokens import PLAIN_TOKEN_PATTERN, STOPWORDS
 from acervo.session import prepare
-from acervo.sources.tables import spread
 
 REF_TS = "2024-01-31"
 P = PLAIN_TOKEN_PATTERN
-WIDE = {"documents", "pages", "conversations", "lineitem", "events", "orders"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in WIDE else df
+    return prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def now() -> Column:

@@ -23,7 +23,7 @@ from acervo.plans.search import (
     Corpus, article_lookup_tool, enriched_search, evaluate_strategies, hybrid_search_tool, multi_query_fusion, search,
     semantic_search_tool,
 )
-from acervo.session import scratch_path
+from acervo.session import cut_lineage, scratch_path
 from entry_queries.inputs import (
     BM25_CTE, CHUNK_CTE, LINES_CTE, P, VECTOR_CTE, bm25_ranked_cte, both_queries, documents, knn_cte, legal_chunks,
     line_chunks, sql_l2sq, summary_vectors, table, text_queries, vector_chunks, vector_queries, vectors, LEGAL_CTE,
@@ -228,11 +228,13 @@ def first_copies(spark, sf):
     return first_wins(docs, ["text_hash"], [F.col("source"), F.col("doc_id")]).select("text_hash", "doc_id", "source")
 
 
-_HIER = f"""
-{knn_cte('plain', 'vq', 'vc', 8)},
+def hier_cte(k: int = 8) -> str:
+    """SQL of hierarchical_search with ``k`` chunks: relation ``hier``."""
+    return f"""
+{knn_cte('plain', 'vq', 'vc', k)},
 {knn_cte('found', 'vq', 'vs', 4)},
 leads AS (SELECT f.query_id, f.rank AS lead, s.article_number, s.page, q.embedding,
-                 greatest(1, 8 // count(*) OVER (PARTITION BY f.query_id)) AS share
+                 greatest(1, {k} // count(*) OVER (PARTITION BY f.query_id)) AS share
           FROM found f JOIN vs s USING (doc_id) JOIN vq q USING (query_id)),
 cand AS (
   SELECT l.query_id, l.lead, l.share, d.doc_id, 1 AS tier, {sql_l2sq('l.embedding', 'd.embedding')} AS distance
@@ -247,17 +249,15 @@ tiered AS (SELECT *, min(tier) OVER (PARTITION BY query_id, lead) AS best,
 chosen AS (SELECT query_id, doc_id, lead, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY lead, rank) AS r
     FROM tiered WHERE tier = best AND rank <= share) WHERE r = 1),
-have AS (SELECT query_id, count(*) AS h FROM chosen GROUP BY 1),
-extra AS (SELECT p.query_id, p.doc_id, 5 AS lead, p.rank FROM plain p LEFT JOIN have USING (query_id)
-          WHERE p.rank <= 8 - coalesce(h, 0)
-            AND NOT EXISTS (SELECT 1 FROM chosen c WHERE c.query_id = p.query_id AND c.doc_id = p.doc_id)),
+extra AS (SELECT p.query_id, p.doc_id, 5 AS lead, p.rank FROM plain p
+          WHERE NOT EXISTS (SELECT 1 FROM chosen c WHERE c.query_id = p.query_id AND c.doc_id = p.doc_id)),
 hier AS (SELECT query_id, doc_id, rank FROM (
     SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY lead, rank, doc_id) AS rank
-    FROM (SELECT * FROM chosen UNION ALL SELECT * FROM extra)) WHERE rank <= 8)
+    FROM (SELECT * FROM chosen UNION ALL SELECT * FROM extra)) WHERE rank <= {k})
 """
 
 
-@query("hierarchical_search", f"WITH {VECTOR_CTE}, {CHUNK_CTE}, {_HIER} SELECT query_id, doc_id, rank FROM hier")
+@query("hierarchical_search", f"WITH {VECTOR_CTE}, {CHUNK_CTE}, {hier_cte()} SELECT query_id, doc_id, rank FROM hier")
 def hierarchical(spark, sf):
     """J9 for every vector as a query."""
     return hierarchical_search(vector_queries(spark, sf), summary_vectors(spark, sf), vector_chunks(spark, sf))
@@ -266,7 +266,7 @@ def hierarchical(spark, sf):
 @query(
     "full_search",
     f"""WITH {BM25_CTE}, {bm25_ranked_cte('b', 30)}, vq AS (SELECT item_id AS query_id, b.text, e.embedding FROM benchmark b JOIN embeddings e ON item_id = vec_id),
-      vd AS (SELECT vec_id AS doc_id, embedding FROM embeddings), {CHUNK_CTE}, {knn_cte('v', 'vq', 'vd', 30)}, {_RRF.format(k=10)}, {_HIER},
+      vd AS (SELECT vec_id AS doc_id, embedding FROM embeddings), {CHUNK_CTE}, {knn_cte('v', 'vq', 'vd', 30)}, {_RRF.format(k=10)}, {hier_cte()},
       both_lists AS (SELECT query_id, doc_id, rank, 0 AS l FROM hybrid UNION ALL SELECT query_id, doc_id, rank, 1 FROM hier),
       once AS (SELECT query_id, doc_id, min(l * 1000 + rank) AS seen FROM both_lists GROUP BY ALL)
       SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY seen) AS rank FROM once""",
@@ -489,8 +489,9 @@ def retrieval_quality(spark, sf):
     """A6."""
     asked = vector_queries(spark, sf)
     good = table(spark, sf, "labels").filter("quality = 1").select((F.col("doc_id") % 10).cast("int").alias("label"), "doc_id")
-    relevant = asked.select("query_id", "label").join(good, "label").select("query_id", "doc_id")
-    return evaluate_retrieval(asked, knn(asked, vectors(spark, sf), 10), relevant)
+    hits = cut_lineage(knn(asked, vectors(spark, sf), 10))
+    named = hits.select("query_id", "doc_id").join(asked.select("query_id", "label"), "query_id")
+    return evaluate_retrieval(asked, hits, named.join(good, ["label", "doc_id"], "left_semi").select("query_id", "doc_id"))
 
 
 def _corpus(spark, sf) -> Corpus:
@@ -513,8 +514,11 @@ def _corpus(spark, sf) -> Corpus:
 def strategies(spark, sf):
     """Three strategies side by side."""
     asked = both_queries(spark, sf)
-    good = table(spark, sf, "labels").filter("quality = 1").select((F.col("doc_id") % 3).alias("_m"), "doc_id")
-    relevant = asked.select("query_id", (F.col("query_id") % 3).alias("_m")).join(good, "_m").select("query_id", "doc_id")
+    good = table(spark, sf, "labels").filter("quality = 1").select("doc_id")
+
+    def relevant(hits):
+        return hits.filter(F.col("doc_id") % 3 == F.col("query_id") % 3).select("query_id", "doc_id").join(good, "doc_id", "left_semi")
+
     return evaluate_strategies(asked, _corpus(spark, sf), relevant, ["vector", "bm25", "hybrid"])
 
 
@@ -523,7 +527,7 @@ def strategies(spark, sf):
 @query(
     "search_auto",
     f"""WITH {BM25_CTE}, {bm25_ranked_cte('b', 30)}, vq AS (SELECT item_id AS query_id, b.text, e.embedding FROM benchmark b JOIN embeddings e ON item_id = vec_id),
-      {CHUNK_CTE}, {knn_cte('v', 'vq', 'vc', 30)}, {_RRF.format(k=10)}, {_HIER},
+      {CHUNK_CTE}, {knn_cte('v', 'vq', 'vc', 30)}, {_RRF.format(k=10)}, {hier_cte(10)},
       words AS (SELECT query_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n, regexp_matches(text, '\\d+\\.\\d+') AS dotted FROM vq),
       routes AS (SELECT query_id, CASE WHEN NOT dotted AND n >= 20 THEN 'full' ELSE 'hybrid' END AS strategy FROM words),
       both_lists AS (SELECT query_id, doc_id, rank, 0 AS l FROM hybrid UNION ALL
@@ -575,7 +579,7 @@ def semantic_tool(spark, sf):
     "hybrid_search_tool",
     f"""WITH {BM25_CTE}, {bm25_ranked_cte('b', 24)}, {VECTOR_CTE}, {CHUNK_CTE}, {knn_cte('v', 'bq', 'vc', 24)}, {_RRF.format(k=8)}
       SELECT query_id, rank, substring(text, 1, 500) AS content, source, article_number AS article, page, score AS rrf_score
-      FROM hybrid JOIN vc USING (doc_id)""",
+      FROM hybrid LEFT JOIN vc USING (doc_id)""",
 )
 def hybrid_tool(spark, sf):
     """X9."""

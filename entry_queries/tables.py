@@ -29,11 +29,18 @@ _NOW = f"TIMESTAMP '{REF_TS}'"
 
 # ── Files ─────────────────────────────────────────────────────────────────────
 
-@query("read_files")
+@query(
+    "read_files",
+    """SELECT source, sum(length(text) + 1)::BIGINT AS characters, true AS success, 0::BIGINT AS errors
+       FROM documents GROUP BY source""",
+)
 def read_files(spark, sf):
-    """The given table files themselves, typed and read; parquet files become error rows."""
-    rows = files.read_files(spark, sf, "*.parquet")
-    return rows.select(F.substring_index("path", "/", -1).alias("name"), "success", F.col("mime.mime").alias("mime"), F.size("errors").alias("errors"))
+    """The documents written as text files below a folder per source, then read as files with their texts."""
+    path = scratch_path(spark, "texts")
+    documents(spark, sf).select("source", "text").write.partitionBy("source").text(path)
+    rows = files.read_files(spark, path, "*.txt").withColumn("source", F.regexp_extract("path", "source=([^/]*)/", 1))
+    return rows.groupBy("source").agg(
+        F.sum(F.length("text")).alias("characters"), F.bool_and("success").alias("success"), F.sum(F.size("errors")).alias("errors"))
 
 
 _MAGIC = {
@@ -200,7 +207,7 @@ def word_tables(spark, sf):
 @query(
     "stitch_pages",
     f"""WITH {PAGES_CTE} SELECT doc_id, md5(string_agg('[Página ' || page_no || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY page_no)) AS text, count(*)::INTEGER AS pages_processed
-        FROM page_rows WHERE page_no <= 400 AND trim(text, ' ' || chr(10)) <> '' GROUP BY doc_id""",
+        FROM page_rows WHERE trim(text, ' ' || chr(10)) <> '' GROUP BY doc_id""",
 )
 def stitched(spark, sf):
     """S6."""
@@ -208,7 +215,7 @@ def stitched(spark, sf):
 
 
 _QUALITY_CTE = f"""
-{PAGES_CTE}, q AS (SELECT doc_id, count(*) AS n, avg(length(trim(title))) AS a, count(*) FILTER (length(trim(title)) >= 50) AS t, bool_or(has_fonts) AS f FROM page_rows GROUP BY 1),
+{PAGES_CTE}, q AS (SELECT doc_id, count(*) AS n, avg(length(trim(text, ' ' || chr(10) || chr(9) || chr(13)))) AS a, count(*) FILTER (length(trim(text, ' ' || chr(10) || chr(9) || chr(13))) >= 50) AS t, bool_or(has_fonts) AS f FROM page_rows GROUP BY 1),
 c AS (SELECT *, CASE WHEN a >= 50 THEN 0.5 + 0.3 * least(a / 150, 1.0) + 0.2 * (t / n) ELSE 0.5 + 0.3 * (1.0 - least(a / 50, 1.0)) + 0.2 * (1.0 - t / n) END AS b FROM q),
 quality AS (SELECT doc_id, a >= 50 AS is_native, round(a, 2) AS avg_chars_per_page, n AS total_pages, t AS pages_with_text, n - t AS pages_without_text,
    round(CASE WHEN f AND a >= 50 THEN least(b + 0.15, 1.0) WHEN NOT f AND a < 50 THEN least(b + 0.1, 1.0) ELSE b END, 3) AS confidence FROM c)
@@ -216,7 +223,7 @@ quality AS (SELECT doc_id, a >= 50 AS is_native, round(a, 2) AS avg_chars_per_pa
 
 
 def _quality(spark, sf):
-    return pages.text_quality(page_rows(spark, sf).withColumn("text", F.col("title")))
+    return pages.text_quality(page_rows(spark, sf))
 
 
 @query(
@@ -224,7 +231,7 @@ def _quality(spark, sf):
     f"""WITH {_QUALITY_CTE} SELECT *, CASE WHEN is_native THEN 'native' ELSE 'scanned' END || CASE WHEN confidence >= 0.8 THEN '_high_confidence' ELSE '_low_confidence' END AS quality_label FROM quality""",
 )
 def quality(spark, sf):
-    """A8, on page titles."""
+    """A8, on the texts of the pages."""
     return _quality(spark, sf).select(
         "doc_id", "is_native", "avg_chars_per_page", "total_pages", "pages_with_text", "pages_without_text", "confidence", "quality_label")
 

@@ -213,7 +213,7 @@ def _identified(spark, sf):
     "chunk_id",
     f"""WITH d AS (SELECT doc_id, {_SRC} AS source, text FROM documents)
       SELECT doc_id, substring(translate(CASE WHEN source <> '' THEN source || '::' || doc_id ELSE md5(text) END, ' /\\', '___'), 1, 512) AS chunk_id,
-             CASE WHEN source <> '' THEN source || '::' || doc_id ELSE md5(substring(text, 1, 200)) END AS result_id FROM d""",
+             CASE WHEN source <> '' THEN source || '::' || doc_id ELSE md5(text) END AS result_id FROM d""",
 )
 def chunk_ids(spark, sf):
     """P14."""
@@ -225,7 +225,7 @@ def chunk_ids(spark, sf):
 @query(
     "parent_id",
     f"""WITH d AS (SELECT doc_id, {_SRC} AS source, CASE WHEN doc_id % 5 = 0 THEN doc_id END AS given, text,
-          sha1(unhex('{metadata.URL_NAMESPACE_HEX}') || encode(substring(text, 1, 200))) AS h FROM documents)
+          sha1(unhex('{metadata.URL_NAMESPACE_HEX}') || encode(text)) AS h FROM documents)
       SELECT doc_id, CASE WHEN given IS NOT NULL THEN given::VARCHAR WHEN source <> '' THEN source || '::chunk_' || doc_id ELSE
         substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-5' || substring(h, 14, 3) || '-' ||
         translate(substring(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substring(h, 18, 3) || '-' || substring(h, 21, 12) END AS parent_id FROM d""",
@@ -573,11 +573,11 @@ def overlap(spark, sf):
 
 # ── Replies of a model ────────────────────────────────────────────────────────
 
-_Q = "regexp_replace(substring(text, 1, 40), '[^a-zA-Z ]', '', 'g')"
+_Q = "regexp_replace(text, '[^a-zA-Z ]', '', 'g')"
 
 
-def _plain40():
-    return F.regexp_replace(F.substring("text", 1, 40), "[^a-zA-Z ]", "")
+def _letters():
+    return F.regexp_replace("text", "[^a-zA-Z ]", "")
 
 
 @query(
@@ -589,9 +589,9 @@ def _plain40():
 def batch_json(spark, sf):
     """Replies with text around the JSON, blank questions, and every fifth broken."""
     good = F.concat(
-        F.lit('Claro: {"results": [{"chunk_id": 0, "questions": ["'), _plain40(),
+        F.lit('Claro: {"results": [{"chunk_id": 0, "questions": ["'), _letters(),
         F.lit(' ", "  ", "b"]}, {"chunk_id": 1, "questions": ["c"]}]} fin'))
-    reply = F.when(F.col("doc_id") % 5 == 4, F.concat(F.lit('{"results": [ '), _plain40())).otherwise(good)
+    reply = F.when(F.col("doc_id") % 5 == 4, F.concat(F.lit('{"results": [ '), _letters())).otherwise(good)
     rows = documents(spark, sf).select("doc_id", F.explode(replies.parse_batch_json(reply)).alias("chunk_id", "questions"))
     return rows.select("doc_id", "chunk_id", F.explode("questions").alias("question"))
 
@@ -602,7 +602,7 @@ def batch_json(spark, sf):
 )
 def fenced_json(spark, sf):
     """P34."""
-    good = F.concat(F.lit('```json\n{"sub_queries": ["'), _plain40(), F.lit('", "b"], "strategy": "full"}\n```'))
+    good = F.concat(F.lit('```json\n{"sub_queries": ["'), _letters(), F.lit('", "b"], "strategy": "full"}\n```'))
     reply = F.when(F.col("doc_id") % 5 == 4, "```json {no```").otherwise(good)
     rows = documents(spark, sf).select("doc_id", replies.parse_fenced_json(reply).alias("p"))
     joined = F.when(F.col("p.sub_queries").isNotNull(), F.array_join("p.sub_queries", "|"))

@@ -45,9 +45,14 @@ def test_header(value, legal_text):
 def test_ids(value):
     assert value(metadata.chunk_id(F.lit("a b/c.pdf"), F.lit(3), "t"), t="x") == "a_b_c.pdf::3"
     assert value(metadata.chunk_id(F.lit(""), F.lit(3), "t"), t="x") == hashlib.md5(b"x").hexdigest()
+    assert value(metadata.chunk_id(F.lit("a.pdf"), F.lit(3), "t", F.lit(9)), t="x") == "a.pdf::9::3"
+    long = [value(metadata.chunk_id(F.lit("s" * 600 + end), F.lit(3), "t"), t="x") for end in "ab"]
+    assert len(set(long)) == 2 and all(len(i) == 512 for i in long)
     text = "ñandú " * 60
     none = F.lit(None).cast("string")
     made = value(metadata.parent_id(none, none, F.lit(""), F.lit(1), "t"), t=text)
+    assert made == str(uuid.uuid5(uuid.NAMESPACE_URL, text))
+    made = value(metadata.parent_id(none, none, F.lit(""), F.lit(1), "t", prefix=200), t=text)
     assert made == str(uuid.uuid5(uuid.NAMESPACE_URL, text[:200]))
     assert value(metadata.parent_id(none, none, F.lit("s"), F.lit(1), "t"), t=text) == "s::chunk_1"
     assert value(metadata.parent_id(F.lit("p"), none, F.lit("s"), F.lit(1), "t"), t=text) == "p"

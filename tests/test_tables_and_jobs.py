@@ -137,12 +137,12 @@ def test_stream_memory_equals_batch_over_several_batches(spark, tmp_path):
 def test_ingest_stream_drops_copies_and_merges(spark, tmp_path):
     source, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "coll"), str(tmp_path / "cp")
     schema = "doc_id bigint, source string, text string, arrived_at timestamp"
-    for rows in ([(1, "a", "Texto uno", DAY), (2, "b", "Texto dos", DAY)], [(3, "c", "Texto uno", DAY), (4, "a", "Texto nuevo", DAY)]):
+    for rows in ([(1, "a", "Texto uno", DAY), (2, "b", "Texto dos", DAY)], [(3, "c", "Texto uno", DAY), (1, "a", "Texto nuevo", DAY)]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
     for _ in range(2):  # a second run finds nothing new
         jobs.ingest_stream(jobs.file_stream(spark, schema, source, per_trigger=1), out, checkpoint).awaitTermination()
     found = {r["id"]: r["text"] for r in jobs.ingested_chunks(spark, out).collect()}
-    assert found == {"a::0": "Texto nuevo", "b::0": "Texto dos"}
+    assert found == {"a::1::0": "Texto nuevo", "b::2::0": "Texto dos"}
 
 
 def test_ingest_reports_each_document(spark):
@@ -159,7 +159,8 @@ def test_ingest_files(spark, tmp_path):
     (tmp_path / "b.pdf").write_bytes(b"%PDF-1.7")
     (tmp_path / "c.bin").write_bytes(b"\x00")
     snapshot, results = ingest.ingest_files(spark, str(tmp_path))
-    assert [r["id"] for r in snapshot.collect()] == ["a.md::0"]
+    ids = [r["id"] for r in snapshot.collect()]  # source, document (its path), index
+    assert len(ids) == 1 and ids[0].startswith("a.md::") and ids[0].endswith("a.md::0")
     rows = {r["path"].rsplit("/", 1)[-1]: (r["success"], len(r["errors"])) for r in results.collect()}
     assert rows == {"a.md": (True, 0), "b.pdf": (False, 1), "c.bin": (False, 1)}
 

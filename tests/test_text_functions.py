@@ -166,7 +166,8 @@ def test_ocr_lines(spark):
 def test_pages_and_quality(spark):
     rows = [(1, 2, "dos", False), (1, 1, "uno", False), (1, 3, " \n", False), (1, 401, "fuera", False), (2, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id int, page_no int, text string, has_fonts boolean")
-    stitched = pages.stitch_pages(df).first()
+    assert pages.stitch_pages(df).first()["pages_processed"] == 3
+    stitched = pages.stitch_pages(df, max_pages=400).first()
     assert stitched["text"] == "[Página 1]\nuno\n\n[Página 2]\ndos" and stitched["pages_processed"] == 2
     quality = {r["doc_id"]: r for r in pages.text_quality(df).collect()}
     assert quality[2]["total_pages"] == 0 and quality[2]["avg_chars_per_page"] == 0.0 and quality[2]["is_scanned"]
