@@ -64,18 +64,23 @@ def hybrid_search(
     weights: tuple[float, float] = (1.0, 1.0),
     pattern: str = TOKEN_PATTERN,
     where: Column | None = None,
+    filters: str | None = None,
+    filter_columns: tuple[str, ...] = (),
     **vector_options,
 ) -> DataFrame:
     """Vector and keyword lists of 3k rows each, fused.  A missing side is an empty list.
 
     ``queries`` has (query_id, text, embedding); ``vectors`` has (doc_id, embedding).
+    ``filters`` names a map column with each query's own conditions on ``filter_columns``
+    of the vectors and of the index.
     """
+    own = {"filters": filters, "filter_columns": filter_columns}
     lists, used = [], []
     if vectors is not None:
-        lists.append(knn(queries, vectors, k * FETCH, **vector_options))
+        lists.append(knn(queries, vectors, k * FETCH, **own, **vector_options))
         used.append(weights[0])
     if index is not None:
-        lists.append(bm25_search(queries, index, k * FETCH, pattern=pattern, where=where))
+        lists.append(bm25_search(queries, index, k * FETCH, pattern=pattern, where=where, **own))
         used.append(weights[1])
     if not lists:
         raise ValueError("hybrid_search needs vectors, an index, or both")

@@ -20,6 +20,8 @@ def hierarchical_search(
     k_summaries: int = K_SUMMARIES,
     k_chunks: int = K_CHUNKS,
     metric: str = "l2sq",
+    filters: str | None = None,
+    filter_columns: tuple[str, ...] = (),
 ) -> DataFrame:
     """(query_id, doc_id, rank) over ``details``.
 
@@ -27,9 +29,10 @@ def hierarchical_search(
     (doc_id, embedding, article_number, page).  Each of the nearest summaries
     gives ⌊k_chunks / n⌋ chunks: of its article, else of its page, else of any.
     Shortfalls are filled from the plain list; without summaries that list is
-    the answer.
+    the answer.  ``filters`` names a map column with each query's own conditions on
+    ``filter_columns`` of ``details``; summaries are chosen without them.
     """
-    plain = knn(queries, details, k_chunks, metric=metric).select("query_id", "doc_id", "rank")
+    plain = knn(queries, details, k_chunks, metric=metric, filters=filters, filter_columns=filter_columns).select("query_id", "doc_id", "rank")
     if summaries is None:
         return plain
     # The lists below are at most a few rows per query and each is read several times:
@@ -42,18 +45,24 @@ def hierarchical_search(
         found.join(keys, "summary_id")
         .withColumn("share", share)
         .withColumnRenamed("rank", "lead")
-        .join(queries.select("query_id", "embedding"), "query_id")
+        .join(queries.select("query_id", "embedding", (F.col(filters) if filters else F.create_map()).cast("map<string,string>").alias("_filters")), "query_id")
     )
     # Two questions per lead, asked in one scan: rows of its article, rows of its page.
     tiers = F.explode(F.array(*[
         F.struct(F.lit(n).alias("tier"), F.lit(name).alias("column"), F.coalesce(F.col(name).cast("string"), F.lit("")).alias("wanted"))
         for n, name in ((1, "article_number"), (2, "page"))
     ]))
-    asked = leads.select("query_id", "lead", "share", "embedding", tiers.alias("t")).filter("t.wanted <> ''").select(
+    asked = leads.select("query_id", "lead", "share", "embedding", "_filters", tiers.alias("t")).filter("t.wanted <> ''").select(
         F.concat_ws("|", "query_id", "lead", "t.tier").alias("key"), "query_id", "lead", "share", "embedding",
-        F.col("t.tier").alias("tier"), F.create_map("t.column", "t.wanted").alias("filters"),
-    )
-    own = knn(asked, details, k_chunks, query_id="key", filters="filters", filter_columns=("article_number", "page"), metric=metric)
+        F.col("t.tier").alias("tier"),
+        # a query's own condition on the tier's column and the tier's must both hold: where they differ nothing fits
+        F.map_concat(F.map_filter(F.coalesce("_filters", F.create_map().cast("map<string,string>")), lambda c, v: c != F.col("t.column")),
+                     F.create_map("t.column", "t.wanted")).alias("filters"),
+        (F.coalesce(F.try_element_at("_filters", F.col("t.column")), F.lit("")) == "").alias("_free"),
+        (F.try_element_at("_filters", F.col("t.column")) == F.col("t.wanted")).alias("_same"),
+    ).filter(F.col("_free") | F.coalesce("_same", F.lit(False))).drop("_free", "_same")
+    columns = tuple(dict.fromkeys(("article_number", "page", *filter_columns)))
+    own = knn(asked, details, k_chunks, query_id="key", filters="filters", filter_columns=columns, metric=metric)
     names = asked.select("key", "query_id", "lead", "share", "tier")
     columns = ["query_id", "lead", "share", "tier", "doc_id", "rank"]
     anywhere = leads.select("query_id", "lead", "share").join(plain, "query_id").withColumn("tier", F.lit(3))

@@ -95,9 +95,19 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "tex
     )
 
 
-def bm25_scores(terms: DataFrame, index: LexicalIndex, where: Column | None = None, *, small: bool = True, many: bool = False) -> DataFrame:
+def wanted_values(queries: DataFrame, query_id: str, filters: str, columns: tuple[str, ...]) -> DataFrame:
+    """(query_id, _wanted_<column>…): what each query asks of the columns; "" where it asks nothing."""
+    return queries.select(F.col(query_id).alias("query_id"), *[
+        F.coalesce(F.try_element_at(F.col(filters), F.lit(c)), F.lit("")).alias(f"_wanted_{c}") for c in columns
+    ])
+
+
+def bm25_scores(terms: DataFrame, index: LexicalIndex, where: Column | None = None, *, small: bool = True, many: bool = False,
+                wanted: DataFrame | None = None, filter_columns: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, doc_id, score > 0) for query terms (query_id, term, qtf).
 
+    ``wanted`` (see ``wanted_values``) holds conditions of single queries on ``filter_columns`` of the index.
+
     ``small`` says that the terms are known to be at most ``BROADCAST_ROWS`` rows.
     With few queries the (query, document) sums combine in the scan's own tasks.
     With ``many`` those pairs would outgrow the index, so the postings of the
@@ -107,6 +117,12 @@ def bm25_scores(terms: DataFrame, index: LexicalIndex, where: Column | None = No
     avgdl = average_length(index)
     postings = index.postings if where is None else index.postings.filter(where)
     weighted = terms.join(term_stats(index), "term")
+    fits = F.lit(True)
+    if wanted is not None:
+        weighted = weighted.join(wanted, "query_id")
+        for c in filter_columns:
+            asked_value = F.col(f"_wanted_{c}")
+            fits = fits & ((asked_value == "") | (F.coalesce(F.col(c).cast("string"), F.lit("")) == asked_value))
     if small:  # else both sides shuffle on term, and AQE splits hot terms
         weighted = F.broadcast(weighted)
         if many:
@@ -115,6 +131,7 @@ def bm25_scores(terms: DataFrame, index: LexicalIndex, where: Column | None = No
     saturation = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
     return (
         postings.join(weighted, "term")
+        .filter(fits)
         .groupBy("query_id", "doc_id")
         .agg(F.sum(F.col("qtf") * F.col("idf") * saturation).alias("_score"))
         .filter(F.col("_score") > 0)
@@ -130,16 +147,21 @@ def bm25_search(
     text: str = "text",
     pattern: str = TOKEN_PATTERN,
     where: Column | None = None,
+    filters: str | None = None,
+    filter_columns: tuple[str, ...] = (),
 ) -> DataFrame:
     """(query_id, doc_id, score, rank): best ``k`` of every query, score to 4 places.
 
-    ``where`` is a condition on the index's kept columns; it is applied before
-    ranking, so filtered lists still fill up to ``k``.
+    ``where`` is a condition on the index's kept columns, the same for all queries;
+    ``filters`` names a map<string,string> column of the queries, each one's own equality
+    conditions on ``filter_columns``.  Both are applied before ranking, so filtered lists
+    still fill up to ``k``.
     """
     terms = query_terms(queries, query_id, text, pattern)
     rows, asked = terms.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.count_distinct("query_id")).first()
     small = rows <= BROADCAST_ROWS
-    scored = bm25_scores(terms, index, where, small=small, many=asked > MANY_QUERIES)
+    wanted = wanted_values(queries, query_id, filters, filter_columns) if filters else None
+    scored = bm25_scores(terms, index, where, small=small, many=asked > MANY_QUERIES, wanted=wanted, filter_columns=filter_columns)
     best = top_k(
         scored.withColumn("_score", F.round("_score", PLACES)),
         ["query_id"], [F.col("_score").desc(), F.col("doc_id")], k,

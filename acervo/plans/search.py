@@ -41,23 +41,32 @@ class Corpus(NamedTuple):
     pattern: str = TOKEN_PATTERN
 
 
-def run_strategy(queries: DataFrame, corpus: Corpus, strategy: str, k: int) -> DataFrame:
-    """(query_id, doc_id, rank) of one strategy."""
+def run_strategy(
+    queries: DataFrame, corpus: Corpus, strategy: str, k: int, *, filters: str | None = None, filter_columns: tuple[str, ...] = ()
+) -> DataFrame:
+    """(query_id, doc_id, rank) of one strategy.
+
+    ``filters`` names a map column with each query's own conditions on ``filter_columns``,
+    which the chunks and the index must carry.
+    """
+    own = {"filters": filters, "filter_columns": filter_columns}
     columns = ["query_id", "doc_id", "rank"]
     if strategy == "vector":
-        return knn(queries, corpus.chunks, k).select(columns)
+        return knn(queries, corpus.chunks, k, **own).select(columns)
     if strategy == "bm25":
-        return bm25_search(queries, corpus.index, k, pattern=corpus.pattern).select(columns)
+        return bm25_search(queries, corpus.index, k, pattern=corpus.pattern, **own).select(columns)
     if strategy == "hierarchical":
-        return hierarchical_search(queries, corpus.summaries, corpus.chunks, k_chunks=k)
+        return hierarchical_search(queries, corpus.summaries, corpus.chunks, k_chunks=k, **own)
     if strategy == "parent_child":
+        if filters:
+            raise ValueError("parent_child takes no filters")
         found = parent_child_search(queries, corpus.chunks, corpus.parents, k)
         return found.select("query_id", F.col("parent_id").alias("doc_id"), "rank")
-    hybrid = hybrid_search(queries, k, vectors=corpus.chunks, index=corpus.index, pattern=corpus.pattern).select(columns)
+    hybrid = hybrid_search(queries, k, vectors=corpus.chunks, index=corpus.index, pattern=corpus.pattern, **own).select(columns)
     if strategy == "hybrid":
         return hybrid
     if strategy == "full":
-        return first_occurrence([hybrid, hierarchical_search(queries, corpus.summaries, corpus.chunks, k_chunks=k)])
+        return first_occurrence([hybrid, hierarchical_search(queries, corpus.summaries, corpus.chunks, k_chunks=k, **own)])
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
@@ -69,8 +78,10 @@ def search(
     k: int = TOP_K,
     reranking: bool = False,
     score: Column | None = None,
+    filters: str | None = None,
+    filter_columns: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(query_id, doc_id, rank, strategy): at most ``k`` hits per query.
+    """(query_id, doc_id, rank, strategy): at most ``k`` hits per query, within its ``filters``.
 
     ``auto`` routes each query by its text and runs each route on its own
     queries.  With reranking, 2k candidates are fetched and queries with more
@@ -84,7 +95,7 @@ def search(
         parts = [(strategy, queries)]
     found = reduce(
         DataFrame.unionByName,
-        [run_strategy(part, corpus, name, fetch).withColumn("strategy", F.lit(name)) for name, part in parts],
+        [run_strategy(part, corpus, name, fetch, filters=filters, filter_columns=filter_columns).withColumn("strategy", F.lit(name)) for name, part in parts],
     )
     if not reranking:
         return found.filter(F.col("rank") <= k)

@@ -54,6 +54,19 @@ def bm25_filtered(spark, sf):
     return bm25_search(text_queries(spark, sf), index, 5, pattern=P, where=stringly_filter({"lang": "es"}))
 
 
+@query(
+    "bm25_filtered_per_query",
+    f"""WITH {BM25_CTE}, {bm25_ranked_cte('b', 5, where="(['', 'en', 'es', 'fr'][query_id % 4 + 1] = '' OR lang = ['', 'en', 'es', 'fr'][query_id % 4 + 1])")}
+    SELECT query_id, doc_id, score, rank FROM b""",
+)
+def bm25_own_filters(spark, sf):
+    """every query with its own condition, every fourth without one."""
+    index = build_index(documents(spark, sf), pattern=P, keep=("lang",))
+    lang = F.element_at(F.array(*map(F.lit, ("", "en", "es", "fr"))), (F.col("query_id") % 4 + 1).cast("int"))
+    asked = text_queries(spark, sf).withColumn("filters", F.create_map(F.lit("lang"), lang))
+    return bm25_search(asked, index, 5, pattern=P, filters="filters", filter_columns=("lang",))
+
+
 @query("bm25_term_stats", f"WITH {BM25_CTE} SELECT term, df, ctf, round(idf, 6) AS idf FROM idf")
 def bm25_terms(spark, sf):
     """Document frequency and idf of every term."""

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from acervo.functions import classify
 from acervo.operators import pages, sessions, sheets
 from acervo.operators.hierarchy import hierarchical_search
+from acervo.operators.lexical import build_index
 from acervo.operators.vector import knn
 from acervo.plans.ingest import ingest
-from acervo.plans.search import Corpus, hybrid_search_tool, semantic_search_tool
+from acervo.plans.search import Corpus, hybrid_search_tool, search, semantic_search_tool
 
 
 def test_documents_of_one_source_keep_their_chunks(spark):
@@ -80,3 +81,19 @@ def test_tools_refuse_a_wrong_k():
     for tool in (semantic_search_tool, hybrid_search_tool):
         with pytest.raises(ValueError, match="top_k"):
             tool(None, Corpus(None), top_k=0)
+
+
+@pytest.mark.parametrize("strategy", ["vector", "bm25", "hybrid", "hierarchical", "full"])
+def test_every_strategy_takes_filters_of_single_queries(spark, strategy):
+    rows = [(i, [float(i), 1.0], f"s{i % 3}", i, "word common" if i % 2 else "word rare", "1" if i < 6 else "", "") for i in range(24)]
+    rows += [(i, [1000.0 + i, 1.0], "zz", i, "other text", "", "") for i in range(100, 160)]
+    chunks = spark.createDataFrame(rows, "doc_id long, embedding array<double>, source string, chunk_index int, text string, article_number string, page string")
+    summaries = spark.createDataFrame([(900, [0.0, 1.0], "1", "")], "doc_id long, embedding array<double>, article_number string, page string")
+    corpus = Corpus(chunks, build_index(chunks, keep=("source",)), summaries)
+    queries = spark.createDataFrame([(1, "word", [0.0, 1.0], {"source": "s1"}), (2, "word", [0.0, 1.0], {"source": ""}), (3, "word", [0.0, 1.0], {"source": "none"})],
+                                    "query_id long, text string, embedding array<double>, filters map<string,string>")
+    got = search(queries, corpus, strategy, k=6, filters="filters", filter_columns=("source",)).collect()
+    hits = {q: {r["doc_id"] for r in got if r["query_id"] == q} for q in (1, 2, 3)}
+    assert len(hits[1]) == 6 and all(d % 3 == 1 for d in hits[1])
+    assert len(hits[2]) == 6 and {d % 3 for d in hits[2]} == {0, 1, 2}
+    assert not hits[3]
