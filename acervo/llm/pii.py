@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acervo.llm.common import text_or_empty
+from acervo.llm.common import hash_sample, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 16_384
@@ -251,11 +251,10 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def trained(docs: DataFrame, rows: int = SAMPLE_ROWS, largest: int = SAMPLE_BYTES) -> dict[str, Trees]:
-    """Models from ``rows`` texts at most, with a digit in them, of ``largest`` bytes at most, in the order of a hash."""
+    """Models from about ``rows`` texts, with a digit run in them, of ``largest`` bytes at most, chosen by a hash."""
     text = text_or_empty()
-    usable = docs.where((F.octet_length(text) <= largest) & text.rlike("[0-9]{3}")).select(text.alias("text"))
-    got = usable.orderBy(F.xxhash64("text"), "text").limit(rows).collect()
-    return fit([r["text"] for r in got])
+    usable = docs.where((F.octet_length(text) <= largest) & text.rlike("[0-9]{3}")).select("doc_id", text.alias("text"))
+    return fit(sorted(r["text"] for r in hash_sample(usable, rows, "doc_id", "text").collect()))
 
 
 def spans(models: dict[str, Trees], text: Column) -> Column:
