@@ -2,7 +2,8 @@
 
 Learned filters of ``WIDTH`` bytes slide over the whole document in steps of ``STRIDE``.
 Their strongest answer in each of the overlapping chunks (two hops of ``HOP`` bytes) passes
-a rectifier; the maximum and the mean over chunks are combined into one probability.
+a rectifier, beside one fixed channel, the share of four-byte runs that stood in the hop
+before; the maximum and the mean over chunks are combined into one probability.
 A filter is a byte embedding followed by a kernel, so at run time it is ``WIDTH`` table
 look-ups per position.  The network is fitted on the driver on a bounded sample of
 labelled rows (``SAMPLE_ROWS`` texts of ``SAMPLE_BYTES`` at most) and sent with the function.
@@ -18,10 +19,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acervo.llm.common import in_fold, text_or_empty
+from acervo.llm.common import hash_sample, in_fold, text_or_empty
 
 WIDTH, STRIDE, HOP, FILTERS, EMBED = 8, 4, 256, 16, 8
-SAMPLE_ROWS, SAMPLE_BYTES = 2000, 32_768
+SAMPLE_ROWS, SAMPLE_BYTES = 2500, 32_768
 SLICE_BYTES = 1_000_000
 PER_HOP = HOP // STRIDE
 
@@ -31,7 +32,7 @@ class Network:
     embed: np.ndarray  # 256 × EMBED, row 0 (padding) stays zero
     kernel: np.ndarray  # WIDTH × EMBED × FILTERS
     bias: np.ndarray  # FILTERS
-    combine: np.ndarray  # 2 × FILTERS: of the maximum and of the mean over chunks
+    combine: np.ndarray  # 2 × (FILTERS + 1): of the maximum and of the mean over chunks
     offset: np.ndarray  # 1
 
     def tables(self) -> np.ndarray:
@@ -68,8 +69,19 @@ def chunked(hop: np.ndarray, hops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(from_next, following, hop), from_next
 
 
-def features(net: Network, chunk: np.ndarray, hops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    active = np.maximum(chunk + net.bias, 0)
+def repetition(data: np.ndarray, texts: list[bytes], hops: np.ndarray) -> np.ndarray:
+    """Share of each hop's four-byte runs that stood in it before."""
+    n = len(data) - WIDTH
+    keys = sum(data[i:i + n].astype(np.uint32) << np.uint32(8 * i) for i in range(4)).reshape(-1, HOP)
+    real = np.clip(np.repeat([len(t) - 3 for t in texts], hops) - HOP * (np.arange(len(keys)) - np.repeat(np.cumsum(hops) - hops, hops)), 0, HOP)
+    keys[np.arange(HOP) >= real[:, None]] = 0
+    keys.sort(axis=1)
+    distinct = (keys[:, 1:] != keys[:, :-1]).sum(axis=1) + (real == HOP)
+    return np.where(real >= 32, 1 - distinct / np.maximum(real, 1), 0.0)
+
+
+def features(net: Network, chunk: np.ndarray, repeat: np.ndarray, hops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    active = np.hstack([np.maximum(chunk + net.bias, 0), 4 * repeat[:, None]])
     starts = np.cumsum(hops) - hops
     return active, np.maximum.reduceat(active, starts), np.add.reduceat(active, starts) / hops[:, None]
 
@@ -83,7 +95,7 @@ def probability(net: Network, tables: np.ndarray, texts: list[bytes]) -> np.ndar
             if k > start:
                 data, hops = laid_out(texts[start:k])
                 hop = np.vstack([hop_maxima(tables, data[i:i + (1 << 20) + WIDTH])[1] for i in range(0, len(data) - WIDTH, 1 << 20)])
-                _, most, mean = features(net, chunked(hop, hops)[0], hops)
+                _, most, mean = features(net, chunked(hop, hops)[0], repetition(data, texts[start:k], hops), hops)
                 logit = most @ net.combine[0] + mean @ net.combine[1] + net.offset[0]
                 out[start:k] = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
             start, held = k, 0
@@ -97,7 +109,7 @@ def gradient(net: Network, tables: np.ndarray, texts: list[bytes], wanted: np.nd
     data, hops = laid_out(texts)
     answers, hop = hop_maxima(tables, data)
     chunk, from_next = chunked(hop, hops)
-    active, most, mean = features(net, chunk, hops)
+    active, most, mean = features(net, chunk, repetition(data, texts, hops), hops)
     logit = most @ net.combine[0] + mean @ net.combine[1] + net.offset[0]
     error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - wanted) / len(texts)
     combine = np.stack([error @ most, error @ mean])
@@ -105,6 +117,7 @@ def gradient(net: Network, tables: np.ndarray, texts: list[bytes], wanted: np.nd
     top = active == most[owner]
     shared = np.add.reduceat(top, np.cumsum(hops) - hops).astype(float)
     back = (error[owner, None] * (net.combine[0] * top / shared[owner] + net.combine[1] / hops[owner, None])) * (active > 0)
+    back = back[:, :FILTERS]
     rows, filters = np.nonzero(back)
     values = back[rows, filters]
     source = rows + from_next[rows, filters]
@@ -118,13 +131,13 @@ def gradient(net: Network, tables: np.ndarray, texts: list[bytes], wanted: np.nd
     return [embed, np.einsum("be,wbf->wef", net.embed, table), back.sum(axis=0), combine, np.array([error.sum()])]
 
 
-def fit(texts: list[bytes], labels: list[int], epochs: int = 16, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Network:
+def fit(texts: list[bytes], labels: list[int], epochs: int = 20, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Network:
     """Adam on the log loss; without two classes the network answers the share of ones."""
     rng = np.random.default_rng(seed)
     wanted = np.array(labels, float)
     share = (wanted.sum() + 1) / (len(wanted) + 2)
     net = Network(rng.normal(0, 0.5, (256, EMBED)), rng.normal(0, 0.3, (WIDTH, EMBED, FILTERS)), np.zeros(FILTERS),
-                  rng.normal(0, 0.1, (2, FILTERS)), np.array([np.log(share / (1 - share))]))
+                  rng.normal(0, 0.1, (2, FILTERS + 1)), np.array([np.log(share / (1 - share))]))
     net.embed[0] = 0
     if len(set(labels)) < 2:
         net.combine[:] = 0
@@ -146,18 +159,18 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = 16, batch: int = 32
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int,
            rows: int = SAMPLE_ROWS, largest: int = SAMPLE_BYTES) -> tuple[list[str], list[int]]:
-    """Labelled texts outside the held-out fold: ``rows`` at most, of ``largest`` bytes at most, in the order of a hash of the id.
+    """Labelled texts outside the held-out fold: about ``rows``, of ``largest`` bytes at most, chosen by a hash of the id.
 
     A document with several labels takes the rounded mean; null ids and labels are left out.
     """
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~in_fold(modulus, held_out))
         .groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("wanted"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    found = docs.where(F.octet_length(text_or_empty()) <= largest).select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), "doc_id")
-    got = found.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).collect()
-    return [r["text"] for r in got], [r["wanted"] for r in got]
+    chosen = F.broadcast(hash_sample(ids, rows, "doc_id"))
+    found = docs.where(F.octet_length(text_or_empty()) <= largest).select("doc_id", text_or_empty().alias("text")).join(chosen, "doc_id")
+    got = sorted((r["doc_id"], r["text"], r["wanted"]) for r in found.limit(2 * rows).collect())
+    return [r[1] for r in got], [r[2] for r in got]
 
 
 def score(net: Network, text: Column) -> Column:
