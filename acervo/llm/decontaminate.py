@@ -154,10 +154,12 @@ class Items:
             words = (text or "").encode().split()
             if len(words) < SHORTEST:
                 continue
-            hashes, literal = vocabulary.tokens(words, np.array([0]))
             length = window_length(len(words))
-            for p, h in zip(*windows(hashes, literal, np.full(len(words), len(words)), length), strict=True):
-                found[length].append((int(h), len(self.ids), int(p)))
+            own = set()
+            for starts in (np.array([0]), np.arange(len(words))):  # with names as placeholders, and as words, for texts without capitals
+                hashes, literal = vocabulary.tokens(words, starts)
+                own.update((int(h), len(self.ids), int(p)) for p, h in zip(*windows(hashes, literal, np.full(len(words), len(words)), length), strict=True))
+            found[length] += own
             self.ids.append(item_id)
             self.words.append(words)
         self.by_length = {}
