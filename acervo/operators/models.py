@@ -22,34 +22,38 @@ RERANK_K, FETCH_FACTOR = 5, 2  # fixed values
 TextFunction = Callable[[list[str]], list[str]]
 
 
-def model_map(prompt: Column | str, fn: TextFunction, fallback: Column | None = None) -> Column:
-    """Reply per prompt; where the call fails the row gets ``fallback`` (null by default)."""
+def model_call(prompt: Column | str, fn: TextFunction) -> Column:
+    """Struct (reply, error) per prompt; one of the two is null."""
 
-    @F.pandas_udf("string")
-    def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<reply:string,error:string>")
+    def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for prompts in batches:
-            yield pd.Series(_call(fn, prompts.tolist()))
+            yield pd.DataFrame(_call(fn, prompts.tolist()), columns=["reply", "error"], dtype=object)
+
+    return call(F.col(prompt) if isinstance(prompt, str) else prompt)
 
-    reply = call(F.col(prompt) if isinstance(prompt, str) else prompt)
+
+def model_map(prompt: Column | str, fn: TextFunction, fallback: Column | None = None) -> Column:
+    """Reply per prompt; where the call fails the row gets ``fallback`` (null by default); ``model_call`` tells why."""
+    reply = model_call(prompt, fn)["reply"]
     return reply if fallback is None else F.coalesce(reply, fallback)
 
 
-def _call(fn: TextFunction, prompts: list[str]) -> list[str | None]:
-    """One call for the batch; if it fails, one call per row so that only bad rows are lost."""
+def _call(fn: TextFunction, prompts: list[str]) -> list[tuple[str | None, str | None]]:
+    """One call for the batch; a failing batch is halved until only the bad rows are left with their error."""
+    if not prompts:
+        return []
     try:
         replies = fn(prompts)
         if len(replies) == len(prompts):
-            return replies
-    except Exception:  # noqa: BLE001 - any model error becomes a fallback row
-        pass
-    return [_one(fn, p) for p in prompts]
-
-
-def _one(fn: TextFunction, prompt: str) -> str | None:
-    try:
-        return fn([prompt])[0]
-    except Exception:  # noqa: BLE001
-        return None
+            return [(r, None) for r in replies]
+        error = f"{len(replies)} replies to {len(prompts)} prompts"
+    except Exception as failed:  # noqa: BLE001 - any model error becomes a row with that error
+        error = f"{type(failed).__name__}: {failed}"
+    if len(prompts) == 1:
+        return [(None, error)]
+    half = len(prompts) // 2
+    return _call(fn, prompts[:half]) + _call(fn, prompts[half:])
 
 
 def hashed_embedding(text: Column | str, size: int = EMBEDDING_SIZE, pattern: str = PLAIN_TOKEN_PATTERN) -> Column:

@@ -106,6 +106,20 @@ def session_counters(changes: DataFrame, every: str = "1 hour") -> DataFrame:
     )
 
 
+# ── Histories ─────────────────────────────────────────────────────────────────
+
+# The order of each history; names with a minus are descending.
+HISTORIES = {
+    "messages": ["session_id", "seq"], "chunks": ["document_id", "chunk_index"],
+    "query_logs": ["session_id", "-created_at", "-id"], "user_profiles": ["user_identifier"],
+}
+
+
+def history(rows: DataFrame, kind: str) -> DataFrame:
+    """``rows`` in the total order of their kind: messages and chunks ascending, query logs newest first, profiles by user."""
+    return rows.orderBy(*[F.col(c[1:]).desc() if c.startswith("-") else F.col(c) for c in HISTORIES[kind]])
+
+
 # ── Session memory ────────────────────────────────────────────────────────────
 
 def session_memory(operations: DataFrame) -> DataFrame:
@@ -124,6 +138,15 @@ def session_memory(operations: DataFrame) -> DataFrame:
     )
 
 
+def sync_memory(memory: DataFrame, synced: DataFrame) -> DataFrame:
+    """New snapshot of the memory (session_id, key, value, seq): a session that is synced has what it is given and nothing else."""
+    last = synced.groupBy("session_id", "key").agg(F.max(F.struct("seq", "value")).alias("_last"))
+    kept = memory.join(synced.select("session_id").distinct(), "session_id", "left_anti")
+    return kept.select("session_id", "key", "value", "seq").unionByName(
+        last.select("session_id", "key", F.col("_last.value").alias("value"), F.col("_last.seq").alias("seq"))
+    )
+
+
 def context_keys(memory: DataFrame) -> DataFrame:
     """Keys set per session, as counts and rows: (session_id, key, count)."""
     counts = memory.groupBy("session_id").agg(F.count("*").alias("count"))

@@ -505,7 +505,41 @@ def with_messages(spark, sf):
 @query("history", "SELECT conv_id AS session_id, turn AS seq, role, md5(text) AS content FROM conversations")
 def history(spark, sf):
     """L2: all messages in a total order."""
-    return messages(spark, sf).orderBy("session_id", "seq").select("session_id", "seq", "role", F.md5("content").alias("content"))
+    return se.history(messages(spark, sf), "messages").select("session_id", "seq", "role", F.md5("content").alias("content"))
+
+
+@query("history_logs", "SELECT user_id AS session_id, event_id AS id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at FROM events")
+def history_logs(spark, sf):
+    """L2: query logs, the newest first."""
+    logs = table(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("id"), F.col("ts").alias("created_at"))
+    return se.history(logs, "query_logs").withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("history_chunks", f"WITH {LINES_CTE} SELECT source AS document_id, chunk_index, md5(text) AS text FROM lines")
+def history_chunks(spark, sf):
+    """L2: chunks of each document by index."""
+    chunks = line_chunks(spark, sf).select(F.col("source").alias("document_id"), "chunk_index", F.md5("text").alias("text"))
+    return se.history(chunks, "chunks")
+
+
+@query("history_profiles", "SELECT c_name AS user_identifier, c_mktsegment AS preferred_profile FROM customer")
+def history_profiles(spark, sf):
+    """L2: profiles by user."""
+    return se.history(_profiles(spark, sf), "user_profiles").select("user_identifier", "preferred_profile")
+
+
+@query(
+    "sync_memory",
+    """WITH m AS (SELECT conv_id AS session_id, role AS key, arg_max(text, turn) AS value, max(turn) AS seq FROM conversations GROUP BY ALL),
+      s AS (SELECT conv_id AS session_id, 'turn ' || turn % 3 AS key, arg_max(text, turn) AS value, max(turn) AS seq FROM conversations WHERE conv_id % 3 = 0 GROUP BY ALL)
+      SELECT session_id, key, md5(value) AS value, seq FROM (SELECT * FROM m WHERE session_id NOT IN (SELECT session_id FROM s) UNION ALL SELECT * FROM s)""",
+)
+def synced_memory(spark, sf):
+    """ST2: every third session is replaced as a whole."""
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), "role", "text", F.col("turn").alias("seq"))
+    memory = rows.groupBy("session_id", F.col("role").alias("key")).agg(F.max_by("text", "seq").alias("value"), F.max("seq").alias("seq"))
+    synced = rows.filter("session_id % 3 = 0").select("session_id", F.concat(F.lit("turn "), F.col("seq") % 3).alias("key"), F.col("text").alias("value"), "seq")
+    return se.sync_memory(memory, synced).withColumn("value", F.md5("value"))
 
 
 @query(

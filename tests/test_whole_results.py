@@ -10,6 +10,7 @@ from acervo.functions import classify
 from acervo.operators import pages, sessions, sheets
 from acervo.operators.hierarchy import hierarchical_search
 from acervo.operators.lexical import build_index
+from acervo.operators.models import _call
 from acervo.operators.vector import knn
 from acervo.plans.ingest import ingest
 from acervo.plans.search import Corpus, hybrid_search_tool, search, semantic_search_tool
@@ -97,3 +98,31 @@ def test_every_strategy_takes_filters_of_single_queries(spark, strategy):
     assert len(hits[1]) == 6 and all(d % 3 == 1 for d in hits[1])
     assert len(hits[2]) == 6 and {d % 3 for d in hits[2]} == {0, 1, 2}
     assert not hits[3]
+
+
+def test_failing_prompts_keep_their_reason():
+    calls = []
+
+    def fn(prompts):
+        calls.append(len(prompts))
+        if "bad" in prompts:
+            raise RuntimeError("no answer")
+        return [p.upper() for p in prompts]
+
+    prompts = [f"p{i}" for i in range(63)] + ["bad"]
+    got = _call(fn, prompts)
+    assert got[:63] == [(f"P{i}", None) for i in range(63)] and got[63] == (None, "RuntimeError: no answer")
+    assert len(calls) == 13
+    assert _call(lambda p: [], ["x"]) == [(None, "0 replies to 1 prompts")]
+
+
+def test_histories_are_ordered(spark):
+    logs = spark.createDataFrame([("a", 1, 5), ("a", 9, 6), ("b", 3, 1), ("a", 9, 7)], "session_id string, created_at int, id int")
+    assert [r["id"] for r in sessions.history(logs, "query_logs").collect()] == [7, 6, 5, 1]
+
+
+def test_sync_replaces_a_session(spark):
+    schema = "session_id string, key string, value string, seq int"
+    memory = spark.createDataFrame([("s", "k", "old", 1), ("s", "x", "gone", 2), ("t", "k", "stays", 1)], schema)
+    got = sessions.sync_memory(memory, spark.createDataFrame([("s", "k", "new", 3), ("s", "k", "newer", 4)], schema))
+    assert sorted(tuple(r) for r in got.collect()) == [("s", "k", "newer", 4), ("t", "k", "stays", 1)]
