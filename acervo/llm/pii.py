@@ -81,7 +81,7 @@ def base_spans(text: str) -> list[Span]:
     out = emails(text)
     if not ANY_DIGIT.search(text):
         return out
-    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p[:20]) <= 255 and len(p.lstrip("0")) <= 3 for p in m[0].split("."))]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p.lstrip("0")[:4] or "0") <= 255 for p in m[0].split("."))]
     out += [("card", *m.span()) for m in CARD.finditer(text) if 13 <= len(d := digits_of(m[0])) <= 19 and luhn(d)]
     out += [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(digits_of(m[0])) <= 15]
     return out

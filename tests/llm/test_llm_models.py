@@ -156,7 +156,7 @@ def brute_spans(text):
 
 def test_base_spans_equal_the_patterns():
     rng = random.Random(6)
-    bits = ["a@b.co", "@", ".", "-", "+", "1", "255", "256", "4111 1111 1111 1111", "x_y%z", " ", "(", ")", "é", "😀", "+49 30 1234567", "10.0.0.1", "00012.1.1.1", "com", "_", "\n", "5500-0000-0000-0004", "٣"]
+    bits = ["a@b.co", "@", ".", "-", "+", "1", "255", "256", "4111 1111 1111 1111", "x_y%z", " ", "(", ")", "é", "😀", "+49 30 1234567", "10.0.0.1", "00012.1.1.1", "1.1.1.00000000000000000000000999", "com", "_", "\n", "5500-0000-0000-0004", "٣"]
     for _ in range(4000):
         text = "".join(rng.choices(bits, k=rng.randint(0, 14)))
         assert pii.base_spans(text) == brute_spans(text), text
