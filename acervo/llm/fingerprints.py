@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from acervo.llm.common import let, text_or_empty
-from acervo.session import written
 
 K, TUPLE, BINS, PIECE = 2, 2, 64, 12
+#: Bits of a tuple's hash in a fingerprint; with the number of the bin they fill 32.
+HASH = 26
 #: Ids per group when the next smaller id is looked up.
 ID_BLOCK = 4096
 TOKEN = f"[^\\x20\\x09-\\x0D]{{1,{PIECE}}}"
@@ -53,7 +54,7 @@ def numbered(places: Column) -> Column:
 
 
 def sketch(text: Column) -> Column:
-    """Array of (bin << 32 | hash of its tuple), by bin; empty bins have no entry."""
+    """Array of integers, HASH bits of the hash of a bin's tuple below the number of the bin, by bin; empty bins have no entry."""
     shift = 63 - (BINS.bit_length() - 1)
     which = lambda x: F.shiftright(x, shift)
 
@@ -65,19 +66,20 @@ def sketch(text: Column) -> Column:
         own = F.filter(o, lambda x: which(x) == which(o[0]))
         ordered = F.sort_array(F.transform(own, lambda x: F.struct(x.bitwiseAND(F.lit(POSITION)).alias("at"), F.shiftright(x, 31).alias("hash"))))
         tuple_hash = F.xxhash64(F.transform(ordered, lambda x: x["hash"]))
-        return F.shiftleft(which(o[0]), 32).bitwiseOR(F.shiftrightunsigned(tuple_hash, 32))
+        value = F.shiftleft(which(o[0]), HASH).bitwiseOR(F.shiftrightunsigned(tuple_hash, 64 - HASH))
+        return (value - F.lit(1 << 31)).cast("int")
 
-    return let(numbered(kmer_places(text)), lambda s: F.when(F.size(s) > 0, bins(s)).otherwise(s))
+    return let(numbered(kmer_places(text)), lambda s: F.when(F.size(s) > 0, bins(s)).otherwise(F.array().cast("array<int>")))
 
 
 def as_text(bins: Column) -> Column:
     """A fingerprint as a string: its entries in hexadecimal."""
-    return F.array_join(F.transform(bins, lambda h: F.lower(F.hex(h))), ",")
+    return F.array_join(F.transform(bins, lambda h: F.lower(F.hex(h.cast("long") + F.lit(1 << 31)))), ",")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal bins among those that either fingerprint fills; 1 if neither fills any."""
-    filled = F.size(F.array_union(F.transform(a, lambda x: F.shiftright(x, 32)), F.transform(b, lambda x: F.shiftright(x, 32))))
+    filled = F.size(F.array_union(F.transform(a, lambda x: F.shiftright(x, HASH)), F.transform(b, lambda x: F.shiftright(x, HASH))))
     return F.when(filled == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / filled)
 
 
@@ -104,33 +106,31 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     the next document's first, in descending doc_id; after the smallest id comes the largest.
     ``docs``: doc_id, text; other columns are ignored.  Returns (doc_id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one row per
-    input row.  Null counts as empty; where rows share an id, the smallest head and the
-    smallest fingerprint stand for the next document; rows without doc_id are followed by an empty text; texts
+    input row.  Null counts as empty; where rows share an id, the smallest head, and of equal
+    ones the smallest fingerprint, stands for the next document; rows without doc_id are followed by an empty text; texts
     without tokens have an empty fingerprint and are like each other; an empty table gives an
     empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    # An alias of doc_id in one branch only would keep the two joins from sharing their exchange.
+    doc_id = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    rows = docs.select(doc_id, text_or_empty().alias("text"))
     known = rows.where("doc_id is not null")
     halves = known.select("doc_id", F.length("text").alias("chars")).groupBy("doc_id").agg(F.floor(F.max("chars") / 2).cast("int").alias("half"))
     asked = next_ids(known).join(halves, "doc_id").select(F.col("doc_id").alias("for_id"), F.col("next_id").alias("doc_id"), "half")
-    heads = (
-        known.join(asked, "doc_id").groupBy("for_id", "doc_id").agg(F.min(F.expr("substring(text, 1, half)")).alias("head"))
-        .select("for_id", F.col("doc_id").alias("next_id"), "head")
-    )
-    pairs = known.join(heads, known.doc_id == heads.for_id).select("doc_id", "next_id", "text", "head")
-    alone = rows.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("next_id"), "text", F.lit("").alias("head"))
+    # The smallest text of an id is reached by way of its head and sketch, which are short; both joins read one exchange of the texts.
+    heads = known.join(asked, "doc_id").select("for_id", F.struct(F.expr("substring(text, 1, half)").alias("head"), sketch(F.col("text")).alias("bins")).alias("next"))
+    heads = heads.groupBy("for_id").agg(F.min("next").alias("next"))
+    pairs = known.join(heads, known.doc_id == heads.for_id).select("doc_id", "text", "next")
+    nothing = F.struct(F.lit("").alias("head"), F.array().cast("array<int>").alias("bins"))
+    alone = rows.where("doc_id is null").select("doc_id", "text", nothing.alias("next"))
     half = F.floor(F.length("text") / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("head", F.lit(1), half))
-    made = written(
-        pairs.unionByName(alone)
-        .select("doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
-        .select("doc_id", "next_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-                sketch(F.col("text")).alias("bins"), sketch(F.col("edited")).alias("edited_bins")),
-        "fingerprints",
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring(F.col("next.head"), F.lit(1), half))
+    made = (
+        pairs.unionByName(alone).select("doc_id", "text", F.col("next.bins").alias("next_bins"), edited.alias("edited"))
+        .select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "next_bins",
+                sketch(F.col("text")).alias("bins"), sketch(F.col("edited")).alias("edited_bins"))
     )
-    following = made.where("doc_id is not null").groupBy(F.col("doc_id").alias("next_id")).agg(F.min("bins").alias("next_bins"))
-    return made.join(following, "next_id", "left").select(
+    return made.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("bins")).alias("fingerprint"), as_text(F.col("edited_bins")).alias("edited_fingerprint"),
-        likeness(F.col("bins"), F.col("edited_bins")).alias("near_edited"),
-        likeness(F.col("bins"), F.coalesce("next_bins", F.array().cast("array<bigint>"))).alias("near_next"),
+        likeness(F.col("bins"), F.col("edited_bins")).alias("near_edited"), likeness(F.col("bins"), F.col("next_bins")).alias("near_next"),
     )

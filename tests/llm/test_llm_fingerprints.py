@@ -36,7 +36,7 @@ def sketch(text):
     out = {}
     for b, own in bins.items():
         ordered = [v for v, _ in sorted(own[:fp.TUPLE], key=lambda x: x[1])]
-        out[b] = spark_hash(*ordered) >> 32
+        out[b] = spark_hash(*ordered) >> (64 - fp.HASH)
     return out
 
 
@@ -51,7 +51,7 @@ def like(a, b):
 
 
 def text_of(s):
-    return ",".join(f"{(b << 32) | h:x}" for b, h in sorted(s.items()))
+    return ",".join(f"{(b << fp.HASH) | h:x}" for b, h in sorted(s.items()))
 
 
 def test_equals_brute_force(spark):
