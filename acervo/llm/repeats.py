@@ -32,7 +32,7 @@ from acervo.session import written
 WINDOW = 50
 BLOCK = WINDOW // 2
 #: Words in a task's slice, and words (of the table) per hash bucket.
-SLICE_WORDS, BUCKET_WORDS = 1_000_000, 1_500_000
+SLICE_WORDS, BUCKET_WORDS = 500_000, 700_000
 A, B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -220,8 +220,12 @@ def anchors(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def anchor_hits(packed: DataFrame, buckets: int) -> DataFrame:
-    """Positions whose hash is a reference block of one slice and is met by another."""
+    """Positions whose hash is a reference block of one slice and is met by another, and the hits settled before."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        settled = rows[rows["kind"] == "hit"]
+        rows = rows[rows["kind"] != "hit"]
+        if not len(rows):
+            return settled
         ids, at = map(np.concatenate, zip(*(places(r.ids, r.at) for r in rows.itertuples()), strict=True))
         hashes = [numbers(h, np.uint32) for h in rows["hashes"]]
         lengths = [len(h) for h in hashes]
@@ -232,9 +236,9 @@ def anchor_hits(packed: DataFrame, buckets: int) -> DataFrame:
         starts = np.flatnonzero(np.r_[True, hashes[order][1:] != hashes[order][:-1]])
         good = (np.minimum.reduceat(owner[order], starts) != np.maximum.reduceat(owner[order], starts)) & np.maximum.reduceat(block[order], starts)
         hit = order[np.repeat(good, np.diff(np.r_[starts, len(order)]))]
-        return frame(list(document_rows("hit", ids[hit], at[hit], buckets)), ANCHORS)
+        return pd.concat([settled, frame(list(document_rows("hit", ids[hit], at[hit], buckets)), ANCHORS)], ignore_index=True)
 
-    return packed.where("kind <> 'hit'").groupBy("bucket").applyInPandas(run, ANCHORS)
+    return packed.groupBy("bucket").applyInPandas(run, ANCHORS)
 
 
 def ordered(rows: pd.DataFrame) -> tuple[np.ndarray, list[list[bytes]], list[str]]:
@@ -354,12 +358,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = prime_from(max(least, size // 6 // BUCKET_WORDS))
     known = rows.where("doc_id is not null")
-    packed = written(anchors(known, buckets), "repeat-anchors")
-    hits = written(packed.where("kind = 'hit'").unionByName(anchor_hits(packed, buckets)), "repeat-hits")
+    hits = written(anchor_hits(anchors(known, buckets), buckets).select("bucket", "ids", "at"), "repeat-hits")
     placed_docs = known.withColumn("bucket", F.pmod("doc_id", F.lit(buckets)).cast("int"))
     staged = written(extended(placed_docs, hits, buckets), "repeat-windows")
     windows = staged.where("kind = 'window'").select(*(c.split()[0] for c in ANCHORS.split(", ")))
-    found = staged.where("kind = 'repeat'").select(windows.columns).unionByName(repeats(windows, buckets))
+    found = staged.where("kind = 'repeat'").select("bucket", "ids", "at").unionByName(repeats(windows, buckets).select("bucket", "ids", "at"))
     texts = staged.where("kind = 'text'").select("bucket", "doc_id", "text")
     columns = ["doc_id", "n_words", "n_removed", "kept_sha256"]
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
