@@ -14,10 +14,14 @@ from acervo.session import prepare
 
 REF_TS = "2024-01-31"
 P = PLAIN_TOKEN_PATTERN
+WIDE = {"documents", "pages", "conversations", "lineitem", "events", "orders"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A given table; one that is a single file, which one task would scan, is dealt to all cores."""
+    df = prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    alone = name in WIDE and len(df.inputFiles()) == 1
+    return df.repartition(spark.sparkContext.defaultParallelism) if alone else df
 
 
 def now() -> Column:
