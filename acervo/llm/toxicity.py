@@ -55,8 +55,6 @@ TARGET_REACH, NEGATION_REACH, REPORT_REACH = 6, 3, 12
 
 SENTENCE = re.compile(r"[.!?;\n]+")
 WORDS = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
-SEPARATORS = bytes(32 if chr(b) in ".,;:!?\"()[]{}<>*#$%&|/\\=_~`^+" or b < 32 else b for b in range(256))
-QUOTES = [q.encode() for q in "“”„«»‘…—–"]
 
 
 @dataclass
@@ -72,9 +70,9 @@ class Grammar:
     def insult(self, word: str) -> float:
         return self.insults.get(word) or self.stems.get(word.encode("utf-8", "replace")[:STEM], 0.0)
 
-    def triggers(self) -> tuple[frozenset[bytes], frozenset[bytes]]:
-        """Words and stems, as bytes, of which a text needs one for its clauses to be read."""
-        return frozenset(w.encode() for w in (*self.insults, *self.threats)), frozenset(self.stems)
+    def triggers(self) -> tuple[frozenset[str], frozenset[bytes]]:
+        """Words, and stems as bytes, of which a text needs one for its clauses to be read."""
+        return frozenset((*self.insults, *self.threats)), frozenset(self.stems)
 
 
 def matched_clauses(grammar: Grammar, text: str) -> list[tuple[str, float]]:
@@ -124,19 +122,17 @@ def clause_weight(grammar: Grammar, words: list[str]) -> float:
 NEGATION_SET, REPORT_SET, INTENSIFIER_SET, TARGET_SET = map(frozenset, (NEGATIONS, REPORTS, INTENSIFIERS, TARGETS))
 
 
-def summary(grammar: Grammar, triggers: tuple[frozenset[bytes], frozenset[bytes]], text: str) -> tuple[float, float, float, float]:
+def summary(grammar: Grammar, triggers: tuple[frozenset[str], frozenset[bytes]], text: str) -> tuple[float, float, float, float]:
     """(log of the sum, maximum, log of the number, sum per hundred words) of the clause scores of a text."""
-    data = text.lower().encode("utf-8", "replace").translate(SEPARATORS)
-    for quote in QUOTES:
-        data = data.replace(quote, b" ")
-    words = data.split()
-    if triggers[0].isdisjoint(words) and triggers[1].isdisjoint([w[:STEM] for w in words]):
+    words = WORDS.findall(text.lower())  # no word holds the end of a sentence, so these are the words of all clauses
+    own = set(words)
+    if triggers[0].isdisjoint(own) and triggers[1].isdisjoint([w.encode("utf-8", "replace")[:STEM] for w in own]):
         return 0.0, 0.0, 0.0, 0.0
     found = [w for _, w in matched_clauses(grammar, text)]
     return (math.log1p(sum(found)), max(found), math.log1p(len(found)), 100 * sum(found) / (len(words) + 50)) if found else (0.0, 0.0, 0.0, 0.0)
 
 
-def probability(grammar: Grammar, triggers: tuple[frozenset[bytes], frozenset[bytes]], texts: list[str]) -> np.ndarray:
+def probability(grammar: Grammar, triggers: tuple[frozenset[str], frozenset[bytes]], texts: list[str]) -> np.ndarray:
     x = np.array([summary(grammar, triggers, t) for t in texts]).reshape(-1, 4)
     return 1 / (1 + np.exp(-np.clip(grammar.coefficients[0] + x @ np.array(grammar.coefficients[1:]), -30, 30)))
 

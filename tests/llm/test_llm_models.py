@@ -103,6 +103,13 @@ def test_clauses_not_words():
     assert toxicity.matched_clauses(g, "Nice. You idiot! Bye.")[0][0] == "you idiot"
 
 
+def test_every_matched_clause_is_scored():
+    g = toxicity.Grammar()
+    for text in ("you 'idiot'", "@idiot you", "\u00a1idiota!", "idiot\u00a0!", "you\u00a0idiot\u00a0here", "\u2018idiot\u2019", "idiot\U0001f600", "\u00abidiot\u00bb", "-idiot- you", "idiot_you", "the moron\u2026"):
+        assert toxicity.matched_clauses(g, text) and toxicity.summary(g, g.triggers(), text)[1] > 0, text
+    assert toxicity.summary(g, g.triggers(), "a fine 'day'") == (0.0, 0.0, 0.0, 0.0)
+
+
 def test_weights_are_learned():
     rng = random.Random(3)
     texts = [" ".join(rng.choices("red blue green tall".split(), k=8)) + (" grubnak" if i % 2 else "") for i in range(80)]
