@@ -13,6 +13,7 @@ negative ones.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,6 +46,8 @@ SPELLED_AT = (
 SPELLED_LOCAL = re.compile(r"([A-Za-z0-9._%+-]{1,64})\x20?$")
 SPELLED_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|\x20?[\[({]dot[\])}]\x20?| dot )[A-Za-z0-9-]{2,63})+", re.IGNORECASE)
 ANY_DIGIT = re.compile("[0-9]")
+#: How base emails are written out to become examples of spelled-out ones: for the @, for a dot of the domain.
+SPELLED_FORMS = ((" at ", " dot "), ("[at]", "."), (" [at] ", " [dot] "), ("(at)", "(dot)"), ("[at]", "[dot]"), ("(at)", "."))
 CONTEXT = {
     "email": ("mail", "contact", "write", "address"), "ip": ("ip", "host", "server", "address", "from"),
     "card": ("card", "visa", "credit", "account"), "phone": ("phone", "call", "tel", "mobile", "fax", "whatsapp"),
@@ -115,7 +118,7 @@ def features(text: str, start: int, end: int) -> list[float]:
     kind = lambda c: 0.0 if not c or c.isspace() else 1.0 if c.isalpha() else 2.0 if c.isdigit() else 3.0 if c in ".,;:!?)" else 4.0
     near = text[max(0, start - 24):start].lower()
     return [
-        len(digits), len(own), sum(c.isalpha() for c in own), own.count(" "), own.count("-"), own.count("."), own.count("("), own.count("/"),
+        len(digits), len(own), sum(c.isalpha() for c in own), own.count(" "), own.count("-"), own.count("."), sum(c in "([{" for c in own), own.count("/"),
         len(groups), max(map(len, groups), default=0), len(groups[-1]) if groups else 0, float(len(digits) > 1 and luhn(digits)),
         float(13 <= len(digits) <= 19), float("at" in own.lower() and not digits == own), kind(text[start - 1:start]) if start else 0.0,
         kind(text[end:end + 1]), float(own.startswith("(")), *(float(any(w in near for w in CONTEXT[k])) for k in KINDS),
@@ -191,6 +194,22 @@ def examples(texts: list[str]) -> list[tuple[list[float], str | None]]:
             kind = next((k for k, s, e in base if min(e, end) - max(s, start) >= 0.8 * (end - start)), None)
             if kind or not any(s < end and start < e for _, s, e in base):
                 out.append((features(text, start, end), kind))
+        out += spelled_examples(text, base)
+    return out
+
+
+def spelled_examples(text: str, base: list[Span]) -> list[tuple[list[float], str | None]]:
+    """Per base email, in its context: spelled out in one of the forms, and a word "at" its domain, which is none."""
+    out = []
+    for _, start, end in (s for s in base if s[0] == "email"):
+        local, domain = text[start:end].rsplit("@", 1)
+        before, after = text[max(0, start - 100):start], text[end:end + 40]
+        at, dot = SPELLED_FORMS[zlib.crc32(text[start:end].encode("utf-8", "replace")) % len(SPELLED_FORMS)]
+        for own, kind in ((local + at + domain.replace(".", dot), "email"), (f"at {domain}", None)):
+            made = before + own + after
+            for s, e in candidates(made):
+                if e == len(before) + len(own) and (s == len(before) if kind else s < len(before)):
+                    out.append((features(made, s, e), kind))
     return out
 
 
@@ -208,11 +227,12 @@ def fit(texts: list[str], least: int = 20) -> dict[str, Trees]:
             continue
         model = boosted(x[~held], y[~held])
         scored, right = model.score(x[held]), y[held]
-        for cut in np.unique(np.round(scored, 6))[::-1]:
-            chosen = scored >= cut - 1e-6
-            if right[chosen].mean() < PRECISION:
-                break
-            model.threshold = max(0.5, float(cut))
+        order = np.argsort(-scored, kind="stable")
+        cuts = scored[order]
+        last = np.append(cuts[1:] < cuts[:-1], True)  # where a group of equal scores ends
+        precise = last & (np.cumsum(right[order]) >= PRECISION * np.arange(1, len(cuts) + 1))
+        if precise.any():
+            model.threshold = max(0.5, float(cuts[precise].min()) - 1e-9)
         models[kind] = model
     return models
 

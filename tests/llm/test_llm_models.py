@@ -189,6 +189,28 @@ def test_boosted_spans_are_added_beside_the_base(spark):
     assert pii.found(df.limit(0)).count() == 0
 
 
+def test_spelled_out_addresses_are_found():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(4, 9)))
+    ends = "", ".mail"
+    texts = [f"please write to {word()}{rng.choice(ends)}@{word()}{rng.choice(ends)}.com or call +1 {rng.randint(2 * 10**9, 9 * 10**9)} now" for _ in range(300)]
+    models = pii.fit([*texts, *(f"item {rng.randint(10**7, 10**8)} sold" for _ in range(100))])
+    found = lambda text: [text[s:e] for k, s, e in pii.added_spans(models, text, pii.base_spans(text)) if k == "email"]
+    for own in ("john at example dot com", "john[at]example.com", "jo.hn [at] mail [dot] example [dot] com"):
+        assert found(f"please write to {own} now") == [own]
+    assert found("please look at example.com now") == []
+
+
+def test_lowest_precise_cut_over_all_cuts(monkeypatch):
+    scores = np.array([0.99] + [0.9 - i / 10_000 for i in range(400)] + [0.1] * 100)
+    wanted = [None] + ["phone"] * 400 + [None] * 100
+    rows = [x for s, k in zip(scores, wanted, strict=True) for x in (([s], k), ([s], k), ([s], k))]
+    monkeypatch.setattr(pii, "examples", lambda texts: rows)
+    monkeypatch.setattr(pii, "boosted", lambda x, y: pii.Trees(0.0, []))
+    monkeypatch.setattr(pii.Trees, "score", lambda self, x: x[:, 0])
+    assert abs(pii.fit([])["phone"].threshold - scores[400]) < 1e-6
+
+
 def test_redaction_of_overlaps():
     assert pii.redact("ab cd ef", [("card", 0, 5), ("phone", 3, 8)]) == "[CARD]"
     assert pii.redact("ab cd ef", [("ip", 0, 2), ("phone", 6, 8)]) == "[IP] cd [PHONE]"
