@@ -5,16 +5,17 @@ patterns that pass a check.  Beside them, high-recall generators propose overlap
 candidate spans; gradient-boosted trees judge each from its format and its context, and
 those at or over a threshold calibrated on held-out candidates are added where they do not
 touch a span already there.  The trees are fitted on the driver on the candidates of a
-bounded sample of texts: parts of base spans are the positive examples, so that the form of
-a number is learned apart from its prefix, and candidates that touch no base span are the
-negative ones.
+bounded sample of texts: whole base spans, and phones without their prefix, are the positive
+examples, so that the form of a number is learned apart from its prefix; other parts of base
+spans and candidates that touch none are the negative ones.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left, insort
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +39,9 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # The candidate generators.
+#: Digits of a number of any kind.
+FEWEST, MOST = 7, 19
+DIGITS = re.compile("[0-9]+")
 DIGIT_RUN = re.compile(r"\(?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,}")
 SPELLED_AT = (
     re.compile(r" at (?=[A-Za-z0-9-]+(?:\.| dot )[A-Za-z0-9])"),
@@ -90,14 +94,24 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def numbers(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Spans between group boundaries of a run of digits, with FEWEST to MOST digits; at most MOST for each start."""
+    groups = [(g.start() - (g.start() > start and text[g.start() - 1] == "("), *g.span()) for g in DIGITS.finditer(text, start, end)]
+    for i, (left, _, _) in enumerate(groups):
+        count = 0
+        for _, s, e in groups[i:i + MOST]:
+            count += e - s
+            if count > MOST:
+                break
+            if count >= FEWEST:
+                yield left, e
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Overlapping spans that may be personal data: runs of digits, their parts without a prefix, and spelled-out addresses."""
+    """Overlapping spans that may be personal data: parts of runs of digits between group boundaries, and spelled-out addresses."""
     out = set()
     for m in DIGIT_RUN.finditer(text) if ANY_DIGIT.search(text) else ():
-        start, end = m.span()
-        out.add((start, end))
-        pieces = [p.start() + start for p in re.finditer(r"(?<=[\x20.\-/])\(?[0-9]", m[0])][:3]
-        out.update((p, end) for p in pieces if len(digits_of(text[p:end])) >= 7)
+        out.update(numbers(text, *m.span()))
     for pattern in SPELLED_AT:
         for m in pattern.finditer(text):
             before, after = SPELLED_LOCAL.search(text[max(0, m.start() - 65):m.start()]), SPELLED_DOMAIN.match(text, m.end())
@@ -185,15 +199,45 @@ def boosted(x: np.ndarray, y: np.ndarray) -> Trees:
     return model
 
 
+def touching(spans: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Whether a span overlaps one of ``spans``."""
+    ends: list[int] = []
+    starts: list[int] = []
+    for s, e in sorted(spans):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return lambda start, end: (k := bisect_left(starts, end)) > 0 and ends[k - 1] > start
+
+
+def passes_alone(text: str, start: int, end: int) -> bool:
+    """Whether a part of a run of digits is a card or a phone by the base checks when it stands alone."""
+    digits = digits_of(own := text[start:end])
+    if 13 <= len(digits) <= 19 and CARD.fullmatch(own) and luhn(digits):
+        return True
+    return 9 <= len(digits) <= 15 and text[start - 1:start] == "+" and bool(PHONE.fullmatch(text, start - 1, end))
+
+
 def examples(texts: list[str]) -> list[tuple[list[float], str | None]]:
-    """(features, kind of the base span that holds most of the candidate, or None)."""
+    """(features, kind of the base span that the candidate is, or None).
+
+    A phone may lack its prefix.  What touches a number that passes a base check only when
+    cut out of a longer run, or an address, is no example of either.
+    """
     out = []
     for text in texts:
-        base = base_spans(text)
-        for start, end in candidates(text):
-            kind = next((k for k, s, e in base if min(e, end) - max(s, start) >= 0.8 * (end - start)), None)
-            if kind or not any(s < end and start < e for _, s, e in base):
-                out.append((features(text, start, end), kind))
+        base, found = base_spans(text), candidates(text)
+        whole = {(s, e): k for k, s, e in reversed(base)}
+        phones = {e: s for k, s, e in base if k == "phone"}
+        in_base, in_email = touching([(s, e) for _, s, e in base]), touching([(s, e) for k, s, e in base if k == "email"])
+        unsure = touching([c for c in found if not in_base(*c) and passes_alone(text, *c)])
+        for start, end in found:
+            if in_email(start, end) or unsure(start, end):
+                continue
+            kind = whole.get((start, end)) or ("phone" if phones.get(end, start + 1) <= start else None)
+            out.append((features(text, start, end), kind))
         out += spelled_examples(text, base)
     return out
 
@@ -238,21 +282,26 @@ def fit(texts: list[str], least: int = 20) -> dict[str, Trees]:
 
 
 def added_spans(models: dict[str, Trees], text: str, base: list[Span]) -> list[Span]:
-    """Candidates that a model accepts, the surest first, where they touch nothing chosen before."""
+    """Candidates that a model accepts, the longest first so that no part of a number stays, where they touch nothing chosen before."""
     if not models:
         return []
-    found = [c for c in candidates(text) if not any(s < c[1] and c[0] < e for _, s, e in base)]
+    in_base = touching([(s, e) for _, s, e in base])
+    found = [c for c in candidates(text) if not in_base(*c)]
     if not found:
         return []
     x = np.array([features(text, *c) for c in found])
     offers = sorted(
-        (-float(s), c, kind) for kind, model in models.items() for s, c in zip(model.score(x), found, strict=True) if s >= model.threshold
+        (start - end, -float(s), (start, end), kind)
+        for kind, model in models.items() for s, (start, end) in zip(model.score(x), found, strict=True) if s >= model.threshold
     )
-    out: list[Span] = []
-    for _, (start, end), kind in offers:
-        if not any(s < end and start < e for _, s, e in out):
-            out.append((kind, start, end))
-    return out
+    out: list[tuple[int, int, str]] = []
+    for _, _, (start, end), kind in offers:
+        if kind == "phone" and text[start - 1:start] == "+" and not in_base(start - 1, end):
+            start -= 1
+        k = bisect_left(out, (end,))
+        if not k or out[k - 1][1] <= start:
+            insort(out, (start, end, kind))
+    return [(kind, start, end) for start, end, kind in out]
 
 
 def joined(spans: list[Span]) -> str:

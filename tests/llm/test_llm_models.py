@@ -189,6 +189,26 @@ def test_boosted_spans_are_added_beside_the_base(spark):
     assert pii.found(df.limit(0)).count() == 0
 
 
+def test_candidates_end_at_every_group():
+    cut = lambda text: {text[s:e] for s, e in pii.candidates(text)}
+    assert {"1 (826) 555-4081", "(826) 555-4081", "190.137.223.204"} <= cut("+1 (826) 555-4081 190.137.223.204")
+    assert "4111 1111 1111 1111" in cut("4111 1111 1111 1111 2024-01-02")
+    assert {"555-123-4567", "555-987-6543"} <= cut("555-123-4567 555-987-6543")
+    assert "(415) 555-2671" in cut("10 20 30 40 50 (415) 555-2671 7")
+    assert len(pii.candidates("1 " * 5000)) <= 13 * 5000
+
+
+def test_a_number_before_others_is_found():
+    rng = random.Random(5)
+    number = lambda: f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+    texts = [f"call me on +1 {number()} or +44 {number()} soon" if i % 2 else f"built on {rng.randint(10, 30)}/{rng.randint(10, 12)}/{rng.randint(1900, 2024)} as part {rng.randint(10**6, 10**8)} there" for i in range(600)]
+    models = pii.fit(texts)
+    text = "call +1 (826) 555-4081 190.137.223.204 now"
+    base = pii.base_spans(text)
+    assert [k for k, _, _ in base] == ["ip"]
+    assert pii.redact(text, base + pii.added_spans(models, text, base)) == "call [PHONE] [IP] now"
+
+
 def test_spelled_out_addresses_are_found():
     rng = random.Random(6)
     word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(4, 9)))
