@@ -33,7 +33,7 @@ COVERAGE, RUN = 0.5, 13
 #: Share of slots that must agree with one mapping from item values to document values.
 CONSISTENT = 0.8
 BLOCK_BYTES = 8_000_000
-#: Diagonals this far from the best one count with it (words put in or left out).
+#: Diagonals this far from the one that is judged count with it (words put in or left out).
 DRIFT = 4
 SLICE_CHARS = 2_000_000
 
@@ -194,24 +194,27 @@ def judge(items: Items, doc: list[bytes], hits: list[tuple[int, int, int, int]])
         by_item[item].append((p, d, length))
     out = []
     for item, own in by_item.items():
-        diagonals: dict[int, int] = defaultdict(int)
-        for p, d, _ in own:
-            diagonals[d - p] += 1
-        best = min(diagonals, key=lambda k: (-diagonals[k], k))
-        pairs: dict[int, int] = {}
-        for p, d, length in sorted(own, key=lambda x: (abs(x[1] - x[0] - best), x)):
-            if abs(d - p - best) <= DRIFT:
+        diagonals: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for p, d, length in own:
+            diagonals[d - p].append((p, d, length))
+        for best in sorted(diagonals, key=lambda k: (-len(diagonals[k]), k)):  # a document may hold an item's form several times
+            near = [x for k in range(best - DRIFT, best + DRIFT + 1) for x in diagonals.get(k, ())]
+            pairs: dict[int, int] = {}
+            for p, d, length in sorted(near, key=lambda x: (abs(x[1] - x[0] - best), x)):
                 for k in range(length):
                     pairs.setdefault(p + k, d + k)
-        covered = sorted(pairs)
-        run = longest = 0
-        for k, p in enumerate(covered):
-            run = run + 1 if k and covered[k - 1] == p - 1 else 1
-            longest = max(longest, run)
-        share = len(covered) / len(items.words[item])
-        total, kept, changed = slots(items.words[item], doc, list(pairs.items()))
-        if (share >= COVERAGE or longest >= RUN) and kept >= CONSISTENT * total:
-            out.append((items.ids[item], min(pairs.values()), len(covered), round(share, 6), total, changed))
+            covered = sorted(pairs)
+            run = longest = 0
+            for k, p in enumerate(covered):
+                run = run + 1 if k and covered[k - 1] == p - 1 else 1
+                longest = max(longest, run)
+            share = len(covered) / len(items.words[item])
+            if share < COVERAGE and longest < RUN:
+                continue
+            total, kept, changed = slots(items.words[item], doc, list(pairs.items()))
+            if kept >= CONSISTENT * total:
+                out.append((items.ids[item], min(pairs.values()), len(covered), round(share, 6), total, changed))
+                break
     return sorted(out)
 
 

@@ -265,6 +265,18 @@ def test_slots_must_agree():
     assert decontaminate.slots(item, doc, [(i, i) for i in range(6)]) == (2, 1, 2)
 
 
+def leaked(item, *docs):
+    return [bool(x) for x in decontaminate.find(decontaminate.Items([(1, item)]), decontaminate.Vocabulary(), list(docs))]
+
+
+def test_every_instance_of_a_form_is_judged():
+    item = "if Anna has 3 apples and Anna buys 3 more then how many apples does Anna have"
+    wrong = "if Bob has 5 apples and Carl buys 8 more then how many apples does Dave have"
+    right = "if Eve has 6 apples and Eve buys 6 more then how many apples does Eve have"
+    far = " something else is told here for a while and then it goes on. "
+    assert leaked(item, wrong, wrong + far + item, wrong + far + right, wrong + far + wrong) == [False, True, True, False]
+
+
 @tables
 def test_every_embedded_item_is_found(spark):
     docs = table(spark, SF_DIR, "documents").select("doc_id", "text").collect()
