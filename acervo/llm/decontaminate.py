@@ -83,7 +83,7 @@ class Vocabulary:
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.rows: list[tuple] = []
-        self.table: np.ndarray | None = None
+        self.table = [np.empty(0, kind) for kind in PROPERTIES]
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         index, rows = self.index, self.rows
@@ -94,20 +94,44 @@ class Vocabulary:
                 text = word.decode("utf-8", "replace")
                 made = [canonical(text, first) for first in (True, False)]
                 hashed = [xxhash.xxh3_64_intdigest(t if c == LITERAL else f"\0{c}") for c, t in made]
-                k = index[word] = len(rows)
+                k = index[word] = len(index)
                 rows.append((hashed[0], hashed[1], made[0][0] == LITERAL, made[1][0] == LITERAL, text.rstrip("\"')]»”").endswith((".", "!", "?", ":"))))
             out[i] = k
+        if rows:
+            self.table = [np.append(old, np.array(new, old.dtype)) for old, new in zip(self.table, zip(*rows, strict=True), strict=True)]
+            rows.clear()
         return out
 
-    def tokens(self, words: list[bytes], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the template tokens, and which are literal; ``starts``: where texts begin."""
+    def readings(self, words: list[bytes], starts: np.ndarray, lines: np.ndarray, opening: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(hashes of the template tokens, which are literal) for each way to take capitals.
+
+        ``starts`` and ``lines``: where texts and their lines begin.  Names are placeholders, with
+        and without a line break as the end of a sentence, and, with ``opening``, with the first
+        word of a text as any other; last, names are words.
+        """
         ids = self.ids(words)
-        h0, h1, l0, l1, ends = (np.array(c, dt) for c, dt in zip(zip(*self.rows, strict=True), (np.uint64, np.uint64, bool, bool, bool), strict=True))
-        first = np.empty(len(ids), bool)
-        first[0] = True
-        first[1:] = ends[ids[:-1]]
-        first[starts[starts < len(ids)]] = True
-        return np.where(first, h0[ids], h1[ids]), np.where(first, l0[ids], l1[ids])
+        h0, h1, l0, l1, ends = self.table
+        within = np.append(False, ends[ids[:-1]])
+        firsts = []
+        for at in (starts, lines, *([starts[:0]] if opening else [])):
+            first = within.copy()
+            first[at[at < len(ids)]] = True
+            if not firsts or not np.array_equal(first, firsts[0]):
+                firsts.append(first)
+        return [*((np.where(f, h0[ids], h1[ids]), np.where(f, l0[ids], l1[ids])) for f in firsts), (h0[ids], l0[ids])]
+
+
+#: Of a word: the hash of its token as the first of a sentence and elsewhere, whether these are literal, whether it ends a sentence.
+PROPERTIES = np.uint64, np.uint64, bool, bool, bool
+
+
+def split_words(text: bytes) -> tuple[list[bytes], list[int]]:
+    """The words, and where lines begin."""
+    words, lines = [], []
+    for line in text.splitlines():
+        lines.append(len(words))
+        words += line.split()
+    return words, lines
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -151,13 +175,12 @@ class Items:
         self.ids, self.words = [], []
         found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for item_id, text in rows:
-            words = (text or "").encode().split()
+            words, lines = split_words((text or "").encode())
             if len(words) < SHORTEST:
                 continue
             length = window_length(len(words))
             own = set()
-            for starts in (np.array([0]), np.arange(len(words))):  # with names as placeholders, and as words, for texts without capitals
-                hashes, literal = vocabulary.tokens(words, starts)
+            for hashes, literal in vocabulary.readings(words, np.array([0]), np.array(lines), opening=True):
                 own.update((int(h), len(self.ids), int(p)) for p, h in zip(*windows(hashes, literal, np.full(len(words), len(words)), length), strict=True))
             found[length] += own
             self.ids.append(item_id)
@@ -236,26 +259,28 @@ def find(items: Items, vocabulary: Vocabulary, texts: list[str]) -> list[list[tu
     for base, part in sliced(texts):
         if len(vocabulary.index) > 300_000:
             vocabulary.clear()
-        split = [t.encode("utf-8", "replace").split() for t in part]
+        split, breaks = zip(*(split_words(t.encode("utf-8", "replace")) for t in part), strict=True)
         lengths = np.array([len(w) for w in split])
         words = [w for own in split for w in own]
         if not words:
             continue
         bounds = np.cumsum(lengths)
-        hashes, literal = vocabulary.tokens(words, bounds - lengths)
+        starts = bounds - lengths
+        lines = np.concatenate([starts, *(s + np.array(at, np.int64) for s, at in zip(starts, breaks, strict=True) if len(at) > 1)])
         ends = np.repeat(bounds, lengths)
-        hits: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
-        for length, (seen, keys, rows) in items.by_length.items():
-            at, rolled = windows(hashes, literal, ends, length)
-            maybe = seen[(rolled >> np.uint64(44)).astype(np.int64)]
-            at, rolled = at[maybe], rolled[maybe]
-            lo, hi = np.searchsorted(keys, rolled, "left"), np.searchsorted(keys, rolled, "right")
-            for a, x, y in zip(at[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
-                k = int(np.searchsorted(bounds, a, "right"))
-                d = int(a - (bounds[k] - lengths[k]))
-                hits[k] += [(int(i), int(p), d, length) for i, p in rows[x:y]]
+        hits: dict[int, set[tuple[int, int, int, int]]] = defaultdict(set)
+        for hashes, literal in vocabulary.readings(words, starts, lines):
+            for length, (seen, keys, rows) in items.by_length.items():
+                at, rolled = windows(hashes, literal, ends, length)
+                maybe = seen[(rolled >> np.uint64(44)).astype(np.int64)]
+                at, rolled = at[maybe], rolled[maybe]
+                lo, hi = np.searchsorted(keys, rolled, "left"), np.searchsorted(keys, rolled, "right")
+                for a, x, y in zip(at[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
+                    k = int(np.searchsorted(bounds, a, "right"))
+                    d = int(a - starts[k])
+                    hits[k].update((int(i), int(p), d, length) for i, p in rows[x:y])
         for k, own in hits.items():
-            out[base + k] = judge(items, split[k], own)
+            out[base + k] = judge(items, split[k], sorted(own))
     return out
 
 

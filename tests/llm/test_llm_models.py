@@ -277,6 +277,15 @@ def test_every_instance_of_a_form_is_judged():
     assert leaked(item, wrong, wrong + far + item, wrong + far + right, wrong + far + wrong) == [False, True, True, False]
 
 
+def test_short_items_are_found_after_headings_and_in_mid_line():
+    for item in ("What is the capital of France?", "Who wrote the play Hamlet", "Which planet is closest to the Sun now?"):
+        docs = f"Quiz\n{item}\nnext", f"Quiz {item} next", f"Some words before, then {item}", f"some words. {item}", item.lower(), item.replace(" ", "\n")
+        assert leaked(item, *docs) == [True] * len(docs), item
+    moved = "Which planet is closest to the Moon now?"
+    assert leaked("Which planet is closest to the Sun now?", f"Quiz\n{moved}", "quiz. another planet is found near the sun") == [True, False]
+    assert leaked("one day we went to see the house of Peter by the sea", "then one day we went to see the house of\nCarla by the sea") == [True]
+
+
 @tables
 def test_every_embedded_item_is_found(spark):
     docs = table(spark, SF_DIR, "documents").select("doc_id", "text").collect()
