@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 8
-#: Literal (not placeholder) tokens that a window needs to count as evidence.
+#: Literal (not placeholder) tokens that a window needs to count as evidence by its template; with fewer, its words must be the same.
 LITERALS = 5
 #: Items with fewer words are no evidence and never match.
 SHORTEST = 4
@@ -95,22 +95,22 @@ class Vocabulary:
                 made = [canonical(text, first) for first in (True, False)]
                 hashed = [xxhash.xxh3_64_intdigest(t if c == LITERAL else f"\0{c}") for c, t in made]
                 k = index[word] = len(index)
-                rows.append((hashed[0], hashed[1], made[0][0] == LITERAL, made[1][0] == LITERAL, text.rstrip("\"')]»”").endswith((".", "!", "?", ":"))))
+                rows.append((hashed[0], hashed[1], made[0][0] == LITERAL, made[1][0] == LITERAL, text.rstrip("\"')]»”").endswith((".", "!", "?", ":")), xxhash.xxh3_64_intdigest(f"\1{made[0][1]}")))
             out[i] = k
         if rows:
             self.table = [np.append(old, np.array(new, old.dtype)) for old, new in zip(self.table, zip(*rows, strict=True), strict=True)]
             rows.clear()
         return out
 
-    def readings(self, words: list[bytes], starts: np.ndarray, lines: np.ndarray, opening: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(hashes of the template tokens, which are literal) for each way to take capitals.
+    def readings(self, words: list[bytes], starts: np.ndarray, lines: np.ndarray, opening: bool = False) -> list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+        """(hashes of the template tokens, which are literal, hashes of the words or None) for each way to take capitals.
 
         ``starts`` and ``lines``: where texts and their lines begin.  Names are placeholders, with
         and without a line break as the end of a sentence, and, with ``opening``, with the first
-        word of a text as any other; last, names are words.
+        word of a text as any other; last, names are words, and this one has the hashes of the words.
         """
         ids = self.ids(words)
-        h0, h1, l0, l1, ends = self.table
+        h0, h1, l0, l1, ends, own = self.table
         within = np.append(False, ends[ids[:-1]])
         firsts = []
         for at in (starts, lines, *([starts[:0]] if opening else [])):
@@ -118,11 +118,11 @@ class Vocabulary:
             first[at[at < len(ids)]] = True
             if not firsts or not np.array_equal(first, firsts[0]):
                 firsts.append(first)
-        return [*((np.where(f, h0[ids], h1[ids]), np.where(f, l0[ids], l1[ids])) for f in firsts), (h0[ids], l0[ids])]
+        return [*((np.where(f, h0[ids], h1[ids]), np.where(f, l0[ids], l1[ids]), None) for f in firsts), (h0[ids], l0[ids], own[ids])]
 
 
-#: Of a word: the hash of its token as the first of a sentence and elsewhere, whether these are literal, whether it ends a sentence.
-PROPERTIES = np.uint64, np.uint64, bool, bool, bool
+#: Of a word: the hash of its token as the first of a sentence and elsewhere, whether these are literal, whether it ends a sentence, and the hash of the word itself.
+PROPERTIES = np.uint64, np.uint64, bool, bool, bool, np.uint64
 
 
 def split_words(text: bytes) -> tuple[list[bytes], list[int]]:
@@ -152,15 +152,27 @@ def rolling(hashes: np.ndarray, length: int) -> np.ndarray:
     return mixed(total)
 
 
-def windows(hashes: np.ndarray, literal: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the windows that stay in their text and have enough literals; ``ends``: end of the text per token."""
+def windows(hashes: np.ndarray, literal: np.ndarray, ends: np.ndarray, length: int, words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the windows that stay in their text and have enough literals; ``ends``: end of the text per token.
+
+    With ``words``, hashes of the words themselves, windows with too few literals have the hash of these.
+    """
     rolled = rolling(hashes, length)
     if not len(rolled):
         return np.empty(0, np.int64), rolled
     count = np.concatenate([[0], np.cumsum(literal)])
-    good = (count[length:] - count[:-length] >= min(LITERALS, length - 1)) & (np.arange(len(rolled)) + length <= ends[: len(rolled)])
-    at = np.flatnonzero(good)
-    return at, rolled[at]
+    enough = count[length:] - count[:-length] >= min(LITERALS, length - 1)
+    inside = np.arange(len(rolled)) + length <= ends[: len(rolled)]
+    at = np.flatnonzero(enough & inside)
+    rolled = rolled[at]
+    if words is not None and len(few := np.flatnonzero(inside & ~enough)):
+        total = np.zeros(len(few), np.uint64)
+        factor = 1
+        for k in range(length):
+            total += words[few + k] * np.uint64(factor)
+            factor = factor * M % 2**64
+        at, rolled = np.concatenate([at, few]), np.concatenate([rolled, mixed(total)])
+    return at, rolled
 
 
 def window_length(words: int) -> int:
@@ -180,8 +192,8 @@ class Items:
                 continue
             length = window_length(len(words))
             own = set()
-            for hashes, literal in vocabulary.readings(words, np.array([0]), np.array(lines), opening=True):
-                own.update((int(h), len(self.ids), int(p)) for p, h in zip(*windows(hashes, literal, np.full(len(words), len(words)), length), strict=True))
+            for hashes, literal, plain in vocabulary.readings(words, np.array([0]), np.array(lines), opening=True):
+                own.update((int(h), len(self.ids), int(p)) for p, h in zip(*windows(hashes, literal, np.full(len(words), len(words)), length, plain), strict=True))
             found[length] += own
             self.ids.append(item_id)
             self.words.append(words)
@@ -269,9 +281,9 @@ def find(items: Items, vocabulary: Vocabulary, texts: list[str]) -> list[list[tu
         lines = np.concatenate([starts, *(s + np.array(at, np.int64) for s, at in zip(starts, breaks, strict=True) if len(at) > 1)])
         ends = np.repeat(bounds, lengths)
         hits: dict[int, set[tuple[int, int, int, int]]] = defaultdict(set)
-        for hashes, literal in vocabulary.readings(words, starts, lines):
+        for hashes, literal, plain in vocabulary.readings(words, starts, lines):
             for length, (seen, keys, rows) in items.by_length.items():
-                at, rolled = windows(hashes, literal, ends, length)
+                at, rolled = windows(hashes, literal, ends, length, plain)
                 maybe = seen[(rolled >> np.uint64(44)).astype(np.int64)]
                 at, rolled = at[maybe], rolled[maybe]
                 lo, hi = np.searchsorted(keys, rolled, "left"), np.searchsorted(keys, rolled, "right")

@@ -286,6 +286,13 @@ def test_short_items_are_found_after_headings_and_in_mid_line():
     assert leaked("one day we went to see the house of Peter by the sea", "then one day we went to see the house of\nCarla by the sea") == [True]
 
 
+def test_dense_numbers_and_names_are_found_verbatim():
+    items = "A) 12 km B) 15 km C) 18 km D) 20 km", "1, 1, 2, 3, 5, 8, 13, 21, 34, 55", "Anna Bob Carl Dora Emil Fred Gina Hans Ida", "1914 1918 1939 1945", "10 20 30 40 50 60"
+    for item in items:
+        assert leaked(item, f"some words and {item} then more", f"Head\n{item}") == [True, True], item
+    assert leaked(items[0], "A) 13 km B) 16 km C) 19 km D) 21 km") == [False] == leaked(items[3], "years 1914 1918 1939 1946 here")
+
+
 @tables
 def test_every_embedded_item_is_found(spark):
     docs = table(spark, SF_DIR, "documents").select("doc_id", "text").collect()
