@@ -60,25 +60,24 @@ WORD_TYPES = [DOCX, "application/msword"]
 EXCEL_TYPES = [XLSX, "application/vnd.ms-excel"]
 
 
-def _type_hits(text: Column, patterns: list[str]) -> Column:
-    """Matched strings, at most three per pattern, stripped."""
-    found = [
-        F.slice(F.regexp_extract_all(text, F.lit(f"(?imU){p}"), F.lit(0)), 1, MATCHES_PER_PATTERN)
-        for p in patterns
-    ]
+def _type_hits(text: Column, patterns: list[str], matches: int | None) -> Column:
+    """Matched strings, at most ``matches`` per pattern, stripped."""
+    found = [F.regexp_extract_all(text, F.lit(f"(?imU){p}"), F.lit(0)) for p in patterns]
+    if matches is not None:
+        found = [F.slice(f, 1, matches) for f in found]
     return F.transform(F.concat(*found), F.trim)
 
 
-def detect_document_type(text: Column | str) -> Column:
-    """struct(doc_type, confidence, indicators) from the first 2000 characters."""
-    sample = F.lower(F.substring(col(text), 1, SAMPLE_CHARS))
+def detect_document_type(text: Column | str, sample_chars: int | None = SAMPLE_CHARS, matches: int | None = MATCHES_PER_PATTERN) -> Column:
+    """struct(doc_type, confidence, indicators) from the first ``sample_chars`` characters and ``matches`` per pattern; None: all."""
+    sample = F.lower(col(text) if sample_chars is None else F.substring(col(text), 1, sample_chars))
     scored = F.array(
         *[
             F.struct(
-                F.size(_type_hits(sample, patterns)).alias("score"),
+                F.size(_type_hits(sample, patterns, matches)).alias("score"),
                 F.lit(-i).alias("precedence"),
                 F.lit(name).alias("doc_type"),
-                _type_hits(sample, patterns).alias("indicators"),
+                _type_hits(sample, patterns, matches).alias("indicators"),
             )
             for i, (name, patterns) in enumerate(TYPE_PATTERNS.items())
         ]

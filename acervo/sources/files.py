@@ -82,11 +82,12 @@ def new_files(files: DataFrame, known: DataFrame) -> DataFrame:
     return once.select(*keys, "_file.*").join(known.select(*keys), keys, "left_anti")
 
 
-def search_texts(texts: DataFrame, query: str) -> DataFrame:
-    """Rows (path, text) with the query in the file stem, else in the first 500 characters; any case."""
+def search_texts(texts: DataFrame, query: str, sample_chars: int | None = SEARCH_CHARS) -> DataFrame:
+    """Rows (path, text) with the query in the file stem, else in the first ``sample_chars`` characters (None: all); any case."""
     wanted = query.lower()
     in_name = F.lower(file_stem("path")).contains(wanted)
-    return texts.filter(in_name | F.lower(F.substring("text", 1, SEARCH_CHARS)).contains(wanted)).select("path")
+    read = F.col("text") if sample_chars is None else F.substring("text", 1, sample_chars)
+    return texts.filter(in_name | F.lower(read).contains(wanted)).select("path")
 
 
 def read_markdown(spark: SparkSession, root: str) -> DataFrame:
@@ -97,8 +98,8 @@ def read_markdown(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(F.regexp_replace(full, "^.*?" + root.rstrip("/") + "/", "").alias("path"), F.col("value").alias("text"))
 
 
-def search_text_files(spark: SparkSession, root: str, query: str) -> DataFrame:
-    return search_texts(read_markdown(spark, root), query)
+def search_text_files(spark: SparkSession, root: str, query: str, sample_chars: int | None = SEARCH_CHARS) -> DataFrame:
+    return search_texts(read_markdown(spark, root), query, sample_chars)
 
 
 def list_text_files(spark: SparkSession, root: str) -> DataFrame:

@@ -91,6 +91,20 @@ def test_at_most_three_matches_per_pattern_count(value):
     assert found["confidence"] == 0.75 and found["indicators"] == ["endpoint"] * 3
 
 
+def test_type_of_the_whole_text(value):
+    text = "x" * 3000 + " endpoint " * 9 + "microservice"
+    assert value(classify.detect_document_type("t"), t=text)["doc_type"] == "standard"
+    found = value(classify.detect_document_type("t", sample_chars=None, matches=None), t=text)
+    assert found["confidence"] == 0.9 and found["indicators"] == ["endpoint"] * 9
+
+
+def test_search_of_the_whole_text(spark):
+    from acervo.sources import files
+
+    rows = spark.createDataFrame([("a/n.md", "x" * 600 + " Late")], "path string, text string")
+    assert files.search_texts(rows, "late").count() == 0 and files.search_texts(rows, "late", sample_chars=None).count() == 1
+
+
 @pytest.mark.parametrize("content,mime,supported", [
     (b"%PDF-1.7 x", "application/pdf", True),
     (b"PK\x03\x04....word/document.xml", classify.DOCX, True),
