@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acervo.llm import decontaminate, fingerprints, mixing, neardup, pii, quality, repeats, toxicity, urls, warc
+from acervo.llm import decontaminate, fingerprints, mixing, neardup, pii, quality, repeats, spelling, toxicity, urls, warc
 from acervo.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,3 +175,47 @@ FROM digested
 """)
 def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derived(warc.responses(table(spark, sf_dir, "pages"))).drop("block")
+
+_CRC = "list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+
+
+@query("op13_spelling_variants", sql=f"""
+WITH runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents
+), counted AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, run, count(*) AS times FROM runs GROUP BY ALL
+), crc AS (
+  SELECT {_CRC} AS t
+), bytes AS (
+  SELECT *, list_concat([4294967295], flatten(list_transform(string_split(id || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [192 + (ord(c) >> 6), 128 + (ord(c) & 63)] END))) AS b
+  FROM counted
+), hashed AS (
+  SELECT run, times, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc
+), words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, sum(times)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(times) >= 3
+), places AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM words
+), cut AS (
+  SELECT DISTINCT word, n, p, substr(word, 1, p - 1) AS head, substr(word, p + 1) AS tail FROM places
+), pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.p = b.p AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.head || a.tail = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.head || a.tail = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, min(ROW(-near_n, near)) AS best FROM pairs GROUP BY word
+), named AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near,
+    CASE WHEN -best[1] >= 2 * w.n THEN best[2] END AS form, CASE WHEN -best[1] >= 2 * w.n THEN (-best[1])::BIGINT END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), chains AS (
+  WITH RECURSIVE c AS (
+    SELECT word, word AS root, form AS following FROM named
+    UNION ALL SELECT c.word, m.word, m.form FROM c JOIN named m ON c.following = m.word
+  ) SELECT word, root FROM c WHERE following IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM named JOIN chains USING (word)
+""")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
