@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acervo.llm import decontaminate, fingerprints, mixing, neardup, pii, quality, repeats, spelling, toxicity, urls, warc
+from acervo.llm import centroids, decontaminate, fingerprints, mixing, neardup, pii, quality, repeats, spelling, toxicity, urls, vectors, warc
 from acervo.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -219,3 +219,53 @@ SELECT word, form, root, n, n_near, form_n FROM named JOIN chains USING (word)
 """)
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def _rounds(rounds: int) -> str:
+    """The assignments a0, a1, … and centroids c1, c2, … of the rounds, one after another."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, any_value(k.v) AS v, min(ROW((list_inner_product(k.v, k.v) - 2 * list_inner_product(k.v, c.v) + list_inner_product(c.v, c.v))::BIGINT, c.c)) AS best
+  FROM kept k, c{r} c GROUP BY vec_id
+)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT c.c, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (
+    SELECT c, list(x ORDER BY d) AS v FROM (
+      SELECT best[2] AS c, d, floor(sum(x) / count(*)) AS x FROM (SELECT best, unnest(v) AS x, unnest(range(64)) AS d FROM a{r}) GROUP BY 1, 2) GROUP BY c) m USING (c)
+)""")
+    return ", ".join(steps)
+
+
+@query("op12_threshold_clusters", sql=f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('2:' || vec_id) AS h, v FROM kept ORDER BY h, v LIMIT 40)
+), {_rounds(5)}
+SELECT vec_id, best[2]::INT AS cluster, best[1] AS distance, (sum(best[1]) OVER (PARTITION BY best[2]))::BIGINT AS cluster_inertia, (sum(best[1]) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(c.v, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM a5 JOIN c5 c ON best[2] = c.c
+""")
+def op12_threshold_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_vector_near_duplicates", sql="""
+WITH RECURSIVE kept AS MATERIALIZED (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM kept a JOIN kept b ON len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+), reached AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+), roots AS (
+  SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM roots
+""")
+def op11_vector_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
