@@ -50,7 +50,7 @@ UNITS = (
 ).split()
 NUMBER = re.compile(r"[$€£]?[+-]?[0-9][0-9.,:/]*(?:%|st|nd|rd|th|[a-z]{1,3})?$", re.IGNORECASE)
 NAME = re.compile(r"[^\W\d_][^\W\d_]*(?:['’-][^\W\d_]+)*$")
-EDGES = re.compile(r"^[^\w$€£%+-]+|[^\w%]+$")
+BEFORE, AFTER = re.compile(r"[^\w$€£%+-]*"), re.compile(r"[^\w%]*")
 NUM, NAMED, UNIT, LITERAL = 1, 2, 3, 0
 M = 0x9E3779B97F4A7C15 | 1
 
@@ -60,7 +60,8 @@ def canonical(word: str, first: bool) -> tuple[int, str]:
 
     ``first``: the word opens a sentence, so that a capital does not make it a name.
     """
-    core = EDGES.sub("", word)
+    core = word[BEFORE.match(word).end():]
+    core = core[:len(core) - AFTER.match(core[::-1]).end()]  # from the end: in linear time for long runs of marks too
     low = core.lower()
     if NUMBER.match(core) or low in NUMBER_SET:
         return NUM, low

@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -300,3 +301,11 @@ def test_every_embedded_item_is_found(spark):
     want = {(d["doc_id"], b["item_id"]) for d in docs for b in bench if b["text"] in (d["text"] or "")}
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(table(spark, SF_DIR, "documents"), table(spark, SF_DIR, "benchmark")).collect()}
     assert want and got == want
+
+
+def test_long_runs_of_marks_take_linear_time():
+    started = time.time()
+    assert decontaminate.canonical("a" + "-" * 1_000_000 + "b", True)[1] == "a" + "-" * 1_000_000 + "b"
+    assert decontaminate.canonical("(" * 500_000 + "Kilo" + "." * 500_000, False) == (decontaminate.NAMED, "kilo")
+    assert decontaminate.canonical("+" * 500_000, False)[1] == ""
+    assert time.time() - started < 5
