@@ -129,6 +129,14 @@ _BASE32 = f"""'sha1:' || array_to_string(list_transform(range(32), lambda i: sub
 _UUID = "'<urn:uuid:' || substr(@, 1, 8) || '-' || substr(@, 9, 4) || '-' || substr(@, 13, 4) || '-' || substr(@, 17, 4) || '-' || substr(@, 21, 12) || '>'"
 
 
+_HREF = warc.HREF.replace("'", "''")
+
+
+def _one_line(text: str) -> str:
+    """DuckDB expression of warc.one_line."""
+    return f"replace(replace({text}, chr(13), '%0D'), chr(10), '%0A')"
+
+
 def _unescaped(text: str) -> str:
     """DuckDB expression of warc.unescaped."""
     code = "chr(CASE WHEN (c > 0 AND c < 55296) OR (c > 57343 AND c <= 1114111) THEN c ELSE 65533 END)"
@@ -148,33 +156,33 @@ WITH source AS (
 ), response AS (
   SELECT page_id, url, payload, {_BASE32.replace('@', 'h')} AS source_digest, {_UUID.replace('@', 'm')} AS refers_to FROM named
 ), texts AS (
-  SELECT *, regexp_replace(regexp_replace(payload, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', '', 'g'),
-    '(?i)</?(?:{warc.BLOCKS})(?:[\\s/][^>]*)?>', chr(10), 'g') AS lined,
-    regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title', 1) AS titled FROM response
+  SELECT *, regexp_replace(regexp_replace(payload, '{warc.HIDDEN}', '', 'g'),
+    '(?i)</?(?:{warc.BLOCKS})(?:[\\s/][^<>]*)?>', chr(10), 'g') AS lined,
+    regexp_extract(payload, '{warc.TITLE}', 1) AS titled FROM response
 ), blocks AS (
   SELECT page_id, url, source_digest, refers_to, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
     array_to_string(list_concat(
       ['source-payload-digest: ' || source_digest, 'source-payload-length: ' || strlen(payload), 'title: ' || trim(regexp_replace({_unescaped('titled')}, '[\\s]+', ' ', 'g')),
        'source-header: HTTP/1.1 200 OK', 'source-header: Content-Type: text/html; charset=utf-8', 'source-header: Content-Length: ' || strlen(payload)],
-      list_transform(regexp_extract_all(payload, '(?i)href\\s*=\\s*"([^"\\r\\n]*)"', 1), lambda y: 'outlink: ' || {_unescaped('y')})), chr(13) || chr(10)) || chr(13) || chr(10) AS block
+      list_transform(regexp_extract_all(payload, '{_HREF}', 1), lambda y: 'outlink: ' || {_one_line(_unescaped("regexp_replace(y, '^[" + chr(34) + "'']|[" + chr(34) + "'']$', '', 'g')"))})), chr(13) || chr(10)) || chr(13) || chr(10) AS block
   FROM texts
   UNION ALL
   SELECT page_id, url, source_digest, refers_to, 'conversion', 'text/plain; charset=utf-8',
-    regexp_replace(regexp_replace(regexp_replace({_unescaped("regexp_replace(lined, '<[^>]*>', '', 'g')")}, '[ \\t\\f\\r]+', ' ', 'g'), ' ?(?:\\n ?)+', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')
+    regexp_replace(regexp_replace(regexp_replace({_unescaped("regexp_replace(lined, '<[^<>]*>', '', 'g')")}, '[ \\t\\f\\r]+', ' ', 'g'), '[ \\n]*\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')
   FROM texts
 ), hashed AS (
   SELECT *, md5(warc_type || ' ' || refers_to) AS m, sha1(block) AS h FROM blocks
 ), digested AS (
   SELECT *, {_UUID.replace('@', 'm')} AS record_id, {_BASE32.replace('@', 'h')} AS block_digest, strlen(block)::BIGINT AS content_length FROM hashed
 )
-SELECT page_id, warc_type, record_id, refers_to, url AS target_uri, content_length, block_digest, source_digest,
+SELECT page_id, warc_type, record_id, refers_to, url AS target_uri, content_length, block_digest, source_digest, block,
   concat_ws(chr(13) || chr(10), 'WARC/1.1', 'WARC-Type: ' || warc_type, 'WARC-Record-ID: ' || record_id, 'WARC-Refers-To: ' || refers_to,
-    'WARC-Target-URI: ' || url, 'WARC-Date: 2024-01-01T00:00:00Z', 'WARC-Block-Digest: ' || block_digest,
+    'WARC-Target-URI: ' || {_one_line('url')}, 'WARC-Date: 2024-01-01T00:00:00Z', 'WARC-Block-Digest: ' || block_digest,
     'Content-Type: ' || content_type, 'Content-Length: ' || content_length) AS header
 FROM digested
 """)
 def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derived(warc.responses(table(spark, sf_dir, "pages"))).drop("block")
+    return warc.derived(warc.responses(table(spark, sf_dir, "pages")))
 
 _CRC = "list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
 

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import pytest
 import xxhash
 
 from acervo.llm import urls, warc
@@ -135,3 +136,49 @@ def test_warc_round_trip(spark, tmp_path):
     assert "source-payload-digest: sha1:" + base64.b32encode(hashlib.sha1(html.encode()).digest()).decode() in meta
     assert sum("WARC-Target-URI" not in h for h, _ in found) == 2
     assert warc.derived(source.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("html", ["<br>" * 100_000 + "x", "<" * 1_000_000 + "x", "<script>" * 60_000, "<p " * 200_000, "<title>" * 100_000, "<!--" * 100_000, "href=" * 100_000, " \n" * 300_000 + "x"])
+def test_long_runs_take_linear_time(spark, html):
+    rows = warc.derived(warc.responses(spark.createDataFrame([(1, "http://a.b/", html)], "page_id long, url string, html string"))).collect()
+    assert {r["warc_type"] for r in rows} == {"metadata", "conversion"}
+    assert html[-1] != "x" or rows[[r["warc_type"] for r in rows].index("conversion")]["block"].endswith("x")
+
+
+def test_quotes_of_outlinks_and_line_breaks_in_values(spark):
+    html = """<a href="a&amp;b"><a href='c d'><a HREF = e><a href=f><a href="g&#10;WARC-Type: response"><a href=''>"""
+    url = "http://a.b/\r\nWARC-Type: response"
+    rows = {r["warc_type"]: r for r in warc.derived(warc.responses(spark.createDataFrame([(1, url, html)], "page_id long, url string, html string"))).collect()}
+    links = [line[9:] for line in rows["metadata"]["block"].split("\r\n") if line.startswith("outlink: ")]
+    assert links == ["a&b", "c d", "e", "f", "g%0AWARC-Type: response", ""]
+    assert [line for line in rows["conversion"]["header"].splitlines() if line.startswith("WARC-Type")] == ["WARC-Type: conversion"]
+    assert "WARC-Target-URI: http://a.b/%0D%0AWARC-Type: response" in rows["conversion"]["header"].split("\r\n")
+
+
+def test_files_are_read_back(spark, tmp_path):
+    html = "<title>é</title>" + "<p>word</p>" * 200_000
+    source = warc.responses(spark.createDataFrame([(1, "http://a.b/", html), (2, None, ""), (3, "http://c.d/", "x\r\n\r\ny")], "page_id long, url string, html string"))
+    records = warc.derived(source).cache()
+    warc.write_warc(records, str(tmp_path / "out"))
+    got = {r["record_id"]: r for r in warc.read_warc(spark, str(tmp_path / "out")).collect()}
+    want = {r["record_id"]: r for r in records.collect()}
+    assert got.keys() == want.keys()
+    for key, r in want.items():
+        assert (got[key]["warc_type"], got[key]["refers_to"], got[key]["target_uri"], bytes(got[key]["block"]).decode()) == (r["warc_type"], r["refers_to"], r["target_uri"], r["block"])
+        assert got[key]["headers"]["content-length"] == str(r["content_length"])
+
+    def record(payload, number):
+        block = b"HTTP/1.1 200 OK\r\nServer: t\r\n\r\n" + payload
+        head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:{number}>\r\nWARC-Target-URI: http://h/{number}\r\nWARC-Date: 2024-02-03T04:05:06Z\r\nContent-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    (tmp_path / "in").mkdir()
+    payloads = ["<p>eins</p>", "", "<p>z\r\n\r\nwei</p>" * 50_000]
+    data = [record(p.encode(), i) for i, p in enumerate(payloads)]
+    (tmp_path / "in" / "a.warc.gz").write_bytes(b"".join(gzip.compress(d) for d in data))  # a member per record
+    (tmp_path / "in" / "b.warc").write_bytes(b"".join(data)[:-300_000])  # cut off
+    read = warc.read_responses(spark, str(tmp_path / "in")).collect()
+    assert sorted(r["payload"] for r in read if r["record_id"] != "<urn:2>") == ["", "", "<p>eins</p>", "<p>eins</p>"]
+    assert sorted(len(r["payload"]) for r in read if r["record_id"] == "<urn:2>")[1] == len(payloads[2])
+    derived = warc.derived(warc.read_responses(spark, str(tmp_path / "in" / "a.warc.gz"))).where("warc_type = 'metadata'").collect()
+    assert all("source-header: Server: t" in r["block"] for r in derived)
