@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acervo.functions.vectors import cosine
+from acervo.operators.cells import build_cells, knn_cells, wide_enough, width_recall
 from acervo.operators.evaluate import evaluate_retrieval
 from acervo.operators.fusion import first_occurrence, hybrid_search, multi_query_union, rrf_fuse, union_counts
 from acervo.operators.hierarchy import hierarchical_search
@@ -98,6 +99,37 @@ def knn_all(spark, sf):
     return knn(vector_queries(spark, sf), vectors(spark, sf), 10).withColumn("distance", F.round("distance", 6))
 
 
+@query("knn_cells_exact", f"WITH {VECTOR_CTE}, {knn_cte('k', 'vq', 'vd', 10)} SELECT query_id, doc_id, round(distance, 6) AS distance, rank FROM k")
+def knn_by_cells(spark, sf):
+    """J4 by the cell index, with the cells that the triangle inequality does not rule out."""
+    index = build_cells(vectors(spark, sf))
+    return knn_cells(vector_queries(spark, sf), index, 10, 8, exact=True).withColumn("distance", F.round("distance", 6))
+
+
+@query(
+    "knn_cells_filtered",
+    f"WITH {VECTOR_CTE}, {knn_cte('k', 'vq', 'vd', 5, 'q.label = d.label')} SELECT query_id, doc_id, rank FROM k",
+)
+def knn_by_cells_in_label(spark, sf):
+    """J4 with F1 by the cell index, written and read back."""
+    path = scratch_path(spark, "cell-index")
+    index = build_cells(vectors(spark, sf), keep=("label",), path=path)
+    asked = vector_queries(spark, sf).withColumn("filters", F.create_map(F.lit("label"), F.col("label").cast("string")))
+    return knn_cells(asked, index, 5, 4, filters="filters", filter_columns=("label",), exact=True).select("query_id", "doc_id", "rank")
+
+
+@query("knn_cells_recall")
+def knn_cells_recall(spark, sf):
+    """Recall at 10 of the cell index, over every vector as a query, at the width that a sample of queries asks for."""
+    index = build_cells(vectors(spark, sf))
+    width = wide_enough(width_recall(index, 10))
+    asked = vector_queries(spark, sf)
+    true = knn(asked, vectors(spark, sf), 10).select("query_id", "doc_id")
+    found = knn_cells(asked, index, 10, width).select("query_id", "doc_id", F.lit(1).alias("hit"))
+    share = true.join(found, ["query_id", "doc_id"], "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))
+    return share.withColumn("width", F.lit(width)).withColumn("cells", F.lit(index.cells.count()))
+
+
 @query(
     "knn_scored",
     f"WITH {VECTOR_CTE}, {knn_cte('k', 'vq', 'vd', 5)} SELECT query_id, doc_id, round(1.0 / (1.0 + distance), 4) AS score, rank FROM k",

@@ -16,6 +16,7 @@ from acervo.operators.models import candidate_budget, rerank
 from acervo.operators.parents import link_parents, parents_of_hits
 from acervo.operators.ranking import rank_in_list
 from acervo.operators.routing import centroids, semantic_route
+from acervo.operators import cells
 from acervo.operators.vector import knn, knn_scored
 
 TEXTS = [
@@ -124,6 +125,47 @@ def test_knn_matches_brute_force_in_one_or_many_blocks(spark, block):
     assert ranked(knn(asked, docs.repartition(5), 6, block=block)) == brute(rows[:40], rows, 6)
 
 
+@pytest.mark.parametrize("metric", ["l2sq", "cosine"])
+def test_cells_exact_equals_knn_with_parts_and_filters(spark, monkeypatch, metric):
+    monkeypatch.setattr(cells, "PART", 40)  # a cell with a third of all vectors in many parts
+    monkeypatch.setattr(cells, "QUERY_PART", 15)
+    docs, _ = vectors(spark, 300, copies=100)
+    docs = docs.union(spark.createDataFrame([(500, [0.0] * docs.first()["embedding"].__len__(), "g1"), (501, None, "g2")], docs.schema))
+    asked = docs.select(F.col("doc_id").alias("query_id"), "embedding", F.create_map(
+        F.lit("grp"), F.when(F.col("doc_id") % 2 == 0, F.col("grp")).otherwise("")).alias("f"))
+    index = cells.build_cells(docs, 12, keep=("grp",), metric=metric)
+    assert index.vectors.count() == 301
+    options = {"filters": "f", "filter_columns": ("grp",)}
+    found = cells.knn_cells(asked, index, 6, 2, exact=True, **options)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, knn(asked, docs, 6, metric=metric, **options).collect()))
+
+
+def test_cells_stored_and_recall_at_the_width_of_a_sample(spark, tmp_path):
+    docs, _ = vectors(spark, 600)
+    asked = docs.select(F.col("doc_id").alias("query_id"), "embedding")
+    cells.build_cells(docs, path=str(tmp_path / "index"))
+    index = cells.load_cells(spark, str(tmp_path / "index"))
+    recalls = cells.width_recall(index, 10)
+    width = cells.wide_enough(recalls)
+    assert 1 <= width < index.cells.count()
+    assert recalls.agg(F.max("recall")).first()[0] == 1.0
+    hits = {r[:2] for r in map(tuple, cells.knn_cells(asked, index, 10, width).collect())}
+    true = {r[:2] for r in map(tuple, knn(asked, docs, 10).collect())}
+    assert len(hits & true) >= 0.9 * len(true)
+
+
+def test_cells_of_an_empty_table(spark):
+    docs, _ = vectors(spark, 9)
+    asked = docs.select(F.col("doc_id").alias("query_id"), "embedding")
+    index = cells.build_cells(docs.limit(0))
+    assert cells.knn_cells(asked, index, 3, 2).count() == 0
+    assert cells.knn_cells(asked, index, 3, 2, exact=True).count() == 0
+    assert cells.wide_enough(cells.width_recall(index, 3)) == 1
+    assert cells.knn_cells(asked.limit(0), cells.build_cells(docs), 3, 2).count() == 0
+    with pytest.raises(ValueError):
+        cells.build_cells(docs, cells.MOST_CELLS + 1)
+
+
 def test_knn_without_queries_or_vectors(spark):
     docs, _ = vectors(spark, 9)
     asked = docs.select(F.col("doc_id").alias("query_id"), "embedding", F.create_map(F.lit("grp"), F.col("grp")).alias("f"))
