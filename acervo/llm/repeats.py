@@ -31,8 +31,8 @@ from acervo.session import written
 
 WINDOW = 50
 BLOCK = WINDOW // 2
-#: Words in a task's slice, and words (of the table) per hash bucket.
-SLICE_WORDS, BUCKET_WORDS = 500_000, 700_000
+#: Words in a task's slice, words (of the table) per bucket, and buckets at least.
+SLICE_WORDS, BUCKET_WORDS, BUCKETS = 500_000, 700_000, 13
 A, B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -352,11 +352,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     each other; a row without doc_id is compared with nothing; an empty table gives an
     empty result.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = prime_from(max(least, size // 6 // BUCKET_WORDS))
+    # by the words alone: a bucket of hashes sends a row to each bucket of documents that it has hits in
+    buckets = prime_from(max(BUCKETS, size // 6 // BUCKET_WORDS))
     known = rows.where("doc_id is not null")
     hits = written(anchor_hits(anchors(known, buckets), buckets).select("bucket", "ids", "at"), "repeat-hits")
     placed_docs = known.withColumn("bucket", F.pmod("doc_id", F.lit(buckets)).cast("int"))
