@@ -12,7 +12,7 @@ from acervo.operators.evaluate import json_report, rag_scores
 from acervo.plans.answer import answer_batch, corrective_loop, plan_queries
 from acervo.plans.ingest import augment_and_index, ingest
 from acervo.session import scratch_path
-from acervo.sources import files, tables
+from acervo.sources import files, store, tables
 from entry_queries.inputs import (
     LINES_CTE, LOGS_CTE, MEMORY_SQL, VECTOR_CTE, knn_cte, P, PAGES_CTE, REF_TS, SESSIONS_CTE, SHEET_COLUMNS, SHEET_CTE,
     both_queries, documents, line_chunks, memory_operations, messages, now, page_rows, query_logs,
@@ -322,6 +322,43 @@ def sources(spark, sf):
     return tables.list_sources(documents(spark, sf).select(F.when(F.col("doc_id") % 13 > 0, F.col("source")).alias("source")))
 
 
+@query(
+    "store_changes",
+    """WITH piece AS (
+        SELECT doc_id, c AS chunk_index, substr(text, 400 * c + 1, 400) AS text FROM documents, LATERAL (SELECT unnest(range((length(text) + 399) // 400)) AS c)
+        WHERE doc_id % 7 <> 0 AND (doc_id % 3 <> 0 OR c < (length(text) + 799) // 800))
+      SELECT doc_id, chunk_index, md5(CASE WHEN doc_id % 5 = 1 AND chunk_index = 0 THEN 'new' ELSE text END) AS text FROM piece""",
+)
+def stored_changes(spark, sf):
+    """Chunks of all documents; a third get shorter, some are deleted, some first chunks rewritten, one batch after another."""
+    path = scratch_path(spark, "store")
+    docs = documents(spark, sf).select("doc_id", "text")
+    cut = lambda df, share: df.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.ceil(F.length("text") / (400 * share)) - 1)).alias("chunk_index")).where(
+        "length(text) > 0").select("doc_id", "chunk_index", F.substring("text", F.col("chunk_index").cast("int") * 400 + 1, F.lit(400)).alias("text"))
+    store.create_store(cut(docs, 1), path, key=["doc_id", "chunk_index"], owner=["doc_id"], buckets=16)
+    store.add_changes(cut(docs.where("doc_id % 3 = 0"), 2), path, 0, whole_owner=True)
+    store.add_changes(cut(docs.where("doc_id % 7 = 0"), 1).withColumn("gone", F.lit(True)), path, 1, deleted="gone")
+    store.compact_store(spark, path)
+    firsts = store.read_store(spark, path).where("doc_id % 5 = 1 and chunk_index = 0")
+    store.add_changes(firsts.withColumn("text", F.lit("new")), path, 2)
+    return store.read_store(spark, path).withColumn("text", F.md5("text"))
+
+
+@query(
+    "store_partial",
+    """SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'renamed' ELSE c_name END AS title, c_nationkey AS owner FROM customer WHERE c_custkey % 9 <> 0""",
+)
+def stored_partial(spark, sf):
+    """Titles set by key, other columns kept; D3, D5: rows deleted; each merge rewrites its buckets only."""
+    path = scratch_path(spark, "store")
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.col("c_nationkey").alias("owner"))
+    store.create_store(rows, path, key=["id"], owner=["id"], buckets=8)
+    store.merge_store(rows.where("id % 4 = 0").select("id", F.lit("renamed").alias("title")), path)
+    store.merge_store(rows.where("id % 9 = 0").select("id", F.lit(True).alias("gone")), path, deleted="gone")
+    store.vacuum_store(spark, path)
+    return store.read_store(spark, path)
+
+
 @query("deindex_document", "SELECT l_orderkey AS document_id, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def deindexed(spark, sf):
     """D5."""
