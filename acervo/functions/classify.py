@@ -68,20 +68,18 @@ def _type_hits(text: Column, patterns: list[str], matches: int | None) -> Column
     return F.transform(F.concat(*found), F.trim)
 
 
+def _scored(hits: Column, name: str, precedence: int) -> Column:
+    """struct(score, precedence, doc_type, indicators); transform over a one-element array binds the hits once."""
+    return F.transform(
+        F.array(hits),
+        lambda h: F.struct(F.size(h).alias("score"), F.lit(precedence).alias("precedence"), F.lit(name).alias("doc_type"), h.alias("indicators")),
+    )[0]
+
+
 def detect_document_type(text: Column | str, sample_chars: int | None = SAMPLE_CHARS, matches: int | None = MATCHES_PER_PATTERN) -> Column:
     """struct(doc_type, confidence, indicators) from the first ``sample_chars`` characters and ``matches`` per pattern; None: all."""
     sample = F.lower(col(text) if sample_chars is None else F.substring(col(text), 1, sample_chars))
-    scored = F.array(
-        *[
-            F.struct(
-                F.size(_type_hits(sample, patterns, matches)).alias("score"),
-                F.lit(-i).alias("precedence"),
-                F.lit(name).alias("doc_type"),
-                _type_hits(sample, patterns, matches).alias("indicators"),
-            )
-            for i, (name, patterns) in enumerate(TYPE_PATTERNS.items())
-        ]
-    )
+    scored = F.array(*[_scored(_type_hits(sample, patterns, matches), name, -i) for i, (name, patterns) in enumerate(TYPE_PATTERNS.items())])
     # transform over a one-element array binds the scored list once
     result = F.transform(
         F.array(scored),

@@ -107,10 +107,16 @@ bq AS (SELECT item_id AS query_id, b.text, e.embedding FROM benchmark b JOIN emb
 """
 
 
+def _with_vector(rows: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
+    """Every row of ``rows`` (doc_id, …) with one of the vectors: numbers beyond the last vector begin again at the first."""
+    given = vectors(spark, sf).withColumnRenamed("doc_id", "vec_id")
+    return rows.withColumn("vec_id", F.col("doc_id") % given.agg(F.count("*")).scalar()).join(given, "vec_id").drop("vec_id")
+
+
 def vector_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors as chunks of the documents of the same number."""
+    """All documents as chunks with a vector."""
     docs = table(spark, sf, "documents").select("doc_id", "source", "text")
-    return vectors(spark, sf).join(docs, "doc_id").select(
+    return _with_vector(docs, spark, sf).select(
         "doc_id", "embedding", "source",
         F.floor(F.col("doc_id") / 20).alias("chunk_index"),
         "text",
@@ -120,9 +126,8 @@ def vector_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def summary_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Labelled vectors as summaries: some know their article, some only their page, some neither."""
-    labels = table(spark, sf, "labels")
-    return vectors(spark, sf).join(labels, "doc_id").select(
+    """All labelled documents as summaries with a vector: some know their article, some only their page, some neither."""
+    return _with_vector(table(spark, sf, "labels"), spark, sf).select(
         "doc_id", "embedding",
         F.when(F.col("quality") == 1, F.col("label").cast("string")).otherwise("").alias("article_number"),
         F.when(F.col("doc_id") % 3 > 0, (F.col("doc_id") % 7).cast("string")).otherwise("").alias("page"),
@@ -130,13 +135,13 @@ def summary_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CHUNK_CTE = """
-vc AS (SELECT e.vec_id AS doc_id, e.embedding, d.source, d.doc_id // 20 AS chunk_index, d.text,
-              e.label::VARCHAR AS article_number, (e.vec_id % 7)::VARCHAR AS page
-       FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id),
-vs AS (SELECT e.vec_id AS doc_id, e.embedding,
+vc AS (SELECT d.doc_id, e.embedding, d.source, d.doc_id // 20 AS chunk_index, d.text,
+              e.label::VARCHAR AS article_number, (d.doc_id % 7)::VARCHAR AS page
+       FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id % (SELECT count(*) FROM embeddings)),
+vs AS (SELECT l.doc_id, e.embedding,
               CASE WHEN quality = 1 THEN e.label::VARCHAR ELSE '' END AS article_number,
-              CASE WHEN e.vec_id % 3 > 0 THEN (e.vec_id % 7)::VARCHAR ELSE '' END AS page
-       FROM embeddings e JOIN labels l ON e.vec_id = l.doc_id)
+              CASE WHEN l.doc_id % 3 > 0 THEN (l.doc_id % 7)::VARCHAR ELSE '' END AS page
+       FROM labels l JOIN embeddings e ON e.vec_id = l.doc_id % (SELECT count(*) FROM embeddings))
 """
 
 

@@ -256,14 +256,14 @@ _TYPED_SQL = "(CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TYPE
 
 def _type_sql() -> str:
     scores = ", ".join(
-        "(" + " + ".join(f"least(3, len(regexp_extract_all(s, '{p}')))" for p in patterns) + f") AS {name}"
+        "(" + " + ".join(f"len(regexp_extract_all(s, '{p}'))" for p in patterns) + f") AS {name}"
         for name, patterns in classify.TYPE_PATTERNS.items()
     )
     names = list(classify.TYPE_PATTERNS)
     best = f"greatest({', '.join(names)})"
     cases = " ".join(f"WHEN {n} = {best} THEN '{n}'" for n in names)
     return (
-        f"WITH s AS (SELECT doc_id, lower(substring({_TYPED_SQL}, 1, 2000)) AS s FROM documents), c AS (SELECT doc_id, {scores} FROM s) "
+        f"WITH s AS (SELECT doc_id, lower({_TYPED_SQL}) AS s FROM documents), c AS (SELECT doc_id, {scores} FROM s) "
         f"SELECT doc_id, CASE WHEN {best} = 0 THEN 'standard' {cases} END AS doc_type, "
         f"CASE WHEN {best} = 0 THEN 0.0 ELSE round({best} / ({' + '.join(names)}), 4) END AS confidence FROM c"
     )
@@ -271,8 +271,8 @@ def _type_sql() -> str:
 
 @query("detect_document_type", _type_sql())
 def document_type(spark, sf):
-    """P8."""
-    rows = documents(spark, sf).select("doc_id", classify.detect_document_type(_typed_text()).alias("t"))
+    """P8 over whole texts, all matches counted."""
+    rows = documents(spark, sf).select("doc_id", classify.detect_document_type(_typed_text(), None, None).alias("t"))
     return rows.select("doc_id", "t.doc_type", "t.confidence")
 
 
