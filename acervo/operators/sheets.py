@@ -1,8 +1,8 @@
 """Spreadsheet rows to text chunks.
 
 Sheets are tables of string cells: (sheet, row_no, cells…).  A sheet may be of any
-length: positions are counted in slots of row numbers and put together from the sums of
-the slots before, so no window holds more than a slot of a sheet.
+length: positions are counted in steps of its row numbers and put together from the sums
+of the steps before, so no window holds a whole long sheet.
 """
 
 from __future__ import annotations
@@ -14,19 +14,36 @@ from acervo.functions.metadata import extract_metadata
 from acervo.functions.text import blank, trim_ws
 
 ROWS_PER_CHUNK, SHEET_STRIDE, HEADER_COLUMNS = 20, 1000, 10  # fixed values
-SLOT = 4096  # consecutive row numbers that are counted together
+SLOT = 65_536  # rows that are counted together
+
+
+def _slots(rows: DataFrame, keys: list[str], name: str, slot: int) -> DataFrame:
+    """Adds ``name``: equal steps of row numbers, so wide that one of them holds about ``slot`` rows of its key if these are spread evenly."""
+    span = rows.groupBy(*keys).agg(F.min("row_no").cast("long").alias("_low"), F.max("row_no").cast("long").alias("_high"), F.count("*").alias("_rows"))
+    step = F.greatest(F.ceil((F.col("_high") - F.col("_low") + 1) / F.ceil(F.col("_rows") / slot)), F.lit(1))
+    steps = span.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_low", step.alias("_step"))
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    at = F.floor((F.col("row_no").cast("long") - F.col("_low")) / F.col("_step"))
+    return rows.join(steps, same, "left").withColumn(name, F.coalesce(at, F.lit(-1))).drop("_low", "_step", *[f"_of_{k}" for k in keys])
 
 
 def positions(rows: DataFrame, slot: int = SLOT) -> DataFrame:
-    """Adds ``position`` (1-based per sheet, by row_no) and ``sheet_rows``."""
-    placed = rows.withColumn("_slot", F.floor(F.col("row_no") / slot))
-    counts = placed.groupBy("sheet", "_slot").agg(F.count("*").alias("_n"))
+    """Adds ``position`` (1-based per sheet, by row_no) and ``sheet_rows``.
+
+    The steps follow each sheet's own numbers, however sparse; a step that gathers many rows
+    of an unevenly numbered sheet is cut once more by its own numbers.
+    """
+    placed = _slots(_slots(rows, ["sheet"], "_slot", slot), ["sheet", "_slot"], "_cut", slot)
+    counts = placed.groupBy("sheet", "_slot", "_cut").agg(F.count("*").alias("_n"))
     sheet = Window.partitionBy("sheet")
-    before = F.sum("_n").over(sheet.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(F.col("sheet").alias("_sheet"), F.col("_slot").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(sheet).alias("sheet_rows"))
-    inside = F.row_number().over(Window.partitionBy("sheet", "_slot").orderBy("row_no"))
-    joined = placed.withColumn("_inside", inside).join(offsets, F.col("sheet").eqNullSafe(F.col("_sheet")) & F.col("_slot").eqNullSafe(F.col("_of")))
-    return joined.withColumn("position", (F.col("_before") + F.col("_inside")).cast("int")).drop("_slot", "_of", "_sheet", "_before", "_inside")
+    before = F.sum("_n").over(sheet.orderBy("_slot", "_cut").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(
+        F.col("sheet").alias("_sheet"), F.col("_slot").alias("_s"), F.col("_cut").alias("_c"),
+        F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(sheet).alias("sheet_rows"))
+    inside = F.row_number().over(Window.partitionBy("sheet", "_slot", "_cut").orderBy("row_no"))
+    joined = placed.withColumn("_inside", inside).join(
+        offsets, F.col("sheet").eqNullSafe(F.col("_sheet")) & (F.col("_slot") == F.col("_s")) & (F.col("_cut") == F.col("_c")))
+    return joined.withColumn("position", (F.col("_before") + F.col("_inside")).cast("int")).drop("_slot", "_cut", "_sheet", "_s", "_c", "_before", "_inside")
 
 
 def read_sheet(rows: DataFrame, columns: list[str], *, sheet: str = "sheet", row_no: str = "row_no",

@@ -1,5 +1,6 @@
 """Nothing is lost: documents that share a source, long sheets and documents, zero vectors, repeated changes."""
 
+import random
 import zipfile
 from io import BytesIO
 
@@ -126,3 +127,15 @@ def test_sync_replaces_a_session(spark):
     memory = spark.createDataFrame([("s", "k", "old", 1), ("s", "x", "gone", 2), ("t", "k", "stays", 1)], schema)
     got = sessions.sync_memory(memory, spark.createDataFrame([("s", "k", "new", 3), ("s", "k", "newer", 4)], schema))
     assert sorted(tuple(r) for r in got.collect()) == [("s", "k", "newer", 4), ("t", "k", "stays", 1)]
+
+
+@pytest.mark.parametrize("slot", [5, 64])
+def test_positions_of_sparse_and_uneven_row_numbers(spark, slot):
+    rng = random.Random(slot)
+    numbers = {"dense": range(200), "sparse": [i * 10**12 for i in range(150)], "uneven": [*range(120), 10**15, *range(10**9, 10**9 + 60)], "one": [7], None: [3, 1]}
+    rows = [(sheet, n) for sheet, own in numbers.items() for n in own]
+    rng.shuffle(rows)
+    got = sheets.positions(spark.createDataFrame([*rows, ("dense", None)], "sheet string, row_no long"), slot).collect()
+    for sheet, own in numbers.items():
+        order = sorted(own) if sheet != "dense" else [None, *own]
+        assert {(r["row_no"], r["position"], r["sheet_rows"]) for r in got if r["sheet"] == sheet} == {(n, i, len(order)) for i, n in enumerate(order, 1)}
