@@ -60,8 +60,10 @@ def canonical(word: str, first: bool) -> tuple[int, str]:
 
     ``first``: the word opens a sentence, so that a capital does not make it a name.
     """
-    core = word[BEFORE.match(word).end():]
-    core = core[:len(core) - AFTER.match(core[::-1]).end()]  # from the end: in linear time for long runs of marks too
+    core = word
+    if not word.isalnum():
+        core = word[BEFORE.match(word).end():]
+        core = core[:len(core) - AFTER.match(core[::-1]).end()]  # from the end: in linear time for long runs of marks too
     low = core.lower()
     if NUMBER.match(core) or low in NUMBER_SET:
         return NUM, low
