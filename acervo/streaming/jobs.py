@@ -109,6 +109,19 @@ def session_memory_stream(operations: DataFrame) -> DataFrame:
     )
 
 
+def session_memory_updates(operations: DataFrame) -> DataFrame:
+    """Memory operations → the newest value of each (session, key), and of each session the newest clear (update mode).
+
+    A clear is kept under the key null.  The state is one entry per session and key, so a batch rewrites
+    the entries it changes and nothing else; copies of a key combine before the shuffle, and no
+    row passes through Python.  Write it with ``write_updates``; ``memory_from_changes`` reads it.
+    """
+    cleared = F.col("op") == "clear"
+    rows = operations.select("session_id", F.when(~cleared, F.col("key")).alias("key"), F.struct("seq", F.when(~cleared, F.col("value")).alias("value")).alias("_last"), cleared.alias("cleared"))
+    last = rows.groupBy("session_id", "key", "cleared").agg(F.max("_last").alias("_last"))
+    return last.select(F.col("session_id").cast("string").alias("session_id"), "key", F.col("_last.value").alias("value"), F.col("_last.seq").cast("long").alias("seq"), "cleared")
+
+
 def memory_from_changes(changes: DataFrame) -> DataFrame:
     """Changes written by the stream → the keys that are set now."""
     clears = changes.filter("cleared").groupBy("session_id").agg(F.max("seq").alias("_clear"))
@@ -147,21 +160,24 @@ def compaction_stream(messages: DataFrame, *, keep: int = KEEP_LAST, threshold:
     """One event each time a session passes the threshold: the messages that leave for the summary.
 
     State per session: seq and length of the messages still held, which the
-    compaction itself keeps short.
+    compaction itself keeps short; their sum runs along.
     """
 
     def apply(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seqs, sizes = state.get if state.exists else ([], [])
         held = list(zip(seqs, sizes))
+        total = sum(sizes)
         events = []
         arrived = sorted(
-            (int(s), len(c)) for rows in batches for s, c in zip(rows["seq"], rows["content"])
+            (int(s), len(c or "")) for rows in batches for s, c in zip(rows["seq"], rows["content"])
         )
         for message in arrived:
             held.append(message)
-            tokens = sum(size for _, size in held) // CHARS_PER_TOKEN
+            total += message[1]
+            tokens = total // CHARS_PER_TOKEN
             if tokens > threshold and len(held) > keep:
                 gone, held = held[:-keep], held[-keep:]
+                total = sum(size for _, size in held)
                 events.append((str(key[0]), message[0], tokens, [s for s, _ in gone]))
         state.update(([s for s, _ in held], [n for _, n in held]))
         yield pd.DataFrame(events, columns=["session_id", "seq", "estimated_tokens", "removed"])

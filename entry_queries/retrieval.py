@@ -10,6 +10,7 @@ from acervo.operators.cells import build_cells, knn_cells, wide_enough, width_re
 from acervo.operators.evaluate import evaluate_retrieval
 from acervo.operators.fusion import first_occurrence, hybrid_search, multi_query_union, rrf_fuse, union_counts
 from acervo.operators.hierarchy import hierarchical_search
+from acervo.operators.impact import build_impacts, impact_search
 from acervo.operators.lexical import (
     bm25_search, build_index, corpus_stats, load_index, save_index, stringly_filter, term_stats,
 )
@@ -68,6 +69,25 @@ def bm25_own_filters(spark, sf):
     return bm25_search(asked, index, 5, pattern=P, filters="filters", filter_columns=("lang",))
 
 
+@query("bm25_impact", f"WITH {BM25_CTE}, {bm25_ranked_cte('b', 10)} SELECT query_id, doc_id, score, rank FROM b")
+def bm25_by_impact(spark, sf):
+    """J6, S12 by blocks of like impact: blocks that cannot reach the tenth score are not read."""
+    return impact_search(text_queries(spark, sf), build_impacts(documents(spark, sf), pattern=P), 10, pattern=P)
+
+
+@query(
+    "bm25_impact_filtered",
+    f"""WITH {BM25_CTE}, {bm25_ranked_cte('b', 5, where="(['', 'en', 'es', 'fr'][query_id % 4 + 1] = '' OR lang = ['', 'en', 'es', 'fr'][query_id % 4 + 1])")}
+    SELECT query_id, doc_id, score, rank FROM b""",
+)
+def bm25_by_impact_filtered(spark, sf):
+    """J6 with F2 by impact, from a stored index."""
+    index = build_impacts(documents(spark, sf), pattern=P, keep=("lang",), path=scratch_path(spark, "impacts"))
+    lang = F.element_at(F.array(*map(F.lit, ("", "en", "es", "fr"))), (F.col("query_id") % 4 + 1).cast("int"))
+    asked = text_queries(spark, sf).withColumn("filters", F.create_map(F.lit("lang"), lang))
+    return impact_search(asked, index, 5, pattern=P, filters="filters", filter_columns=("lang",))
+
+
 @query("bm25_term_stats", f"WITH {BM25_CTE} SELECT term, df, ctf, round(idf, 6) AS idf FROM idf")
 def bm25_terms(spark, sf):
     """Document frequency and idf of every term."""

@@ -29,6 +29,15 @@ def memory(spark, sf):
     return jobs.memory_from_changes(spark.read.schema(jobs.MEMORY_OUTPUT).parquet(out))
 
 
+@query("session_memory_updates", MEMORY_SQL)
+def memory_updates(spark, sf):
+    """ST2 in update mode: one state entry per session and key."""
+    out, checkpoint = _paths(spark, "memory-updates")
+    changes = jobs.session_memory_updates(operations_of(_stream(spark, sf, "events")))
+    jobs.write_updates(changes, out, checkpoint).awaitTermination()
+    return jobs.memory_from_changes(spark.read.schema(jobs.MEMORY_OUTPUT).parquet(f"{out}/*"))
+
+
 @query(
     "session_counters_stream",
     "SELECT user_id AS session_id, count(*) FILTER (event_type = 'click') AS total_messages, sum(event_id % 3)::BIGINT AS total_documents FROM events GROUP BY 1",
@@ -59,7 +68,20 @@ def rolling(spark, sf):
     return report.withColumn("day", F.date_format("window_start", "yyyy-MM-dd")).drop("window_start", "window_end")
 
 
-@query("context_compaction")
+@query(
+    "context_compaction",
+    """WITH RECURSIVE m AS (
+        SELECT conv_id AS s, turn, length(coalesce(text, '')) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(coalesce(text, ''))) AS i FROM conversations
+      ), r AS (
+        SELECT DISTINCT conv_id AS s, 0::BIGINT AS i, 0::BIGINT AS seq, 0::BIGINT AS tokens, []::BIGINT[] AS seqs, []::BIGINT[] AS sizes, NULL::BIGINT[] AS removed FROM conversations
+        UNION ALL
+        SELECT s, i, seq, tokens, CASE WHEN passed THEN held[len(held) - 3:] ELSE held END, CASE WHEN passed THEN lengths[len(held) - 3:] ELSE lengths END,
+          CASE WHEN passed THEN held[:len(held) - 4] END
+        FROM (SELECT *, tokens > 500 AND len(held) > 4 AS passed FROM (SELECT *, list_sum(lengths)::BIGINT // 4 AS tokens FROM (
+          SELECT m.s, m.i, m.turn AS seq, list_append(r.seqs, m.turn) AS held, list_append(r.sizes, m.n) AS lengths FROM r JOIN m ON m.s = r.s AND m.i = r.i + 1)))
+      )
+      SELECT s AS session_id, seq, tokens AS estimated_tokens, array_to_string(removed, ',') AS removed FROM r WHERE removed IS NOT NULL""",
+)
 def compaction(spark, sf):
     """ST5: an event each time a session passes 500 tokens with more than four messages."""
     out, checkpoint = _paths(spark, "compaction")

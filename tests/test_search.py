@@ -16,7 +16,7 @@ from acervo.operators.models import candidate_budget, rerank
 from acervo.operators.parents import link_parents, parents_of_hits
 from acervo.operators.ranking import rank_in_list
 from acervo.operators.routing import centroids, semantic_route
-from acervo.operators import cells
+from acervo.operators import cells, impact
 from acervo.operators.vector import knn, knn_scored
 
 TEXTS = [
@@ -71,6 +71,34 @@ def test_bm25_matches_brute_force(spark):
     assert {(r["query_id"], r["doc_id"], r["score"], r["rank"]) for r in hits} == python_bm25(QUERIES, TEXTS, 4)
 
 
+def test_impact_search_matches_brute_force(spark):
+    index = impact.build_impacts(frame(spark, TEXTS, "doc_id"))
+    hits = impact.impact_search(frame(spark, QUERIES, "query_id"), index, 4).collect()
+    assert {(r["query_id"], r["doc_id"], r["score"], r["rank"]) for r in hits} == python_bm25(QUERIES, TEXTS, 4)
+    assert impact.impact_search(frame(spark, ["el de la", ""], "query_id"), index, 4).count() == 0
+    empty = impact.build_impacts(frame(spark, TEXTS, "doc_id").limit(0))
+    assert impact.impact_search(frame(spark, QUERIES, "query_id"), empty, 4).count() == 0
+
+
+@pytest.mark.parametrize(("seed", "k"), [(1, 3), (2, 10)])
+def test_impact_search_skips_blocks_and_loses_nothing(spark, monkeypatch, seed, k, tmp_path):
+    monkeypatch.setattr(impact, "BLOCK", 6)
+    monkeypatch.setattr(impact, "LEAD", 15)
+    rng = np.random.default_rng(seed)
+    words = [f"palabra{i}" for i in range(60)]
+    share = 1 / np.arange(1, 61)
+    texts = [" ".join(rng.choice(words, rng.integers(0, 40), p=share / share.sum())) for _ in range(150)] + ["palabra1 palabra1 palabra50"] * 12
+    queries = [" ".join(rng.choice(words, rng.integers(1, 9))) for _ in range(25)]
+    docs = frame(spark, texts, "doc_id").withColumn("grp", (F.col("doc_id") % 3).cast("string"))
+    index = impact.build_impacts(docs, keep=("grp",), path=str(tmp_path / "index"))
+    found = impact.impact_search(frame(spark, queries, "query_id"), index, k).collect()
+    assert {(r["query_id"], r["doc_id"], r["score"], r["rank"]) for r in found} == python_bm25(queries, texts, k)
+    asked = frame(spark, queries, "query_id").withColumn("f", F.create_map(F.lit("grp"), F.when(F.col("query_id") % 2 == 0, "1").otherwise("")))
+    plain = lexical.bm25_search(asked, lexical.build_index(docs, keep=("grp",)), k, filters="f", filter_columns=("grp",))
+    same = impact.impact_search(asked, index, k, filters="f", filter_columns=("grp",))
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_query_without_tokens_has_no_hits(spark):
     index = lexical.build_index(frame(spark, TEXTS, "doc_id"))
     assert lexical.bm25_search(frame(spark, ["el de la", ""], "query_id"), index, 4).count() == 0

@@ -275,6 +275,21 @@ def test_compaction_events(spark, tmp_path):
     assert [(r["session_id"], r["seq"], r["removed"]) for r in rows] == [("1", 5, [0, 1, 2]), ("1", 8, [3, 4, 5]), ("1", 11, [6, 7, 8])]
 
 
+def test_memory_updates_over_five_batches_equal_the_batch_result(spark, tmp_path):
+    source, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+    schema = "session_id string, op string, key string, value string, seq bigint"
+    rows = [(f"s{i % 3}", "clear" if i % 17 == 5 else "save", None if i % 17 == 5 else f"k{i % 4}", None if i % 11 == 0 else f"v{i}", i) for i in range(100)]
+    rows[20:60] = reversed(rows[20:60])  # late operations
+    for part in range(5):
+        spark.createDataFrame(rows[part::5] if part % 2 else rows[part::5][::-1], schema).coalesce(1).write.mode("append").parquet(source)
+    changes = jobs.session_memory_updates(jobs.file_stream(spark, schema, source, per_trigger=1))
+    jobs.write_updates(changes, out, checkpoint).awaitTermination()
+    assert spark.read.parquet(f"{out}/*").select("batch_id").distinct().count() == 5
+    streamed = jobs.memory_from_changes(spark.read.schema(jobs.MEMORY_OUTPUT).parquet(f"{out}/*"))
+    batch = se.session_memory(spark.createDataFrame(rows, schema))
+    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.select(streamed.columns).collect()))
+
+
 def test_plugged_models(spark):
     import numpy as np
 
