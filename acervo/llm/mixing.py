@@ -83,8 +83,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
 
 
 def mixed_rows(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with ``epoch`` and ``words`` to use of that copy."""
+    """The mix itself: each document as often as it is taken, with ``epoch`` and ``words`` to use of that copy.
+
+    ``plan`` is what ``mix`` gives for ``docs``.  Rows that share an id, or have none, meet the plan's rows one by
+    one: by id, size and their number among equal ones.
+    """
     copies = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
-    cut = plan.where("taken > 0").select("doc_id", "size", "taken", F.explode(copies).alias("epoch"))
-    words = F.least(F.col("size"), F.col("taken") - (F.col("epoch") - 1) * F.col("size")).alias("words")
-    return docs.join(cut.select("doc_id", "epoch", words), "doc_id")
+    alike = Window.partitionBy("doc_id", "size")
+    numbered = plan.select(F.col("doc_id"), "size", "taken").withColumn("_nth", F.row_number().over(alike.orderBy("taken")))
+    cut = numbered.where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("_nth").alias("_of"), "taken", F.explode(copies).alias("epoch"))
+    words = F.least(F.col("_size"), F.col("taken") - (F.col("epoch") - 1) * F.col("_size")).alias("words")
+    given = docs.select(F.struct("*").alias("_row"), "doc_id", word_count(text_or_empty()).alias("size"), F.xxhash64("source", "text").alias("_tie"))
+    given = given.withColumn("_nth", F.row_number().over(alike.orderBy("_tie")))
+    met = given.join(cut, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size")) & (F.col("_nth") == F.col("_of")))
+    return met.select("_row.*", "epoch", words)

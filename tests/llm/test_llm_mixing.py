@@ -71,3 +71,14 @@ def test_rows_of_the_mix(spark):
 
 def test_empty_table(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
+
+
+def test_copies_of_equal_rows_and_rows_without_id(spark):
+    rows = [(1, "a", "x y z"), (1, "a", "x y z"), (None, "a", "p q"), (None, "b", "p q"), (2, "b", "")]
+    docs = spark.createDataFrame([(*r, "kept") for r in rows], "doc_id long, source string, text string, size string")
+    plan = mixing.mix(docs)
+    copies = mixing.mixed_rows(docs, plan).collect()
+    assert sum(r["words"] for r in copies) == sum(r["taken"] for r in plan.collect())
+    first = sorted((r["doc_id"] or 0, r["source"], r["text"]) for r in copies if r["epoch"] == 1)
+    taken = sorted((r["doc_id"] or 0) for r in plan.where("taken > 0").collect())
+    assert [f[0] for f in first] == taken and all(r["size"] == "kept" for r in copies)
