@@ -58,9 +58,7 @@ def run_strategy(
     if strategy == "hierarchical":
         return hierarchical_search(queries, corpus.summaries, corpus.chunks, k_chunks=k, **own)
     if strategy == "parent_child":
-        if filters:
-            raise ValueError("parent_child takes no filters")
-        found = parent_child_search(queries, corpus.chunks, corpus.parents, k)
+        found = parent_child_search(queries, corpus.chunks, corpus.parents, k, **own)
         return found.select("query_id", F.col("parent_id").alias("doc_id"), "rank")
     hybrid = hybrid_search(queries, k, vectors=corpus.chunks, index=corpus.index, pattern=corpus.pattern, **own).select(columns)
     if strategy == "hybrid":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,3 +128,56 @@ def append_table(df: DataFrame, root: str, table: str) -> None:
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[table] + (", day date" if table in DAILY else "")).parquet(f"{root}/{table}")
+
+
+# Unique columns besides the id, and references (table, column, table referred to, what its deletion does).
+UNIQUE: dict[str, list[list[str]]] = {
+    "documents": [["session_id", "file_hash"]], "chunks": [["chroma_id"]], "user_profiles": [["user_identifier"]], "session_memory": [["session_id", "key"]],
+}
+REFERENCES = [
+    ("messages", "session_id", "sessions", "cascade"), ("documents", "session_id", "sessions", "set null"), ("chunks", "document_id", "documents", "cascade"),
+    ("query_logs", "session_id", "sessions", "set null"), ("query_logs", "message_id", "messages", "set null"),
+    ("reflection_logs", "session_id", "sessions", "set null"), ("reflection_logs", "message_id", "messages", "set null"),
+    ("session_memory", "session_id", "sessions", "cascade"),
+]
+
+
+def key_violations(spark: SparkSession, root: str) -> DataFrame:
+    """(table_name, constraint, violations): surplus rows of unique keys, rows that refer to nothing, over all tables of ``root``.
+
+    Nulls violate nothing, as in a database.  Keys and references are counted before they meet, so one
+    key with a third of all rows is one row in the shuffle.
+    """
+    found = []
+    for table in SCHEMAS:
+        for key in [["id"], *UNIQUE.get(table, [])]:
+            sizes = read_table(spark, root, table).select(*key).dropna().groupBy(*key).agg(F.count("*").alias("n"))
+            found.append(sizes.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations")).select(
+                F.lit(table).alias("table_name"), F.lit(f"unique {', '.join(key)}").alias("constraint"), "violations"))
+    for table, column, parent, _ in REFERENCES:
+        uses = read_table(spark, root, table).where(F.col(column).isNotNull()).groupBy(F.col(column).alias("id")).agg(F.count("*").alias("n"))
+        orphans = uses.join(read_table(spark, root, parent).select("id"), "id", "left_anti")
+        found.append(orphans.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations")).select(
+            F.lit(table).alias("table_name"), F.lit(f"{column} in {parent}").alias("constraint"), "violations"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def delete_rows(spark: SparkSession, root: str, table: str, ids: DataFrame) -> dict[str, DataFrame]:
+    """The tables as they are after rows of ``table`` (ids: id) have been deleted: rows that refer to them go or lose the reference."""
+    gone = ids.select("id").distinct()
+    after = {table: read_table(spark, root, table).join(gone, "id", "left_anti")}
+    pending = [(table, gone)]
+    while pending:  # the references have no cycle: at most as many steps as references
+        parent, lost = pending.pop(0)
+        for child, column, of, rule in REFERENCES:
+            if of != parent:
+                continue
+            rows = after[child] if child in after else read_table(spark, root, child)
+            keyed = lost.select(F.col("id").alias(column))
+            if rule == "cascade":
+                pending.append((child, rows.join(keyed, column, "left_semi").select("id")))
+                after[child] = rows.join(keyed, column, "left_anti").select(rows.columns)
+            else:
+                marked = rows.join(keyed.withColumn("_gone", F.lit(True)), column, "left")
+                after[child] = marked.withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).select(rows.columns)
+    return after

@@ -587,6 +587,57 @@ def strategies(spark, sf):
     return evaluate_strategies(asked, _corpus(spark, sf), relevant, ["vector", "bm25", "hybrid"])
 
 
+def _family(spark, sf) -> Corpus:
+    """The corpus with parents: the sources of the chunks; every ninth chunk has none."""
+    chunks = vector_chunks(spark, sf).withColumn("parent_id", F.when(F.col("doc_id") % 9 > 0, F.col("source")))
+    return Corpus(chunks, index_of(spark, sf), summary_vectors(spark, sf), _parts_as_parents(spark, sf), pattern=P)
+
+
+_PARENT_CTE = """
+named AS (SELECT v.query_id, rank, CASE WHEN doc_id % 9 > 0 THEN source END AS parent_id FROM {hits} v JOIN vc USING (doc_id)),
+family AS (SELECT query_id, parent_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS rank FROM named WHERE parent_id IS NOT NULL GROUP BY 1, 2)
+"""
+
+
+@query(
+    "evaluate_all_strategies",
+    f"""WITH {BM25_CTE}, {bm25_ranked_cte('b', 30)}, vq AS (SELECT item_id AS query_id, b.text, e.embedding FROM benchmark b JOIN embeddings e ON item_id = vec_id),
+      {CHUNK_CTE}, {knn_cte('v', 'vq', 'vc', 30)}, {_RRF.format(k=10)}, {hier_cte(10)}, {_PARENT_CTE.format(hits='v')},
+      words AS (SELECT query_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n, regexp_matches(text, '\\d+\\.\\d+') AS dotted FROM vq),
+      twice AS (SELECT query_id, doc_id, rank, 0 AS l FROM hybrid UNION ALL SELECT query_id, doc_id, rank, 1 FROM hier),
+      once AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY min(l * 1000 + rank)) AS rank FROM twice GROUP BY 1, 2),
+      hits AS (SELECT 'vector' AS strategy, query_id, doc_id::VARCHAR AS doc_id, rank FROM v WHERE rank <= 10 UNION ALL SELECT 'bm25', query_id, doc_id::VARCHAR, rank FROM b WHERE rank <= 10
+               UNION ALL SELECT 'hybrid', query_id, doc_id::VARCHAR, rank FROM hybrid UNION ALL SELECT 'hierarchical', query_id, doc_id::VARCHAR, rank FROM hier WHERE rank <= 10
+               UNION ALL SELECT 'full', query_id, doc_id::VARCHAR, rank FROM once WHERE rank <= 10 UNION ALL SELECT 'parent_child', query_id, doc_id, rank FROM family WHERE rank <= 10
+               UNION ALL SELECT 'auto', query_id, doc_id::VARCHAR, rank FROM once JOIN words USING (query_id) WHERE NOT dotted AND n >= 20 AND rank <= 10
+               UNION ALL SELECT 'auto', query_id, doc_id::VARCHAR, rank FROM hybrid JOIN words USING (query_id) WHERE dotted OR n < 20),
+      f AS (SELECT strategy, query_id, min(rank) AS first FROM hits WHERE right(doc_id, 1)::INT % 3 = query_id % 3 GROUP BY 1, 2),
+      d AS (SELECT strategy, query_id, count(*) AS docs FROM hits GROUP BY 1, 2),
+      e AS (SELECT s.strategy, q.query_id, first, coalesce(docs, 0) AS docs FROM (SELECT DISTINCT strategy FROM hits) s CROSS JOIN vq q
+            LEFT JOIN f ON f.strategy = s.strategy AND f.query_id = q.query_id LEFT JOIN d ON d.strategy = s.strategy AND d.query_id = q.query_id)
+      SELECT strategy, count(*) AS total_queries, round(count(first) / count(*), 4) AS hit_rate,
+             round(sum(coalesce(1.0 / first, 0)) / count(*), 4) AS mrr, round(sum(docs) / count(*), 1) AS mean_docs_returned FROM e GROUP BY strategy""",
+)
+def all_strategies(spark, sf):
+    """All seven strategies; relevant is what ends in a digit that leaves the query's remainder by three."""
+    digit = F.substring(F.col("doc_id").cast("string"), -1, 1).cast("int")
+    relevant = lambda hits: hits.filter(digit % 3 == F.col("query_id") % 3).select("query_id", "doc_id")
+    return evaluate_strategies(both_queries(spark, sf), _family(spark, sf), relevant, ["vector", "bm25", "hybrid", "hierarchical", "full", "parent_child", "auto"])
+
+
+@query(
+    "search_parent_child_filtered",
+    f"""WITH {VECTOR_CTE}, {CHUNK_CTE}, {knn_cte('v', 'bq', 'vc', 15, "(q.query_id % 2 = 1 OR d.page = (q.query_id % 7)::VARCHAR)")}, {_PARENT_CTE.format(hits='v')}
+      SELECT query_id, doc_id, rank FROM family WHERE rank <= 5""",
+)
+def parent_child_filtered(spark, sf):
+    """Parents of the nearest children on the page that every second query asks for."""
+    page = F.when(F.col("query_id") % 2 == 0, (F.col("query_id") % 7).cast("string")).otherwise("")
+    asked = both_queries(spark, sf).withColumn("filters", F.create_map(F.lit("page"), page))
+    found = search(asked, _family(spark, sf), "parent_child", k=5, filters="filters", filter_columns=("page",))
+    return found.select("query_id", "doc_id", "rank")
+
+
 # ── Jobs and tools ────────────────────────────────────────────────────────────
 
 @query(

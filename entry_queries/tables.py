@@ -129,6 +129,91 @@ def relational(spark, sf):
     return stored.groupBy("session_id").agg(F.count("*").alias("n"), F.min("iteration_count").alias("first"))
 
 
+def _eight_tables(spark, sf, root):
+    text = lambda *names: F.concat_ws("-", *[F.col(n).cast("string") for n in names])
+    events = table(spark, sf, "events")
+    rows = {
+        "sessions": table(spark, sf, "customer").select(text("c_custkey").alias("id"), F.col("c_mktsegment").alias("user_identifier"), F.col("c_name").alias("title")),
+        "messages": messages(spark, sf).select(text("session_id", "seq").alias("id"), text("session_id").alias("session_id"), "role", "content", now().alias("created_at")),
+        "documents": documents(spark, sf).select(text("doc_id").alias("id"), (F.col("doc_id") % 200).cast("string").alias("session_id"), F.col("source").alias("filename"), F.md5("text").alias("file_hash")),
+        "chunks": table(spark, sf, "lineitem").select(text("l_orderkey", "l_linenumber", "l_partkey").alias("id"), text("l_orderkey").alias("document_id"), text("l_partkey", "l_suppkey").alias("chroma_id"), F.col("l_linenumber").alias("chunk_index")),
+        "query_logs": events.select(text("event_id").alias("id"), text("user_id").alias("session_id"), F.concat((F.col("event_id") % 50).cast("string"), F.lit("-0")).alias("message_id"), F.col("ts").alias("created_at")),
+        "reflection_logs": events.where("event_type = 'error'").select(text("event_id").alias("id"), text("user_id").alias("session_id"), F.lit(None).cast("string").alias("message_id"), F.col("ts").alias("created_at")),
+        "user_profiles": table(spark, sf, "supplier").select(text("s_suppkey").alias("id"), text("s_nationkey").alias("user_identifier"), F.col("s_name").alias("preferred_profile")),
+        "session_memory": table(spark, sf, "part").select(text("p_partkey").alias("id"), text("p_size").alias("session_id"), F.col("p_brand").alias("key"), F.col("p_name").alias("value")),
+    }
+    for name, df in rows.items():
+        tables.append_table(df, root, name)
+
+
+_EIGHT_CTE = """
+sessions AS (SELECT c_custkey::VARCHAR AS id FROM customer),
+messages AS (SELECT conv_id || '-' || turn AS id, conv_id::VARCHAR AS session_id FROM conversations),
+docs AS (SELECT doc_id::VARCHAR AS id, (doc_id % 200)::VARCHAR AS session_id, md5(text) AS file_hash FROM documents),
+chunks AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS id, l_orderkey::VARCHAR AS document_id, l_partkey || '-' || l_suppkey AS chroma_id FROM lineitem),
+query_logs AS (SELECT event_id::VARCHAR AS id, user_id::VARCHAR AS session_id, event_id % 50 || '-0' AS message_id FROM events),
+reflection_logs AS (SELECT event_id::VARCHAR AS id, user_id::VARCHAR AS session_id, NULL::VARCHAR AS message_id FROM events WHERE event_type = 'error'),
+profiles AS (SELECT s_suppkey::VARCHAR AS id, s_nationkey::VARCHAR AS user_identifier FROM supplier),
+memory AS (SELECT p_partkey::VARCHAR AS id, p_size::VARCHAR AS session_id, p_brand AS key FROM part)
+"""
+_AT = {"documents": "docs", "user_profiles": "profiles", "session_memory": "memory"}
+
+
+def _violations_sql() -> str:
+    parts = []
+    for name in tables.SCHEMAS:
+        for key in [["id"], *tables.UNIQUE.get(name, [])]:
+            known = " AND ".join(f"{c} IS NOT NULL" for c in key)
+            parts.append(f"SELECT '{name}' AS table_name, 'unique {', '.join(key)}' AS \"constraint\", (count(*) - count(DISTINCT ({', '.join(key)},)))::BIGINT AS violations FROM {_AT.get(name, name)} WHERE {known}")
+    for name, column, parent, _ in tables.REFERENCES:
+        parts.append(f"SELECT '{name}', '{column} in {parent}', count(*) FROM {_AT.get(name, name)} WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT id FROM {_AT.get(parent, parent)})")
+    return f"WITH {_EIGHT_CTE} " + " UNION ALL ".join(parts)
+
+
+@query("relational_keys", _violations_sql())
+def relational_keys(spark, sf):
+    """All eight tables written, read back and held against their keys and references."""
+    root = scratch_path(spark, "eight")
+    _eight_tables(spark, sf, root)
+    return tables.key_violations(spark, root)
+
+
+@query(
+    "relational_delete",
+    f"""WITH {_EIGHT_CTE}, gone AS (SELECT id FROM sessions WHERE id::BIGINT % 4 = 1), lost AS (SELECT id FROM messages WHERE session_id IN (SELECT id FROM gone))
+      SELECT 'sessions' AS table_name, count(*) AS n, 0::BIGINT AS unlinked FROM sessions WHERE id NOT IN (SELECT id FROM gone)
+      UNION ALL SELECT 'messages', count(*), 0 FROM messages WHERE session_id NOT IN (SELECT id FROM gone)
+      UNION ALL SELECT 'documents', count(*), count(*) FILTER (session_id IN (SELECT id FROM gone)) FROM docs
+      UNION ALL SELECT 'query_logs', count(*), count(*) FILTER (session_id IN (SELECT id FROM gone)) FROM query_logs
+      UNION ALL SELECT 'reflection_logs', count(*), count(*) FILTER (session_id IN (SELECT id FROM gone)) FROM reflection_logs
+      UNION ALL SELECT 'session_memory', count(*), 0 FROM memory WHERE session_id NOT IN (SELECT id FROM gone)""",
+)
+def relational_delete(spark, sf):
+    """A quarter of the sessions deleted with what refers to them."""
+    root = scratch_path(spark, "eight")
+    _eight_tables(spark, sf, root)
+    gone = tables.read_table(spark, root, "sessions").where("cast(id as bigint) % 4 = 1")
+    after = tables.delete_rows(spark, root, "sessions", gone)
+    out = None
+    for name, rows in after.items():
+        unlinked = F.count_if(F.col("session_id").isNull()) if "session_id" in rows.columns else F.lit(0)
+        part = rows.agg(F.count("*").alias("n"), unlinked.cast("long").alias("unlinked")).select(F.lit(name).alias("table_name"), "n", "unlinked")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    "count_chunks_and_messages",
+    """SELECT 'document' AS kind, l_orderkey AS key, count(*) AS n FROM lineitem GROUP BY 2
+      UNION ALL SELECT 'session', conv_id, count(*) FROM conversations GROUP BY 2""",
+)
+def counted_parts(spark, sf):
+    """A4: chunks of each document, messages of each session."""
+    chunks = logs.count_by(table(spark, sf, "lineitem"), "l_orderkey").select(F.lit("document").alias("kind"), F.col("l_orderkey").alias("key"), "n")
+    turns = logs.count_by(messages(spark, sf), "session_id").select(F.lit("session").alias("kind"), F.col("session_id").alias("key"), "n")
+    return chunks.unionByName(turns)
+
+
 # ── Sheets ────────────────────────────────────────────────────────────────────
 
 _SHEET_KEYS = ["sheet", "row_no"]

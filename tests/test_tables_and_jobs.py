@@ -299,3 +299,24 @@ def test_plugged_models(spark):
     assert [tuple(r) for r in rows.select(vec("a"), F.round(pair("a", "b"), 3)).collect()] == [([2.0, 1.0], 0.667), ([1.0, 1.0], 1.0)]
     size = rows.select(models.hashed_embedding("b", 16).alias("e")).first()["e"]
     assert len(size) == 16 and abs(sum(x * x for x in size) - 1.0) < 1e-6
+
+
+def test_keys_and_deletes_over_the_relational_tables(spark, tmp_path):
+    root = str(tmp_path / "tables")
+    given = {
+        "sessions": [("1",), ("2",), ("2",)], "messages": [("m1", "1"), ("m2", "2"), ("m3", None)], "documents": [("d1", "1"), ("d2", "9")],
+        "chunks": [("c1", "d1"), ("c2", "d2"), ("c3", "none")], "query_logs": [("q1", "1", "m1"), ("q2", "2", "m1"), ("q3", None, "m9")],
+        "reflection_logs": [], "user_profiles": [], "session_memory": [("s1", "1", "k"), ("s2", "1", "k"), ("s3", "2", None), ("s4", "2", None)],
+    }
+    columns = {"messages": "id, session_id", "documents": "id, session_id", "chunks": "id, document_id", "query_logs": "id, session_id, message_id", "session_memory": "id, session_id, key"}
+    for name, rows in given.items():
+        ddl = ", ".join(f"{c} string" for c in columns.get(name, "id").split(", "))
+        tables.append_table(spark.createDataFrame(rows, ddl).withColumn("created_at", F.lit(DAY)), root, name)
+    found = {(r["table_name"], r["constraint"]): r["violations"] for r in tables.key_violations(spark, root).collect() if r["violations"]}
+    assert found == {("sessions", "unique id"): 1, ("documents", "session_id in sessions"): 1, ("chunks", "document_id in documents"): 1,
+                     ("query_logs", "message_id in messages"): 1, ("session_memory", "unique session_id, key"): 1}
+    after = tables.delete_rows(spark, root, "sessions", spark.createDataFrame([("1",), ("77",)], "id string"))
+    ids = {name: sorted(r["id"] for r in rows.collect()) for name, rows in after.items()}
+    assert ids == {"sessions": ["2", "2"], "messages": ["m2", "m3"], "documents": ["d1", "d2"], "query_logs": ["q1", "q2", "q3"], "reflection_logs": [], "session_memory": ["s3", "s4"]}
+    logs_after = {r["id"]: (r["session_id"], r["message_id"]) for r in after["query_logs"].collect()}
+    assert logs_after == {"q1": (None, None), "q2": ("2", None), "q3": (None, "m9")}
