@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,14 +86,49 @@ def corrective_loop(
     return rows, found
 
 
-def answer_batch(queries: DataFrame, documents: DataFrame, fn: TextFunction) -> DataFrame:
+def answer_until_valid(
+    queries: DataFrame,
+    search: Callable[[DataFrame], DataFrame],
+    fn: TextFunction,
+    rewrite: Callable[[DataFrame], DataFrame],
+    *,
+    max_iterations: int = MAX_RETRIES,
+    k: int | None = None,
+) -> DataFrame:
+    """(query_id, answer, mode, n_docs, sources, score, feedback, iteration_count): answers whose reflection says so are final.
+
+    ``queries`` has (query_id, text, score, …).  ``search`` maps queries to ranked hits as
+    ``answer_batch`` takes them; ``rewrite`` gets the queries whose answer is to be retried, with the
+    ``feedback`` of the reflection, and returns them with a new text.  The last round
+    takes the draft with a note.  Rounds are checkpointed: each prompt reaches the model once, and
+    only queries still open are searched and answered again.
+    """
+    columns = queries.columns
+    open_rows = cut_lineage(queries)
+    done = []
+    for iteration in range(max_iterations + 1):
+        asked = open_rows.withColumn("iteration", F.lit(iteration)).withColumn("max_iterations", F.lit(max_iterations))
+        answers = cut_lineage(answer_batch(asked, search(open_rows), fn, k=k))
+        final = answers.filter(F.col("reflection.route") == "END")
+        done.append(final.select(
+            "query_id", F.col("reflection.final_answer").alias("answer"), "mode", "n_docs", "sources",
+            F.col("reflection.score").alias("score"), F.col("reflection.feedback").alias("feedback"), F.col("reflection.iteration_count").alias("iteration_count")))
+        again = answers.filter(F.col("reflection.route") != "END").select("query_id", F.col("reflection.feedback").alias("feedback"))
+        if iteration == max_iterations or again.isEmpty():
+            break
+        open_rows = cut_lineage(rewrite(open_rows.join(again, "query_id")).select(columns))
+    return reduce(DataFrame.unionByName, done)
+
+
+def answer_batch(queries: DataFrame, documents: DataFrame, fn: TextFunction, *, k: int | None = None) -> DataFrame:
     """Answers with mode, sources, validation and reflection.
 
     ``queries`` has (query_id, text, score, iteration, max_iterations); ``documents``
     the ranked hits with source, article_number, section_number, chunk_index, page, text.
     A query above 0.8 takes one model pass, the others two, and those without
-    documents none.
+    documents none.  ``k`` bounds the hits of a query that are put together.
     """
+    documents = documents if k is None else documents.filter(F.col("rank") <= k)
     row = F.struct("rank", "source", "article_number", "page", context_piece().alias("piece"))
     gathered = documents.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("documents"))
     # one pass over the hits gives the context, the first documents and their number

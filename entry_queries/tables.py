@@ -9,9 +9,9 @@ from acervo.functions import metadata
 
 from acervo.operators import filters, logs, pages, sessions as se, sheets
 from acervo.operators.evaluate import json_report, rag_scores
-from acervo.plans.answer import answer_batch, corrective_loop, plan_queries
+from acervo.plans.answer import answer_batch, answer_until_valid, corrective_loop, plan_queries
 from acervo.plans.ingest import augment_and_index, ingest
-from acervo.session import scratch_path
+from acervo.session import cut_lineage, scratch_path
 from acervo.sources import files, store, tables
 from entry_queries.inputs import (
     LINES_CTE, LOGS_CTE, MEMORY_SQL, VECTOR_CTE, knn_cte, P, PAGES_CTE, REF_TS, SESSIONS_CTE, SHEET_COLUMNS, SHEET_CTE,
@@ -873,6 +873,16 @@ def answered(spark, sf):
     return rows.select("query_id", "mode", "n_docs", F.md5("draft").alias("draft"), F.size("sources").alias("sources"), "verdict.is_valid", "reflection.route")
 
 
+@query("answer_until_valid")
+def answered_until_valid(spark, sf):
+    """Answers that the reflection sends back are searched and written again, twice at most."""
+    asked = both_queries(spark, sf).withColumn("score", (F.col("query_id") % 11) / 10)
+    found = cut_lineage(_ranked_documents(spark, sf))
+    shorter = lambda rows: rows.withColumn("text", F.substring_index("text", " ", 12))
+    rows = answer_until_valid(asked, lambda q: found.join(q.select("query_id"), "query_id", "left_semi"), answer_model, shorter, k=5)
+    return rows.select("query_id", "mode", "n_docs", F.md5("answer").alias("answer"), "score", "iteration_count")
+
+
 _COMPLEXITY_SQL = SQL["assess_complexity"]
 
 

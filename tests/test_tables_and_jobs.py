@@ -246,6 +246,33 @@ def test_answers_end_to_end(spark):
     assert rows[4]["sources"] == []
 
 
+def test_answers_are_retried_until_valid(spark, tmp_path):
+    log = str(tmp_path / "prompts")
+    queries = spark.createDataFrame([(1, "q1", 0.9), (2, "q2", 0.9), (3, "q3", 0.6), (4, "q4", 0.9)], "query_id bigint, text string, score double")
+    body = spark.createDataFrame([(i, r, "s.pdf", "5", "", 0, "1", f"texto {r}") for i in (1, 2, 3) for r in (1, 2, 3)],
+                                 "query_id bigint, rank int, source string, article_number string, section_number string, chunk_index int, page string, text string")
+
+    def model(prompts):
+        with open(log, "a") as f:
+            f.writelines(p.replace("\n", " ") + "\n" for p in prompts)
+        return ["Artículo 7 dice" if "q1" in p or "mejor mejor" in p and "q2" in p else "En conclusión, sí" for p in prompts]
+
+    searched = []
+
+    def search(rows):
+        searched.append(sorted(r["query_id"] for r in rows.collect()))
+        return body.join(rows.select("query_id"), "query_id", "left_semi")
+
+    better = lambda rows: rows.withColumn("text", F.concat("text", F.lit(" mejor")))
+    got = {r["query_id"]: r for r in answer.answer_until_valid(queries, search, model, better, k=2).collect()}
+    assert searched == [[1, 2, 3, 4], [2, 3], [2, 3]] or searched == [[1, 2, 3, 4], [2, 3, 4], [2, 3, 4]]
+    assert {i: got[i]["iteration_count"] for i in (1, 2, 3)} == {1: 1, 2: 3, 3: 3}
+    assert got[2]["answer"] == "Artículo 7 dice" and got[3]["answer"].endswith("puede estar incompleta.")
+    prompts = open(log).read().splitlines()
+    assert len(prompts) == len(set(prompts))  # each reaches the model once
+    assert not any("texto 3" in p for p in prompts) and got[1]["n_docs"] == 2
+
+
 def test_rag_scores(spark):
     rows = spark.createDataFrame([("qué es esto aquí", "esto es aquí", ["esto no es", "nada más"]), ("x", "", [])], "question string, answer string, contexts array<string>")
     first, second = rag_scores(rows).collect()
