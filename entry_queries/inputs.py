@@ -14,13 +14,16 @@ from acervo.session import prepare
 
 REF_TS = "2024-01-31"
 P = PLAIN_TOKEN_PATTERN
-WIDE = {"documents", "pages", "conversations"}  # long texts, which one task would read slowly
+WIDE = {"documents", "pages", "conversations", "lineitem", "events", "orders"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; one that is a single file, which one task would scan, is dealt to all cores."""
+def table(spark: SparkSession, sf_dir: str, name: str, deal: bool = True) -> DataFrame:
+    """A given table; one that is a single file, which one task would scan, is dealt to all cores.
+
+    Without ``deal`` it is read as it lies, for queries that shuffle its rows at once.
+    """
     df = prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    alone = name in WIDE and len(df.inputFiles()) == 1
+    alone = deal and name in WIDE and len(df.inputFiles()) == 1
     return df.repartition(spark.sparkContext.defaultParallelism) if alone else df
 
 
@@ -244,7 +247,7 @@ SHEET_COLUMNS = ["parte", "marca", "estado"]
 
 def sheet_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines as a sheet per supplier, with empty cells and empty rows."""
-    return table(spark, sf, "lineitem").select(
+    return table(spark, sf, "lineitem", deal=False).select(
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("sheet"),
         (F.col("l_orderkey") * 1_000_000_000 + F.col("l_partkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_quantity").cast("long")).alias("row_no"),
         F.when(F.col("l_quantity") > 10, F.col("l_partkey")).alias("parte"),
