@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acervo.llm.common import let
-from acervo.session import written
+from acervo.session import at_most, written
 
 LATIN = "[a-z\\u00C0-\\u00FF]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -27,6 +27,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PARTS = 4
 #: Words of one signature that meet in one group; larger groups are cut into blocks that meet pair by pair.
 BLOCK = 2000
+#: Large groups that are broadcast, 12 bytes each, at most.
+LARGE = 500_000
 #: Shortest word, fewest occurrences, and how much more frequent a form must be.
 LETTERS, LEAST, FACTOR = 5, 3, 2
 #: One run in so many is taken with a code point left out.
@@ -77,7 +79,9 @@ def near_pairs(words: DataFrame, parts: int = PARTS, block: int = BLOCK) -> Data
     """(word, near, near_n), both ways, for all words of ``words`` (word, n) that one edit turns into each other."""
     rows = written(signatures(words, parts), "spelling-signatures")
     large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > block)
-    large = large.select("key", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
+    large = written(large.select("key", F.ceil(F.col("members") / block).cast("int").alias("blocks")), "spelling-large")
+    if at_most(large, LARGE):  # the signatures then stay where they are; else both sides are shuffled
+        large = F.broadcast(large)
     dealt = rows.join(large, "key", "left").select(
         "key", "word", "n", "bits", F.coalesce("blocks", F.lit(1)).alias("blocks"), F.pmod(F.xxhash64("word", F.lit(1)), F.coalesce("blocks", F.lit(1))).cast("int").alias("own"))
     # a member goes to the cell of its block and each other one, so two members meet in exactly one cell

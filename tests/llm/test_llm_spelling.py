@@ -69,7 +69,9 @@ def test_variants_equal_brute_force(spark, seed):
     assert any(root != form and form for form, root, *_ in want.values())  # chains of two forms
 
 
-def test_large_groups_meet_in_blocks(spark):
+@pytest.mark.parametrize("large", [0, 500_000])
+def test_large_groups_meet_in_blocks(spark, monkeypatch, large):
+    monkeypatch.setattr(spelling, "LARGE", large)  # shuffled and broadcast
     words = {w: n for w, n in brute_counts(corpus(3, 120)).items()}
     df = spark.createDataFrame(list(words.items()), "word string, n long")
     small = spelling.near_pairs(df, block=2).collect()
