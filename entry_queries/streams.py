@@ -12,8 +12,9 @@ from entry_queries.tables import _QUALITY_SQL
 
 
 def _stream(spark, sf, name):
-    schema = prepare(spark).read.parquet(f"{sf.rstrip('/')}/{name}.parquet").schema
-    return jobs.file_stream(spark, schema, sf, pathGlobFilter=f"{name}.parquet")
+    """A given table, one file or a folder of files, as a stream; a pattern as path takes both."""
+    path = f"{sf.rstrip('/')}/{name}.parquet"
+    return jobs.file_stream(spark, prepare(spark).read.parquet(path).schema, f"{path[:-1]}[{path[-1]}]")
 
 
 def _paths(spark, name):
