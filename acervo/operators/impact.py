@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from acervo.functions.tokens import TOKEN_PATTERN
-from acervo.operators.lexical import B, K1, PLACES, LexicalIndex, query_terms, term_postings, term_stats, wanted_values
+from acervo.operators.lexical import B, K1, PLACES, LexicalIndex, pair_parts, query_terms, term_postings, term_stats, wanted_values
 from acervo.operators.ranking import top_k
 from acervo.session import written
 
@@ -77,6 +77,13 @@ def load_impacts(spark: SparkSession, path: str) -> ImpactIndex:
     return ImpactIndex(spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/terms"))
 
 
+def _sums(asked: DataFrame, index: ImpactIndex, fits: Column, columns: list[str], blocks: Column | None = None) -> DataFrame:
+    """(query_id, doc_id, score) of the asked terms (…, df), summed in tasks of a bounded number of postings."""
+    postings = asked.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    rows = _contributions(asked, index, fits, columns, blocks).repartition(pair_parts(asked.sparkSession, postings), "query_id", "doc_id")
+    return rows.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+
+
 def _contributions(asked: DataFrame, index: ImpactIndex, fits: Column, columns: list[str], blocks: Column | None = None) -> DataFrame:
     """(query_id, doc_id, score): what each posting of the asked terms adds."""
     joined = index.blocks.join(asked, "term")
@@ -109,8 +116,7 @@ def impact_search(
     terms = written(terms.drop("top"), "impact-query-terms")
 
     # a lower bound of the k-th score; terms with a negative weight may take away what they can at most
-    first = _contributions(terms.where((F.col("_read") <= LEAD) | (F.col("_nth") == 1)), index, fits, columns)
-    partial = first.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+    partial = _sums(terms.where((F.col("_read") <= LEAD) | (F.col("_nth") == 1)), index, fits, columns)
     kth = top_k(partial, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
     loss = F.sum(F.least(F.col("weight") * (K1 + 1), F.lit(0.0))).over(per_query)
     below = F.sum("reach").over(per_query.orderBy("reach", "term").rowsBetween(Window.unboundedPreceding, 0))
@@ -118,9 +124,9 @@ def impact_search(
     bounded = bounded.withColumn("all", F.sum("reach").over(per_query)).withColumn("needed", below >= F.col("bound"))
     bounded = written(bounded.withColumn("rest", F.sum(F.when(~F.col("needed"), F.col("reach")).otherwise(0.0)).over(per_query)), "impact-bounds")
 
-    needed = bounded.where("needed").select("term", "query_id", "weight", "reach", "bound", "all", "rest", *columns)
+    needed = bounded.where("needed").select("term", "query_id", "df", "weight", "reach", "bound", "all", "rest", *columns)
     able = F.greatest(F.col("weight") * F.col("top"), F.lit(0.0)) + F.col("all") - F.col("reach") >= F.col("bound")
-    read = written(_contributions(needed, index, fits, columns, able).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score")), "impact-read")
+    read = written(_sums(needed, index, fits, columns, able), "impact-read")
     # what has been read bounds the k-th score much closer
     again = top_k(read, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k).where(F.col("rank") == k).select("query_id", F.col("score").alias("again"))
     limits = bounded.withColumn("loss", loss).groupBy("query_id").agg(F.max("bound").alias("bound"), F.max("rest").alias("rest"), F.max("loss").alias("loss")).join(again, "query_id", "left")

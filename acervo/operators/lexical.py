@@ -15,6 +15,7 @@ from acervo.operators.ranking import small_hits, top_k
 K1, B, EPSILON = 1.5, 0.75, 0.25
 BROADCAST_ROWS = 500_000  # (query, term) rows; about 50 MB
 MANY_QUERIES = 64
+PAIRS, MOST_PARTS = 1_000_000, 20_000  # (query, document) pairs that a task sums at a time, about 100 MB; tasks at most
 PLACES = 9  # scores are compared rounded, so copies of a text tie and the id decides
 
 
@@ -102,7 +103,16 @@ def wanted_values(queries: DataFrame, query_id: str, filters: str, columns: tupl
     ])
 
 
-def bm25_scores(terms: DataFrame, index: LexicalIndex, where: Column | None = None, *, small: bool = True, many: bool = False,
+def pair_parts(spark, pairs: int) -> int:
+    """Partitions that hold at most about ``PAIRS`` of so many (query, document) pairs each.
+
+    The number is fixed beforehand: adaptive execution would join partitions by the bytes of the postings,
+    of which each may make a pair with every query.
+    """
+    return max(spark.sparkContext.defaultParallelism, min(MOST_PARTS, -(-pairs // PAIRS)))
+
+
+def bm25_scores(terms: DataFrame, index: LexicalIndex, where: Column | None = None, *, small: bool = True, many: int = 0,
                 wanted: DataFrame | None = None, filter_columns: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, doc_id, score > 0) for query terms (query_id, term, qtf).
 
@@ -110,7 +120,7 @@ def bm25_scores(terms: DataFrame, index: LexicalIndex, where: Column | None = No
 
     ``small`` says that the terms are known to be at most ``BROADCAST_ROWS`` rows.
     With few queries the (query, document) sums combine in the scan's own tasks.
-    With ``many`` those pairs would outgrow the index, so the postings of the
+    With ``many``, the number of queries, those pairs would outgrow the index, so the postings of the
     queried terms are put together by document first; the sums and the first cut
     to k rows then happen without a further shuffle.
     """
@@ -126,8 +136,9 @@ def bm25_scores(terms: DataFrame, index: LexicalIndex, where: Column | None = No
     if small:  # else both sides shuffle on term, and AQE splits hot terms
         weighted = F.broadcast(weighted)
         if many:
+            parts = pair_parts(terms.sparkSession, many * index.corpus.first()[0])
             asked = F.broadcast(terms.select("term").distinct())
-            postings = postings.join(asked, "term", "left_semi").repartition("doc_id")
+            postings = postings.join(asked, "term", "left_semi").repartition(parts, "doc_id")
     saturation = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
     return (
         postings.join(weighted, "term")
@@ -161,7 +172,7 @@ def bm25_search(
     rows, asked = terms.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.count_distinct("query_id")).first()
     small = rows <= BROADCAST_ROWS
     wanted = wanted_values(queries, query_id, filters, filter_columns) if filters else None
-    scored = bm25_scores(terms, index, where, small=small, many=asked > MANY_QUERIES, wanted=wanted, filter_columns=filter_columns)
+    scored = bm25_scores(terms, index, where, small=small, many=asked if asked > MANY_QUERIES else 0, wanted=wanted, filter_columns=filter_columns)
     best = top_k(
         scored.withColumn("_score", F.round("_score", PLACES)),
         ["query_id"], [F.col("_score").desc(), F.col("doc_id")], k,
