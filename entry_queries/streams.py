@@ -11,10 +11,16 @@ from entry_queries.registry import query
 from entry_queries.tables import _QUALITY_SQL
 
 
-def _stream(spark, sf, name):
-    """A given table, one file or a folder of files, as a stream; a pattern as path takes both."""
+def _stream(spark, sf, name, at_once=False):
+    """A given table, one file or a folder of files, as a stream; a pattern as path takes both.
+
+    ``at_once`` takes all files in one micro-batch, for jobs whose events follow the order in which rows
+    arrive: the files of a table hold its rows in no order.
+    """
     path = f"{sf.rstrip('/')}/{name}.parquet"
-    return jobs.file_stream(spark, prepare(spark).read.parquet(path).schema, f"{path[:-1]}[{path[-1]}]")
+    given = prepare(spark).read.parquet(path)
+    options = {"per_trigger": max(1, len(given.inputFiles()))} if at_once else {}
+    return jobs.file_stream(spark, given.schema, f"{path[:-1]}[{path[-1]}]", **options)
 
 
 def _paths(spark, name):
@@ -63,7 +69,7 @@ def counters(spark, sf):
 def rolling(spark, sf):
     """ST4: windows leave the stream once the watermark (one day) has passed them."""
     out, checkpoint = _paths(spark, "quality")
-    logs = logs_of(_stream(spark, sf, "events")).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    logs = logs_of(_stream(spark, sf, "events", at_once=True)).withColumn("created_at", F.col("created_at").cast("timestamp"))
     jobs.write_stream(jobs.rolling_quality(logs, delay="1 day"), out, checkpoint).awaitTermination()
     report = spark.read.parquet(out)
     return report.withColumn("day", F.date_format("window_start", "yyyy-MM-dd")).drop("window_start", "window_end")
@@ -86,7 +92,7 @@ def rolling(spark, sf):
 def compaction(spark, sf):
     """ST5: an event each time a session passes 500 tokens with more than four messages."""
     out, checkpoint = _paths(spark, "compaction")
-    events = jobs.compaction_stream(messages_of(_stream(spark, sf, "conversations")), keep=4, threshold=500)
+    events = jobs.compaction_stream(messages_of(_stream(spark, sf, "conversations", at_once=True)), keep=4, threshold=500)
     jobs.write_stream(events, out, checkpoint).awaitTermination()
     rows = spark.read.schema(jobs.COMPACTION_OUTPUT).parquet(out)
     return rows.select(F.col("session_id").cast("long"), "seq", "estimated_tokens", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
