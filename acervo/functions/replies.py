@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,11 +14,23 @@ PLAN_REPLY = "sub_queries array<string>, strategy string, expected_sources array
 PLACEHOLDER = "no especificada"
 
 
+def _held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it.
+
+    A lambda's body is evaluated for every element, and with it each expression that it names.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def outer_json(reply: Column | str) -> Column:
     """From the first ``{`` to the last ``}``; the whole text when there is no such pair."""
-    text = trim_ws(reply)
-    body = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.when(body == "", text).otherwise(body)
+
+    def cut(text: Column) -> Column:
+        first, last = F.instr(text, "{"), F.length(text) - F.instr(F.reverse(text), "}") + 1
+        paired = (first > 0) & text.contains("}") & (first < last)
+        return F.when(paired, F.substring(text, first, last - first + 1)).otherwise(text)
+
+    return _held(trim_ws(reply), cut)
 
 
 def parse_batch_json(reply: Column | str) -> Column:
@@ -25,24 +39,19 @@ def parse_batch_json(reply: Column | str) -> Column:
         F.from_json(outer_json(reply), BATCH_REPLY)["results"],
         F.array().cast("array<struct<chunk_id:int, questions:array<string>>>"),
     )
-    kept = F.filter(results, lambda r: r["chunk_id"].isNotNull())
-    # the last entry of a repeated chunk id wins
-    last = F.filter(
-        kept,
-        lambda r, i: ~F.exists(F.slice(kept, i + 2, F.size(kept)), lambda later: later["chunk_id"] == r["chunk_id"]),
-    )
-    return F.map_from_entries(
-        F.transform(
-            last,
-            lambda r: F.struct(
-                r["chunk_id"].alias("key"),
-                F.filter(
-                    F.transform(F.coalesce(r["questions"], F.array().cast("array<string>")), trim_ws),
-                    lambda q: q != "",
-                ).alias("value"),
-            ),
-        )
-    )
+
+    def entry(result: Column) -> Column:
+        questions = F.coalesce(result["questions"], F.array().cast("array<string>"))
+        return F.struct(result["chunk_id"].alias("key"), F.filter(F.transform(questions, trim_ws), lambda q: q != "").alias("value"))
+
+    def entries(kept: Column) -> Column:
+        # the last entry of a repeated chunk id wins: it ends the id's run in the sorted places
+        places = F.sort_array(F.transform(kept, lambda r, i: F.struct(r["chunk_id"].alias("id"), i.alias("at"))))
+        last = _held(places, lambda p: F.filter(
+            p, lambda x, i: (i == F.size(p) - 1) | (F.get(p, i + 1)["id"] != x["id"])))
+        return F.transform(F.array_sort(F.transform(last, lambda x: x["at"])), lambda at: entry(F.get(kept, at)))
+
+    return F.map_from_entries(_held(F.filter(results, lambda r: r["chunk_id"].isNotNull()), entries))
 
 
 def strip_fence(reply: Column | str) -> Column:

@@ -106,7 +106,8 @@ def explode_questions(chunks: DataFrame, fn: TextFunction, questions: int = QUES
     """
     asked = batch_prompts(chunks, questions, batch, key)
     replies = asked.withColumn("_reply", model_map("prompt", fn)).filter(F.col("_reply").isNotNull())
-    answers = replies.select(key, "members", F.explode(parse_batch_json("_reply")).alias("_local", "_questions"))
+    # the outer form: a plain explode adds a filter on the map and parses the reply again
+    answers = replies.select(key, "members", F.explode_outer(parse_batch_json("_reply")).alias("_local", "_questions"))
     rows = answers.select(key, F.get("members", F.col("_local")).alias("_row"), F.posexplode("_questions").alias("question_no", "_question"))
     return (
         rows.filter(F.col("_row").isNotNull()).select(key, "_row.*", "question_no", "_question")

@@ -592,8 +592,9 @@ def batch_json(spark, sf):
         F.lit('Claro: {"results": [{"chunk_id": 0, "questions": ["'), _letters(),
         F.lit(' ", "  ", "b"]}, {"chunk_id": 1, "questions": ["c"]}]} fin'))
     reply = F.when(F.col("doc_id") % 5 == 4, F.concat(F.lit('{"results": [ '), _letters())).otherwise(good)
-    rows = documents(spark, sf).select("doc_id", F.explode(replies.parse_batch_json(reply)).alias("chunk_id", "questions"))
-    return rows.select("doc_id", "chunk_id", F.explode("questions").alias("question"))
+    # the outer form: a plain explode adds a filter on the map and parses the reply again
+    rows = documents(spark, sf).select("doc_id", F.explode_outer(replies.parse_batch_json(reply)).alias("chunk_id", "questions"))
+    return rows.filter(F.col("chunk_id").isNotNull()).select("doc_id", "chunk_id", F.explode("questions").alias("question"))
 
 
 @query(
