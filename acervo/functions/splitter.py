@@ -7,13 +7,17 @@ text function here that runs in Python, batch by batch.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 CHUNK_SIZE = 1100
 CHUNK_OVERLAP = 220
+PART_BYTES = 4_000_000  # texts that are Python strings at a time
+CHUNKS = pa.list_(pa.string())
 
 # Separators per document type, most meaningful first.
 SEPARATORS: dict[str, list[str]] = {
@@ -74,13 +78,35 @@ def split_text(text: str | None, separators: list[str], size: int = CHUNK_SIZE,
     return [chunk for chunk in stripped if chunk]
 
 
+def _part_starts(sizes: np.ndarray, budget: int) -> list[int]:
+    """Where parts of at most about ``budget`` begin: rows with ``sizes`` are put together in order."""
+    before = np.concatenate([[0], np.cumsum(sizes)[:-1]]) // budget
+    return [0, *(np.flatnonzero(np.diff(before)) + 1).tolist()] if len(sizes) else []
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    """Bytes of the text, or of all texts, of each row."""
+    if not pa.types.is_list(column.type):
+        return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(_bytes(column.flatten()))])
+    return np.diff(ends[np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))])])
+
+
+def _in_parts(chunks: Callable[..., list[str]], *columns: pa.Array) -> Iterator[pa.Array]:
+    """``chunks`` of every row.  Only some texts at a time leave Arrow for Python, so a worker's memory does not follow the batch."""
+    starts = _part_starts(_bytes(columns[0]), PART_BYTES)
+    for start, end in zip(starts, [*starts[1:], len(columns[0])]):
+        rows = zip(*(c.slice(start, end - start).to_pylist() for c in columns))
+        yield pa.array([chunks(*row) for row in rows], CHUNKS)
+
+
 def recursive_split(separators: list[str], size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP):
     """Arrow function text → array<string> for one separator list."""
 
-    @F.pandas_udf("array<string>")
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<string>")
+    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield texts.map(lambda t: split_text(t, separators, size, overlap))
+            yield from _in_parts(lambda t: split_text(t, separators, size, overlap), texts)
 
     return split
 
@@ -91,10 +117,10 @@ def recursive_split_by_type(
     """Arrow function (text, type) → array<string>; unknown types split like documentation."""
     default = table["documentation"]
 
-    @F.pandas_udf("array<string>")
-    def split(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<string>")
+    def split(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, kinds in batches:
-            yield pd.Series([split_text(t, table.get(k, default), size, overlap) for t, k in zip(texts, kinds)])
+            yield from _in_parts(lambda t, k: split_text(t, table.get(k, default), size, overlap), texts, kinds)
 
     return split
 
@@ -102,15 +128,15 @@ def recursive_split_by_type(
 def split_long_pieces(separators: list[str], size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP):
     """Arrow function array<string> → array<string>: pieces above ``size`` are split, others kept."""
 
-    def chunks(pieces) -> list[str]:
+    def chunks(pieces: list[str] | None) -> list[str]:
         found: list[str] = []
         for piece in pieces if pieces is not None else []:
             found += [piece] if len(piece) <= size else split_text(piece, separators, size, overlap)
         return found
 
-    @F.pandas_udf("array<string>")
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<string>")
+    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for rows in batches:
-            yield rows.map(chunks)
+            yield from _in_parts(chunks, rows)
 
     return split
