@@ -55,12 +55,18 @@ def first_occurrence(lists: list[DataFrame], k: int | Column | None = None) -> D
     return ranked.select("query_id", "doc_id", "rank")
 
 
+def first_of(hits: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` rows of the lists of ``queries``, out of lists that were found for more."""
+    return hits.filter(F.col("rank") <= k).join(queries.select("query_id"), "query_id", "left_semi")
+
+
 def hybrid_search(
     queries: DataFrame,
     k: int,
     *,
     vectors: DataFrame | None = None,
     index: LexicalIndex | None = None,
+    keyword: DataFrame | None = None,
     weights: tuple[float, float] = (1.0, 1.0),
     pattern: str = TOKEN_PATTERN,
     where: Column | None = None,
@@ -72,14 +78,18 @@ def hybrid_search(
 
     ``queries`` has (query_id, text, embedding); ``vectors`` has (doc_id, embedding).
     ``filters`` names a map column with each query's own conditions on ``filter_columns``
-    of the vectors and of the index.
+    of the vectors and of the index.  ``keyword`` holds keyword lists of 3k rows or more that
+    were found beforehand for these queries or more; the index is then not searched.
     """
     own = {"filters": filters, "filter_columns": filter_columns}
     lists, used = [], []
     if vectors is not None:
         lists.append(knn(queries, vectors, k * FETCH, **own, **vector_options))
         used.append(weights[0])
-    if index is not None:
+    if keyword is not None:
+        lists.append(first_of(keyword, queries, k * FETCH))
+        used.append(weights[1])
+    elif index is not None:
         lists.append(bm25_search(queries, index, k * FETCH, pattern=pattern, where=where, **own))
         used.append(weights[1])
     if not lists:

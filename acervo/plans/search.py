@@ -17,7 +17,7 @@ from acervo.functions.questions import HYBRID_TOP_K, SEMANTIC_TOP_K, select_stra
 from acervo.functions.text import preview
 from acervo.functions.tokens import TOKEN_PATTERN
 from acervo.operators.evaluate import evaluate_retrieval
-from acervo.operators.fusion import first_occurrence, hybrid_search, multi_query_union
+from acervo.operators.fusion import FETCH, first_occurrence, first_of, hybrid_search, multi_query_union
 from acervo.operators.hierarchy import hierarchical_search
 from acervo.operators.lexical import LexicalIndex, bm25_search
 from acervo.operators.lookup import article_lookup
@@ -29,16 +29,22 @@ from acervo.session import cut_lineage
 
 TOP_K, FETCH_FACTOR = 10, 2  # fixed values
 STRATEGIES = ["vector", "bm25", "hybrid", "hierarchical", "full", "parent_child", "auto"]
+KEYWORD_STRATEGIES = {"bm25", "hybrid", "full", "auto"}
 
 
 class Corpus(NamedTuple):
-    """chunks(doc_id, embedding, source, chunk_index, text, article_number, page) and what goes with them."""
+    """chunks(doc_id, embedding, source, chunk_index, text, article_number, page) and what goes with them.
+
+    ``keyword`` holds keyword lists (query_id, doc_id, rank) that were found beforehand; the index is
+    then not searched.  They must reach ``FETCH`` times the k of a search, and obey its filters.
+    """
 
     chunks: DataFrame
     index: LexicalIndex | None = None
     summaries: DataFrame | None = None
     parents: DataFrame | None = None
     pattern: str = TOKEN_PATTERN
+    keyword: DataFrame | None = None
 
 
 def run_strategy(
@@ -54,13 +60,16 @@ def run_strategy(
     if strategy == "vector":
         return knn(queries, corpus.chunks, k, **own).select(columns)
     if strategy == "bm25":
+        if corpus.keyword is not None:
+            return first_of(corpus.keyword, queries, k).select(columns)
         return bm25_search(queries, corpus.index, k, pattern=corpus.pattern, **own).select(columns)
     if strategy == "hierarchical":
         return hierarchical_search(queries, corpus.summaries, corpus.chunks, k_chunks=k, **own)
     if strategy == "parent_child":
         found = parent_child_search(queries, corpus.chunks, corpus.parents, k, **own)
         return found.select("query_id", F.col("parent_id").alias("doc_id"), "rank")
-    hybrid = hybrid_search(queries, k, vectors=corpus.chunks, index=corpus.index, pattern=corpus.pattern, **own).select(columns)
+    hybrid = hybrid_search(
+        queries, k, vectors=corpus.chunks, index=corpus.index, keyword=corpus.keyword, pattern=corpus.pattern, **own).select(columns)
     if strategy == "hybrid":
         return hybrid
     if strategy == "full":
@@ -132,8 +141,12 @@ def evaluate_strategies(
 
     ``labels`` is a table of relevant (query_id, doc_id), or a function that picks the
     relevant ones out of some hits, where a rule says what is relevant and the table of
-    all such pairs would be large.
+    all such pairs would be large.  The keywords are searched once for all strategies: a shorter list
+    is the beginning of a longer one.
     """
+    if corpus.index is not None and KEYWORD_STRATEGIES & set(strategies):
+        keyword = bm25_search(queries, corpus.index, k * FETCH, pattern=corpus.pattern)
+        corpus = corpus._replace(keyword=cut_lineage(keyword.select("query_id", "doc_id", "rank")))
     rows = []
     for name in strategies:
         hits = cut_lineage(search(queries, corpus, name, k=k))  # k rows per query, read twice
