@@ -7,7 +7,9 @@ so a group of any number of near copies costs a shard one node and all links ins
 known without listing them.  Every node then searches the graph of every shard for all
 nodes whose balls may reach it.  In each task the beam is doubled until an audit passes:
 queries of the task and probes set at the search angle from known nodes are compared with
-brute force.  A query whose beam is full of hits is searched again with a wider one.
+brute force.  A query whose beam is full of hits is searched again with a wider one.  A walk
+costs its beam times what some ``WALK`` nodes cost by matrix products, so where a shard has
+fewer nodes than that, the beam is the whole shard.
 
 What is found is decided by exact angles in double precision: two balls so near that all
 their members are linked count whole, and where some pairs may fail the threshold, the
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 
 from acervo.llm.hnsw import BATCH, Graph, angles
 from acervo.llm.neardup import components
+from acervo.operators.vector import _within
 from acervo.session import written
 
 COSINE = 0.95
@@ -38,6 +41,8 @@ SHARD, SHARDS = 200_000, 8
 QUERIES, SLICE, SLICES = 1024, 256, 3
 #: First width of a beam; queries and probes of an audit; the part of the nodes in reach it must find.
 BEAM, AUDIT, RECALL = 16, 32, 0.995
+#: Nodes of 64 components compared by matrix products in the time that a walk takes for one place of its beam (measured: 5000).
+WALK = 4000
 #: Members of two balls that are compared in one block; pairs of balls that share one copy of a block.
 MEMBERS, PAIRS = 64, 512
 #: Bytes of a graph in one row.
@@ -175,9 +180,8 @@ class Reach:
 
     def search(self, queries: np.ndarray, least: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) of all nodes found with a cosine of at least ``least``; full beams are widened."""
-        if beam >= self.graph.count:
-            hits = [np.nonzero(queries[at:at + 256] @ self.graph.vectors.T >= least[at:at + 256, None]) for at in range(0, len(queries), 256)]
-            return np.concatenate([h[0] + at * 256 for at, h in enumerate(hits)]), np.concatenate([h[1] for h in hits])
+        if beam * WALK * 64 >= self.graph.count * max(64, queries.shape[1]) or beam >= self.graph.count:
+            return _within(-queries, self.graph.vectors, -least)
         nodes, cosines = self.graph.search(queries, beam)
         full = (nodes[:, -1] >= 0) & (cosines[:, -1] >= least)
         q, k = np.nonzero((cosines >= least[:, None]) & (nodes >= 0) & ~full[:, None])
